@@ -165,13 +165,10 @@ def path_value(doc: Column, path: str) -> Column:
         return F.when(~is_absent(value), value)
     items = _flat(elements(value))
     for step in parts[1:-1]:
-        inner = step
         items = F.flatten(
             F.transform(
                 items,
-                lambda item, inner=inner: F.coalesce(
-                    elements(at(item, inner)), F.array().cast("array<variant>")
-                ),
+                lambda item: F.coalesce(elements(at(item, step)), F.array().cast("array<variant>")),
             )
         )
     final = parts[-1]

@@ -176,11 +176,11 @@ def rule_links(nodes: Column, url: Column, rule: dict) -> Column:
             )
             continue
         raw = F.filter(
-            F.transform(chosen, lambda n, take=selector["take"]: attribute(n, take)),
+            F.transform(chosen, lambda n: attribute(n, selector["take"])),
             lambda link: link != "" if selector.get("non_empty") else link.isNotNull(),
         )
         base = page_base(nodes, url) if rule.get("resolve") == "base" else url
-        found.append(let(base, lambda b, raw=raw: F.transform(raw, lambda link: url_join(b, link))))
+        found.append(let(base, lambda b: F.transform(raw, lambda link: url_join(b, link))))
     links = F.array_distinct(F.flatten(F.array(*found)))
     return F.filter(links, lambda link: link.isNotNull())
 

@@ -163,7 +163,7 @@ def facet_counts(df: DataFrame, selection: Selection, facets: tuple[str, ...] =
                 siblings = siblings & match[other]
         tagged = F.transform(
             values[facet],
-            lambda value, facet=facet: F.struct(
+            lambda value: F.struct(
                 F.lit(facet).alias("facet"), value.cast("string").alias("value")
             ),
         )
