@@ -10,8 +10,6 @@ few steps gives every chunk's entry state, and then all chunks are replayed at o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,11 +106,11 @@ class _Chunk:
 
 
 def _steps(ttl: int):
-    def run(key, frames: Iterator) -> Iterator:
+    def run(key, frame):
         import pandas as pd
 
-        rows = _Chunk(pd.concat(list(frames)), ttl).steps()
-        yield pd.DataFrame(
+        rows = _Chunk(frame, ttl).steps()
+        return pd.DataFrame(
             {"key": key[0], "chunk": key[1], "upto": [r[0] for r in rows], "left": [r[1] for r in rows]}
         ).astype({"upto": "int64", "left": "int64"})
 
@@ -135,12 +133,11 @@ def _compose(frame):
 
 
 def _replay(ttl: int):
-    def run(key, frames: Iterator) -> Iterator:
+    def run(key, frame):
         import pandas as pd
 
-        frame = pd.concat(list(frames))
         granted = _Chunk(frame, ttl).granted(int(frame["entry"].iloc[0]))
-        yield pd.DataFrame({"key": key[0], "seq": granted}).astype({"seq": "int64"})
+        return pd.DataFrame({"key": key[0], "seq": granted}).astype({"seq": "int64"})
 
     return run
 

@@ -62,9 +62,9 @@ def main() -> None:
     sf, names = sys.argv[1], sys.argv[2:]
     spark = (
         builder("oracle").master("local[8]").config("spark.sql.shuffle.partitions", "8")
-        .config("spark.ui.enabled", "false").config("spark.driver.memory", "12g").getOrCreate()
+        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "12g").getOrCreate()
     )
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     from gleanwork.queries import ORACLES, QUERIES
 
     con, bad = connect(sf), 0
@@ -74,7 +74,7 @@ def main() -> None:
         try:
             problem, count, took = compare(spark, con, sf, build, ORACLES.get(name))
         except Exception as error:
-            problem, count, took = f"{type(error).__name__}: {str(error)[:1500]}", -1, 0.0
+            problem, count, took = f"{type(error).__name__}: {str(error)[-700:]}", -1, 0.0
         bad += problem is not None
         status = "ok  " if problem is None else "BAD "
         print(f"{status}{name:28s} {count:8d} rows {took:6.2f}s {'' if name in ORACLES else 'no sql'} {problem or ''}", flush=True)
