@@ -1,2 +1,2 @@
-from gleanwork.queries import search, boards, bronze, claims  # noqa: F401
+from gleanwork.queries import functions, quality, mapping, silver  # noqa: F401
 from gleanwork.queries.registry import ORACLES, QUERIES
