@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gleanwork.functions.binding import let
+
 _NUMBER = "^(TINYINT|SMALLINT|INT|BIGINT|DECIMAL|FLOAT|DOUBLE)"
 _STEP = r"(?:[A-Za-z_][A-Za-z0-9_]*|\"[^\"\\]+\")"
 # a.b, a[0].b, a[].b, [0], [] and @ for the whole document
@@ -33,16 +35,15 @@ def kind(value: Column) -> Column:
 
     Meant for leaves and small values: it renders the value's whole schema.
     """
-    shape = F.schema_of_variant(value)
-    return (
-        F.when(value.isNull(), F.lit(None).cast("string"))
-        .when(F.startswith(shape, F.lit("OBJECT")), F.lit("object"))
+    return let(
+        F.schema_of_variant(value),
+        lambda shape: F.when(F.startswith(shape, F.lit("OBJECT")), F.lit("object"))
         .when(F.startswith(shape, F.lit("ARRAY")), F.lit("array"))
         .when(shape == "STRING", F.lit("string"))
         .when(shape == "BOOLEAN", F.lit("boolean"))
         .when(shape.rlike(_NUMBER), F.lit("number"))
         .when(shape == "VOID", F.lit("null"))
-        .otherwise(F.lit("other"))
+        .when(shape.isNotNull(), F.lit("other")),
     )
 
 
@@ -63,18 +64,24 @@ def entries(value: Column) -> Column:
 
 def as_string(value: Column) -> Column:
     """The text of a JSON string; null for every other kind, numbers included."""
-    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+    return let(
+        value, lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    )
 
 
 def as_number(value: Column) -> Column:
-    return F.when(F.schema_of_variant(value).rlike(_NUMBER), F.try_variant_get(value, "$", "double"))
+    return let(
+        value,
+        lambda v: F.when(F.schema_of_variant(v).rlike(_NUMBER), F.try_variant_get(v, "$", "double")),
+    )
 
 
 def string_list(value: Column) -> Column:
     """array<string>, or null unless every element is a JSON string."""
-    items = elements(value)
-    texts = F.transform(items, as_string)
-    return F.when(~F.exists(texts, lambda text: text.isNull()), texts)
+    return let(
+        F.transform(elements(value), as_string),
+        lambda texts: F.when(~F.exists(texts, lambda text: text.isNull()), texts),
+    )
 
 
 def variant(value: Column) -> Column:
@@ -83,10 +90,14 @@ def variant(value: Column) -> Column:
 
 def filter_text(value: Column) -> Column:
     """A JSON scalar in the terms a query parameter is written in."""
-    shape = kind(value)
-    return (
-        F.when(shape == "string", F.try_variant_get(value, "$", "string"))
-        .when(shape.isin("boolean", "number"), F.to_json(value))
+    return let(
+        value,
+        lambda v: let(
+            kind(v),
+            lambda shape: F.when(shape == "string", F.try_variant_get(v, "$", "string")).when(
+                shape.isin("boolean", "number"), F.to_json(v)
+            ),
+        ),
     )
 
 
@@ -115,64 +126,87 @@ def eval_path(doc: Column, path: Column) -> Column:
     Returns a struct: `is_list`, `items` (the values) and `resolved`. A projection over
     something that is not a list does not resolve; over an empty list it does.
     """
-    parts = F.split(path, r"\[\]")
-    head = F.try_variant_get(doc, _variant_path(F.element_at(parts, 1)), "variant")
-    tail = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
-    last = F.size(tail) - 1
-    indexed = F.transform(tail, lambda step, i: F.struct(step.alias("step"), (i == last).alias("last")))
-    listed = F.aggregate(
-        indexed,
-        _flat(elements(head)),
-        lambda items, part: F.when(
-            part["last"],
-            _present(F.transform(items, lambda item: F.try_variant_get(item, _variant_path(part["step"]), "variant"))),
-        ).otherwise(
-            F.flatten(
-                F.transform(
-                    items,
-                    lambda item: F.coalesce(
-                        elements(F.try_variant_get(item, _variant_path(part["step"]), "variant")),
-                        F.array().cast("array<variant>"),
-                    ),
+
+    def walk(items: Column, steps: Column) -> Column:
+        last = F.size(steps) - 1
+        return F.aggregate(
+            F.transform(steps, lambda step, i: F.struct(_variant_path(step).alias("step"), (i == last).alias("last"))),
+            items,
+            lambda found, part: F.when(
+                part["last"],
+                _present(F.transform(found, lambda item: F.try_variant_get(item, part["step"], "variant"))),
+            ).otherwise(
+                F.flatten(
+                    F.transform(
+                        found,
+                        lambda item: F.coalesce(
+                            elements(F.try_variant_get(item, part["step"], "variant")),
+                            F.array().cast("array<variant>"),
+                        ),
+                    )
                 )
-            )
-        ),
-    )
-    single = F.when(~is_absent(head), head)
-    projected = F.size(parts) > 1
-    plain = F.coalesce(elements(single), F.when(single.isNotNull(), F.array(single)))
-    return F.struct(
-        (projected | elements(single).isNotNull()).alias("is_list"),
-        F.when(projected, listed).otherwise(plain).alias("items"),
-        F.when(projected, listed.isNotNull()).otherwise(single.isNotNull()).alias("resolved"),
-    )
+            ),
+        )
 
+    def outcome(is_list: Column, items: Column, resolved: Column) -> Column:
+        return F.struct(is_list.alias("is_list"), items.alias("items"), resolved.alias("resolved"))
 
-def path_value(doc: Column, path: str) -> Column:
-    """A path known when the plan is built, as a VARIANT; null when it does not resolve."""
+    def projected(head: Column, parts: Column) -> Column:
+        steps = F.slice(parts, F.lit(2), F.size(parts) - 1)
+        return let(
+            walk(_flat(elements(head)), steps), lambda items: outcome(F.lit(True), items, items.isNotNull())
+        )
+
+    def plain(head: Column) -> Column:
+        return let(
+            elements(head),
+            lambda items: F.when(items.isNotNull(), outcome(F.lit(True), items, F.lit(True)))
+            .when(~is_absent(head), outcome(F.lit(False), F.array(head), F.lit(True)))
+            .otherwise(outcome(F.lit(False), F.lit(None).cast("array<variant>"), F.lit(False))),
+        )
+
+    def evaluated(parts: Column) -> Column:
+        head = F.try_variant_get(doc, _variant_path(F.element_at(parts, 1)), "variant")
+        return let(head, lambda h: F.when(F.size(parts) > 1, projected(h, parts)).otherwise(plain(h)))
+
+    return let(F.split(path, r"\[\]"), evaluated)
+
+
+def _steps(path: str) -> list[str]:
     if not PATH.match(path):
         raise ValueError(f"not a document path: {path!r}")
-    parts = [step.replace('"', "") for step in path.split("[]")]
+    return [step.replace('"', "") for step in path.split("[]")]
 
-    def at(value: Column, step: str) -> Column:
-        if step in ("", "@"):
-            return value
-        joiner = "$" if step[0] in "[." else "$."
-        return F.try_variant_get(value, joiner + step, "variant")
 
-    value = at(doc, parts[0])
+def _at(value: Column, step: str) -> Column:
+    if step in ("", "@"):
+        return value
+    return F.try_variant_get(value, ("$" if step[0] in "[." else "$.") + step, "variant")
+
+
+def path_items(doc: Column, path: str) -> Column:
+    """The list a path known when the plan is built leads to; null when it is none."""
+    parts = _steps(path)
     if len(parts) == 1:
-        return F.when(~is_absent(value), value)
-    items = _flat(elements(value))
+        return elements(_at(doc, parts[0]))
+    items = _flat(elements(_at(doc, parts[0])))
     for step in parts[1:-1]:
         items = F.flatten(
             F.transform(
                 items,
-                lambda item: F.coalesce(elements(at(item, step)), F.array().cast("array<variant>")),
+                lambda item: F.coalesce(elements(_at(item, step)), F.array().cast("array<variant>")),
             )
         )
     final = parts[-1]
-    return _present(F.transform(items, lambda item: at(item, final))).cast("variant")
+    return _present(F.transform(items, lambda item: _at(item, final)) if final else items)
+
+
+def path_value(doc: Column, path: str) -> Column:
+    """The value at such a path as a VARIANT; null when it does not resolve."""
+    parts = _steps(path)
+    if len(parts) == 1:
+        return let(_at(doc, parts[0]), lambda value: F.when(~is_absent(value), value))
+    return path_items(doc, path).cast("variant")
 
 
 def drop_empty(metadata: Column) -> Column:
@@ -181,7 +215,7 @@ def drop_empty(metadata: Column) -> Column:
         entries(metadata),
         lambda _, value: ~is_absent(value) & ~F.to_json(value).isin('""', "[]", "{}"),
     )
-    return F.when(kept.isNotNull(), F.to_variant_object(kept)).otherwise(metadata)
+    return let(kept, lambda k: F.when(k.isNotNull(), F.to_variant_object(k)).otherwise(metadata))
 
 
 def metadata_text(value: Column) -> Column:
@@ -192,10 +226,11 @@ def metadata_text(value: Column) -> Column:
         number = F.when(kind(item) == "number", F.to_json(item))
         return F.coalesce(F.when(text != "", text), number)
 
-    items = elements(value)
-    texts = F.transform(items, scalar)
-    whole = (F.size(items) > 0) & ~F.exists(texts, lambda text: text.isNull())
-    return F.when(items.isNotNull(), F.when(whole, F.array_join(texts, ", "))).otherwise(scalar(value))
+    def joined(texts: Column) -> Column:
+        whole = (F.size(texts) > 0) & ~F.exists(texts, lambda text: text.isNull())
+        return F.when(texts.isNotNull(), F.when(whole, F.array_join(texts, ", "))).otherwise(scalar(value))
+
+    return let(F.transform(elements(value), scalar), joined)
 
 
 def json_salvage(text: Column) -> Column:

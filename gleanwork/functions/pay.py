@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gleanwork.functions import documents as D
+from gleanwork.functions.binding import let
 from gleanwork.schemas import PAY_PERIODS
 
 # The words that name each period.
@@ -39,62 +40,76 @@ RULES = (
 
 def pay_period(text: Column) -> Column:
     """The one period a text names as a whole word; null for none or several."""
-    lowered = F.lower(text)
-    named = F.filter(
-        F.array(
+
+    def named(lowered: Column) -> Column:
+        found = F.array(
             *[
                 F.when(lowered.rlike(rf"(?U)\b({words})\b"), F.lit(period))
                 for period, words in PERIOD_WORDS.items()
             ]
-        ),
-        lambda period: period.isNotNull(),
+        )
+        return F.filter(found, lambda period: period.isNotNull())
+
+    return let(
+        let(F.lower(text), named), lambda periods: F.when(F.size(periods) == 1, F.element_at(periods, 1))
     )
-    return F.when(F.size(named) == 1, F.element_at(named, 1))
 
 
 def pay_violation(pay: Column) -> Column:
     """The first broken rule of a VARIANT pay value, or null when it is valid or absent."""
-    members = D.entries(pay)
-    low, high = D.field(pay, "$.min"), D.field(pay, "$.max")
-    low_n, high_n = D.as_number(low), D.as_number(high)
-    currency = D.as_string(D.field(pay, "$.currency"))
-    period = D.as_string(D.field(pay, "$.period"))
-
-    def not_positive(value: Column, number: Column) -> Column:
-        return ~D.is_absent(value) & ~F.coalesce((number > 0) & (number < float("inf")), F.lit(False))
-
-    checks = [
-        members.isNull(),
-        F.array_sort(F.map_keys(members)) != F.array(*[F.lit(k) for k in ("currency", "max", "min", "period")]),
-        not_positive(low, low_n),
-        not_positive(high, high_n),
-        D.is_absent(low) & D.is_absent(high),
-        low_n > high_n,
-        low_n > MAX_AMOUNT,
-        low_n < MIN_AMOUNT,
-        high_n > MAX_AMOUNT,
-        high_n < MIN_AMOUNT,
-        ~F.coalesce(currency.rlike(r"^[A-Z]{3}\z"), F.lit(False)),
-        ~F.coalesce(period.isin(*PAY_PERIODS), F.lit(False)),
-    ]
-    first = F.coalesce(*[F.when(check, F.lit(name)) for name, check in zip(RULES, checks)])
-    return F.when(~D.is_absent(pay), first)
+
+    def not_positive(bound: Column) -> Column:
+        amount = bound["amount"]
+        return bound["given"] & ~F.coalesce((amount > 0) & (amount < float("inf")), F.lit(False))
+
+    def bound(name: str) -> Column:
+        return let(
+            D.field(pay, f"$.{name}"),
+            lambda v: F.struct((~D.is_absent(v)).alias("given"), D.as_number(v).alias("amount")),
+        )
+
+    def first_broken(low: Column, high: Column) -> Column:
+        least, most = low["amount"], high["amount"]
+        keys = F.array(*[F.lit(k) for k in ("currency", "max", "min", "period")])
+        names = F.map_keys(D.entries(pay))
+        currency = D.as_string(D.field(pay, "$.currency"))
+        period = D.as_string(D.field(pay, "$.period"))
+        checks = [
+            names.isNull(),
+            F.array_sort(names) != keys,
+            not_positive(low),
+            not_positive(high),
+            ~low["given"] & ~high["given"],
+            least > most,
+            least > MAX_AMOUNT,
+            least < MIN_AMOUNT,
+            most > MAX_AMOUNT,
+            most < MIN_AMOUNT,
+            ~F.coalesce(currency.rlike(r"^[A-Z]{3}\z"), F.lit(False)),
+            ~F.coalesce(period.isin(*PAY_PERIODS), F.lit(False)),
+        ]
+        return F.coalesce(*[F.when(check, F.lit(name)) for name, check in zip(RULES, checks)])
+
+    return F.when(
+        ~D.is_absent(pay),
+        let(bound("min"), lambda low: let(bound("max"), lambda high: first_broken(low, high))),
+    )
 
 
 def pay_columns(pay: Column) -> dict[str, Column]:
     """The four stored columns, all null unless the value is valid."""
-    valid = ~D.is_absent(pay) & pay_violation(pay).isNull()
 
-    def bound(name: str) -> Column:
-        amount = F.try_variant_get(pay, f"$.{name}", "double")
-        return F.when(valid, amount.try_cast("decimal(12,2)"))
-
-    return {
-        "pay_min": bound("min"),
-        "pay_max": bound("max"),
-        "pay_currency": F.when(valid, F.try_variant_get(pay, "$.currency", "string")),
-        "pay_period": F.when(valid, F.try_variant_get(pay, "$.period", "string")),
-    }
+    def amount(name: str) -> Column:
+        return F.try_variant_get(pay, f"$.{name}", "double").try_cast("decimal(12,2)").alias(f"pay_{name}")
+
+    def word(name: str) -> Column:
+        return F.try_variant_get(pay, f"$.{name}", "string").alias(f"pay_{name}")
+
+    stored = F.when(
+        ~D.is_absent(pay) & pay_violation(pay).isNull(),
+        F.struct(amount("min"), amount("max"), word("currency"), word("period")),
+    )
+    return {name: stored[name] for name in ("pay_min", "pay_max", "pay_currency", "pay_period")}
 
 
 def pay_struct(low: Column, high: Column, currency: Column, period: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gleanwork.functions.binding import let
 from gleanwork.schemas import HTML_TYPE
 
 # scheme, authority, path, query and fragment, as RFC 3986 appendix B splits them.
@@ -42,30 +43,34 @@ def has_fragment(url: Column) -> Column:
     return F.contains(url, F.lit("#"))
 
 
+def _unpaired(host: Column) -> Column:
+    return F.contains(host, F.lit("[")) != F.contains(host, F.lit("]"))
+
+
 def malformed(url: Column) -> Column:
     """An authority with an unpaired bracket cannot be parsed at all."""
-    host = authority(url)
-    return F.contains(host, F.lit("[")) != F.contains(host, F.lit("]"))
+    return _unpaired(authority(url))
+
+
+def _hostname(site: Column) -> Column:
+    host = F.regexp_replace(site, r"^.*@", "")
+    return F.when(
+        ~_unpaired(host),
+        F.nullif(F.lower(F.regexp_extract(host, r"^(?:\[([^\]]*)\]|([^:\[]*))", 0)), F.lit("")),
+    )
 
 
 def url_hostname(url: Column) -> Column:
     """Lower-cased authority host without user info and port; null when there is none."""
-    host = F.regexp_replace(authority(url), r"^.*@", "")
-    bare = F.when(
-        F.startswith(host, F.lit("[")), F.regexp_extract(host, r"^\[([^\]]*)\]", 1)
-    ).otherwise(F.regexp_extract(host, r"^([^:]*)", 1))
-    return F.when(~malformed(url) & (bare != ""), F.lower(bare))
+    return F.regexp_replace(_hostname(authority(url)), r"[\[\]]", "")
 
 
 def url_host(url: Column) -> Column:
     """The key rules are looked up by: the host, or for a scheme-less address the
     first path segment as written.
     """
-    first = F.element_at(F.split(path(url), "/"), 1)
-    return F.when(
-        ~malformed(url),
-        F.coalesce(url_hostname(url), F.when(first != "", first)),
-    )
+    first = F.nullif(F.regexp_extract(path(url), r"^([^/]*)", 1), F.lit(""))
+    return F.when(authority(url) != "", url_hostname(url)).otherwise(first)
 
 
 def _without_dots(segments: Column) -> Column:
@@ -87,55 +92,77 @@ def _without_dots(segments: Column) -> Column:
     return F.when(joined == "", F.lit("/")).otherwise(joined)
 
 
-def _merged_path(base: Column, ref: Column) -> Column:
+def _merged_path(base_path: Column, own: Column) -> Column:
     """Base directory plus relative path, dot segments resolved."""
-    base_segments = F.split(path(base), "/")
-    folder = F.when(
-        F.element_at(base_segments, -1) != "",
-        F.slice(base_segments, F.lit(1), F.size(base_segments) - 1),
-    ).otherwise(base_segments)
-    parts = F.concat(folder, F.split(path(ref), "/"))
-    last = F.size(parts) - 1
-    # An empty inner segment would turn into a doubled slash.
-    inner = F.filter(parts, lambda part, i: (i == 0) | (i == last) | (part != ""))
-    return _without_dots(inner)
 
+    def folder(segments: Column) -> Column:
+        return F.when(
+            F.element_at(segments, -1) != "", F.slice(segments, F.lit(1), F.size(segments) - 1)
+        ).otherwise(segments)
 
-def url_join(base: Column, ref: Column) -> Column:
-    """Resolve a reference against a base address; null when it cannot be parsed."""
-    own = path(ref)
-    site = F.concat(
-        F.when(scheme(base) != "", F.concat(scheme(base), F.lit(":"))).otherwise(""),
-        F.when(authority(base) != "", F.concat(F.lit("//"), authority(base))).otherwise(""),
+    def tidy(parts: Column) -> Column:
+        # An empty inner segment would turn into a doubled slash.
+        return _without_dots(
+            F.filter(parts, lambda part, i: (i == 0) | (i == F.size(parts) - 1) | (part != ""))
+        )
+
+    return let(
+        F.split(base_path, "/"), lambda segments: let(F.concat(folder(segments), F.split(own, "/")), tidy)
+    )
+
+
+def _parts(url: Column) -> Column:
+    return F.struct(
+        scheme(url).alias("scheme"),
+        authority(url).alias("site"),
+        path(url).alias("path"),
+        query_string(url).alias("query"),
+        fragment(url).alias("fragment"),
     )
+
+
+def _joined(base: Column, ref: Column) -> Column:
+    """The resolved address from the parts of both."""
+    own = ref["path"]
     has_dots = F.concat(F.lit("/"), own, F.lit("/")).rlike(r"/\.\.?/")
     resolved = (
-        F.when(own == "", path(base))
+        F.when(own == "", base["path"])
         .when(
             F.startswith(own, F.lit("/")),
             F.when(has_dots, _without_dots(F.split(own, "/"))).otherwise(own),
         )
-        .otherwise(_merged_path(base, ref))
+        .otherwise(_merged_path(base["path"], own))
     )
-    # Dot segments may have consumed the root.
-    rooted = F.when(
-        (authority(base) != "") & (resolved != "") & ~F.startswith(resolved, F.lit("/")),
-        F.concat(F.lit("/"), resolved),
-    ).otherwise(resolved)
-    kept_query = F.when((own == "") & (query_string(ref) == ""), query_string(base)).otherwise(
-        query_string(ref)
-    )
-    tail = F.concat(
-        F.when(kept_query != "", F.concat(F.lit("?"), kept_query)).otherwise(""),
-        F.when(fragment(ref) != "", F.concat(F.lit("#"), fragment(ref))).otherwise(""),
-    )
-    return F.when(
-        ~malformed(ref) & ~malformed(base),
-        F.when(ref == "", base)
-        .when(base == "", ref)
-        .when(scheme(ref) != "", ref)
+    kept_query = F.when((own == "") & (ref["query"] == ""), base["query"]).otherwise(ref["query"])
+    has_site = base["site"] != ""
+
+    def whole(resolved: Column) -> Column:
+        # Dot segments may have consumed the root.
+        slash = F.when(has_site & (resolved != "") & ~F.startswith(resolved, F.lit("/")), F.lit("/"))
+        return F.concat(
+            F.when(base["scheme"] != "", F.concat(base["scheme"], F.lit(":"))).otherwise(""),
+            F.when(has_site, F.concat(F.lit("//"), base["site"])).otherwise(""),
+            F.coalesce(slash, F.lit("")),
+            resolved,
+            let(kept_query, lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise("")),
+            F.when(ref["fragment"] != "", F.concat(F.lit("#"), ref["fragment"])).otherwise(""),
+        )
+
+    return F.when(~_unpaired(base["site"]), let(resolved, whole))
+
+
+def url_join(base: Column, ref: Column) -> Column:
+    """Resolve a reference against a base address; null when it cannot be parsed.
+
+    Every part is bound once, so the expression stays small wherever it is used.
+    """
+    absolute = ref.rlike(_SCHEME)
+    return (
+        F.when(malformed(ref), F.lit(None).cast("string"))
+        .when(absolute | (base == ""), ref)
+        .when(ref == "", base)
         .when(F.startswith(ref, F.lit("//")), F.concat(scheme(base), F.lit(":"), ref))
-        .otherwise(F.concat(site, rooted, tail)),
+        .otherwise(let(_parts(base), lambda b: let(_parts(ref), lambda r: _joined(b, r))))
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanwork.functions.urls import url_host
 from gleanwork.operators import rules as R
-from gleanwork.operators.joins import lookup_join
+from gleanwork.operators.joins import fits, lookup_join
 from gleanwork.operators.silver import is_mapped
 
 
@@ -34,7 +34,7 @@ def backfill_state(
         ).withColumn("kind", F.when(mapped, F.lit(R.DETAIL)).otherwise(F.lit(R.EXTRACTION)))
     else:
         keyed = candidates.withColumn("host", url_host(F.col("url"))).withColumn("kind", F.lit(R.EXTRACTION))
-    joined = lookup_join(keyed, lookup, ["host", "kind"], "left", ["url"])
+    joined = lookup_join(keyed, lookup, ["host", "kind"], "left", ["url"], fits(lookup))
     return joined.withColumn("has_rule", F.coalesce("has_rule", F.lit(False))).drop("kind")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanwork.functions.urls import strip_filter_params
-from gleanwork.operators.joins import lookup_join
+from gleanwork.operators.joins import fits, lookup_join
 from gleanwork.schemas import BOARD_API, BOARD_TYPES
 
 
@@ -71,7 +71,7 @@ def conflicting_boards(candidates: DataFrame, boards: DataFrame) -> DataFrame:
         holders = boards.groupBy(key).agg(
             F.min("id").alias("__low"), F.max("id").alias("__high")
         )
-        joined = lookup_join(candidates, holders, [key], "inner", ["id"])
+        joined = candidates.join(holders, key)
         other = ~(F.col("__low").eqNullSafe(F.col("id")) & F.col("__high").eqNullSafe(F.col("id")))
         return joined.filter(other).select(candidates.columns)
 
@@ -149,7 +149,7 @@ def detach_deleted_boards(rows: DataFrame, deleted: DataFrame, spread_by: list[s
     """Bronze rows or events whose board is gone lose the reference to it."""
     gone = deleted.select(F.col("id").alias("start_url_id"), F.lit(True).alias("__gone")).distinct()
     return (
-        lookup_join(rows, gone, ["start_url_id"], "left", spread_by)
+        lookup_join(rows, gone, ["start_url_id"], "left", spread_by, fits(gone))
         .withColumn("start_url_id", F.when(F.col("__gone").isNull(), F.col("start_url_id")))
         .select(rows.columns)
     )

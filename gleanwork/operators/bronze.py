@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanwork.functions import documents as D
 from gleanwork.functions.ids import uuid_or_null, uuid_value_or_null
-from gleanwork.operators.joins import lookup_join
+from gleanwork.operators.joins import fits, lookup_join
 from gleanwork.schemas import HTML_TYPE
 from gleanwork.sources.messages import END_RUN, ITEM_TAG, START_RUN
 
@@ -194,7 +194,7 @@ def expired_runs(runs: DataFrame, ended: DataFrame | None = None, keep: int = KE
     if ended is not None:
         cutoffs = cutoffs.join(ended.select("spider_name").distinct(), "spider_name", "left_semi")
     return (
-        lookup_join(runs, cutoffs, ["spider_name"], "inner", ["id"])
+        runs.join(cutoffs, "spider_name")
         .filter(F.col("started_at") < F.col("cutoff"))
         .select("id")
     )
@@ -207,7 +207,9 @@ def tombstone(
     old = expired_runs(runs, ended, keep).select(
         F.col("id").alias("last_seen_run_id"), F.lit(True).alias("__old")
     )
-    marked = lookup_join(bronze, old, ["last_seen_run_id"], "left", ["url"])
+    # Counting the old runs reads the small run table only, whereas shuffling Bronze by run
+    # would move the whole table and pile up the rows of the newest runs.
+    marked = lookup_join(bronze, old, ["last_seen_run_id"], "left", ["url"], fits(old))
     return marked.withColumn(
         "deleted_at",
         F.when(F.col("deleted_at").isNull() & F.col("__old"), now).otherwise(F.col("deleted_at")),

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanwork.operators.joins import lookup_join
+from gleanwork.operators.joins import fits, lookup_join
 
 ACQUIRE, RELEASE = "acquire", "release"
 REQUEST_TTL_SECONDS = 1800
@@ -170,7 +170,7 @@ def granted_claims(
         )
     )
     chunked = (
-        lookup_join(narrow, busy, ["key"], "left", ["seq"])
+        lookup_join(narrow, busy, ["key"], "left", ["seq"], fits(busy))
         .withColumn("chunk", F.coalesce(((F.col("ts") - F.col("low")) / F.col("width")).cast("bigint"), F.lit(-1)))
         .select("key", "chunk", "ts", "seq", "release")
     )

@@ -6,32 +6,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanwork.functions import documents as D
+from gleanwork.functions.binding import let
 from gleanwork.functions.urls import filter_params
-from gleanwork.operators.joins import lookup_join
+from gleanwork.operators.joins import pinned
 
 
-def judge_postings(refs: DataFrame, stored_urls: DataFrame) -> DataFrame:
-    """refs plus `checks`: per filter key whether it is valid, resolved and matched.
+def with_filters(responses: DataFrame) -> DataFrame:
+    """responses(stored_url, ...) plus the filters its board address carries.
 
-    The keys come from the response's stored board address; the evaluation is a per-row
-    expression, so nothing is multiplied or shuffled for it.
+    Parsed per response, before the postings are exploded from it.
+    """
+    return responses.withColumn("filters", filter_params(F.col("stored_url")))
+
+
+def judge_postings(refs: DataFrame) -> DataFrame:
+    """refs(..., document, filters) with `checks` for the filters: per key whether it is
+    valid, resolved and matched.
+
+    A per-row expression, so nothing is multiplied or shuffled for it.
     """
-    filters = stored_urls.select("response_id", filter_params(F.col("stored_url")).alias("filters"))
-    tagged = lookup_join(refs, filters, ["response_id"], "left", ["response_id", "position"])
-    no_filters = F.array().cast("array<struct<key:string,values:array<string>>>")
 
     def check(entry):
-        valid = entry["key"].rlike(D.PATH_SQL)
-        found = D.eval_path(F.col("document"), F.when(valid, entry["key"]))
-        texts = F.transform(found["items"], D.filter_text)
-        return F.struct(
-            entry["key"].alias("key"),
-            F.coalesce(valid, F.lit(False)).alias("valid"),
-            F.coalesce(found["resolved"], F.lit(False)).alias("resolved"),
-            F.coalesce(F.arrays_overlap(texts, entry["values"]), F.lit(False)).alias("matched"),
-        )
+        def judged(found):
+            return F.struct(
+                entry["key"].alias("key"),
+                F.coalesce(entry["key"].rlike(D.PATH_SQL), F.lit(False)).alias("valid"),
+                F.coalesce(found["resolved"], F.lit(False)).alias("resolved"),
+                F.coalesce(
+                    F.arrays_overlap(F.transform(found["items"], D.filter_text), entry["values"]), F.lit(False)
+                ).alias("matched"),
+            )
+
+        usable = F.when(entry["key"].rlike(D.PATH_SQL), entry["key"])
+        return let(D.eval_path(F.col("document"), usable), judged)
 
-    return tagged.withColumn("checks", F.transform(F.coalesce("filters", no_filters), check)).drop("filters")
+    return pinned(refs, checks=F.transform("filters", check)).drop("filters")
 
 
 def response_verdicts(judged: DataFrame) -> DataFrame:
@@ -65,20 +74,16 @@ def response_verdicts(judged: DataFrame) -> DataFrame:
     )
 
 
-def apply_posting_filters(refs: DataFrame, stored_urls: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(surviving references, refused responses).
+def apply_posting_filters(refs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(surviving references, refused responses) of refs(response_id, ..., filters).
 
     Keys combine with AND, a key's values with OR, a list matches on any element.
-    References without a document pass unless their whole response is refused.
+    References without a document pass unless their whole response is refused. The anti
+    join is left to adaptive execution: refusals are few and get broadcast by measured
+    size, and a response holding most postings is split as a skewed partition.
     """
-    judged = judge_postings(refs, stored_urls)
+    judged = judge_postings(refs)
     refused = response_verdicts(judged)
     passing = F.col("document").isNull() | F.forall("checks", lambda check: check["matched"])
-    kept = lookup_join(
-        judged.filter(passing).drop("checks"),
-        refused.select("response_id"),
-        ["response_id"],
-        "left_anti",
-        ["response_id", "position"],
-    )
+    kept = judged.filter(passing).drop("checks").join(refused.select("response_id"), "response_id", "left_anti")
     return kept, refused

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleanwork.functions import htmltree
+from gleanwork.functions.binding import let
 from gleanwork.functions.urls import next_page_url, url_join
 from gleanwork.operators import rules as R
 from gleanwork.schemas import NODES
@@ -66,11 +67,6 @@ def node_rows(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.inline(shred(F.col("html"))))
 
 
-def let(value: Column, then) -> Column:
-    """Bind a value once and use it several times inside an expression."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def first(items: Column, predicate) -> Column:
     return F.get(F.filter(items, predicate), F.lit(0))
 

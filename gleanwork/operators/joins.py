@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A side is broadcast only after a bounded count proved it has at most this many rows.
@@ -11,6 +11,18 @@ SALTS = 64
 _SALT = "__salt"
 
 
+def pinned(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once.
+
+    The optimizer copies an expression into every filter pushed past it. One row exploded
+    to one row stops that, which pays for expressions costing more than a row copy.
+    """
+    packed = F.struct(*[value.alias(name) for name, value in columns.items()])
+    kept = [c for c in df.columns if c not in columns]
+    exploded = df.select(*kept, F.explode(F.array(packed)).alias("__pinned"))
+    return exploded.select(*kept, *[F.col("__pinned")[name].alias(name) for name in columns])
+
+
 def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether the frame has at most `rows` rows; never counts further than that."""
     return df.limit(rows + 1).count() <= rows
@@ -22,21 +34,23 @@ def lookup_join(
     on: list[str],
     how: str,
     spread_by: list[str],
-    rows: int = BROADCAST_ROWS,
-    salts: int = SALTS,
     small_fits: bool | None = None,
+    salts: int = SALTS,
 ) -> DataFrame:
     """Join a large frame to a lookup keyed by a possibly very hot key.
 
-    The lookup is broadcast when its size is proven small (by the caller's
-    `small_fits`, else by a bounded count). Otherwise it is replicated once per salt and
-    the large side spread over the salts by `spread_by`, so a key with a third of all
-    rows becomes `salts` shuffle partitions. Exact for inner, left, left_semi and
-    left_anti, because each large row meets exactly one replica.
+    `small_fits` is what the caller knows about the lookup: True (its size is proven, by
+    construction or by `fits`) broadcasts it; False replicates it once per salt and spreads
+    the large side over the salts by `spread_by`, so a key with a third of all rows becomes
+    `salts` shuffle partitions; None leaves it to adaptive execution, which broadcasts by
+    the measured size and else splits skewed partitions. All are exact for inner, left,
+    left_semi and left_anti, because each large row meets exactly one replica.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"a salted join cannot be {how}")
-    if fits(small, rows) if small_fits is None else small_fits:
+    if small_fits is None:
+        return big.join(small, on, how)
+    if small_fits:
         return big.join(F.broadcast(small), on, how)
     spread = big.withColumn(_SALT, F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
     copies = small.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanwork.functions import documents as D
+from gleanwork.functions.binding import let
 from gleanwork.functions.urls import url_host, url_join
 from gleanwork.operators import rules as R
-from gleanwork.operators.joins import lookup_join
+from gleanwork.operators.joins import fits, lookup_join, pinned
 
 # Beyond this many distinct rules one CASE per field gets too wide to compile well.
 RULES_PER_PASS = 200
@@ -20,11 +21,14 @@ def attach_rule(
     df: DataFrame, winners: DataFrame, kind: str, url: Column, spread_by: list[str],
     small_fits: bool | None = None,
 ) -> DataFrame:
-    """Add `host` and the `rule_id` serving it (null when no rule does)."""
+    """Add `host` and the `rule_id` serving it (null when no rule does).
+
+    Rules are broadcast after their number is checked (here, unless the caller knows it):
+    one host may hold most rows, and shuffling by host would pile them into one task.
+    """
     lookup = winners.filter(F.col("kind") == kind).select(F.col("domain").alias("host"), "rule_id")
-    return lookup_join(
-        df.withColumn("host", url_host(url)), lookup, ["host"], "left", spread_by, small_fits=small_fits
-    )
+    known = fits(lookup) if small_fits is None else small_fits
+    return lookup_join(df.withColumn("host", url_host(url)), lookup, ["host"], "left", spread_by, known)
 
 
 def by_rule(rules: dict[int, object], build) -> Column | None:
@@ -88,9 +92,7 @@ def map_detail(df: DataFrame, rules: list[R.Rule]) -> DataFrame:
                 values.append(F.when(~D.is_absent(value), value).alias(field))
                 errors.append(error)
         errors.append(F.lit(None).cast("string"))
-        return part.withColumns(
-            {"mapped": F.struct(*values), "rule_error": F.coalesce(*errors)}
-        )
+        return pinned(part, mapped=F.struct(*values), rule_error=F.coalesce(*errors))
 
     return in_passes(df, rules, R.DETAIL, select)
 
@@ -98,20 +100,25 @@ def map_detail(df: DataFrame, rules: list[R.Rule]) -> DataFrame:
 def map_index(responses: DataFrame, rules: list[R.Rule]) -> DataFrame:
     """One reference per element of the response's postings list.
 
-    responses(response_id, response_url, start_url_id, doc, rule_id). Returns
-    (response_id, response_url, start_url_id, position, url, document); an element without
-    a usable address is dropped alone, and document is null unless the element is itself
-    an object or array (it then has to be fetched).
+    responses(response_id, response_url, start_url_id, doc, rule_id, ...). Returns
+    (response_id, response_url, start_url_id, position, url, document) and the response's
+    further columns; an element without a usable address is dropped alone, and document is
+    null unless the element is itself an object or array (it then has to be fetched).
     """
+    carried = [c for c in responses.columns if c not in ("doc", "rule_id", "host", "text", "body")]
 
     def select(part: DataFrame, chosen: dict[int, R.Rule]) -> DataFrame:
         specs = {i: rule.spec("postings") for i, rule in chosen.items()}
-        postings = by_rule(specs, lambda spec, on: R.compile_field(spec, F.col("doc"), on)[0])
-        listed = D.elements(postings) if postings is not None else F.array().cast("array<variant>")
-        exploded = part.select(
-            "response_id", "response_url", "start_url_id", "rule_id",
-            F.posexplode(listed).alias("position", "element"),
-        )
+
+        def postings(spec, on):
+            if isinstance(spec, str):
+                return D.path_items(F.col("doc"), spec)
+            return D.elements(R.compile_field(spec, F.col("doc"), on)[0])
+
+        listed = by_rule(specs, postings)
+        if listed is None:
+            listed = F.array().cast("array<variant>")
+        exploded = part.select(*carried, "rule_id", F.posexplode(listed).alias("position", "element"))
         addresses = {i: rule.spec("posting_url") for i, rule in chosen.items()}
 
         def read(spec, on):
@@ -122,15 +129,10 @@ def map_index(responses: DataFrame, rules: list[R.Rule]) -> DataFrame:
         if address is None:
             address = F.lit(None).cast("string")
         is_document = D.elements(F.col("element")).isNotNull() | D.entries(F.col("element")).isNotNull()
-        return (
-            exploded.withColumn("address", address)
-            .filter(F.col("address") != "")
-            .select(
-                "response_id", "response_url", "start_url_id", "position",
-                url_join(F.col("response_url"), F.col("address")).alias("url"),
-                F.when(is_document, F.col("element")).alias("document"),
-            )
-            .filter(F.col("url").isNotNull())
-        )
+        absolute = let(address, lambda a: F.when(a != "", url_join(F.col("response_url"), a)))
+        read_once = pinned(exploded, url=absolute).filter(F.col("url").isNotNull())
+        return read_once.select(
+            *carried, "position", "url", F.when(is_document, F.col("element")).alias("document")
+        )
 
     return in_passes(responses, rules, R.INDEX, select)

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from gleanwork.functions import documents as D
 from gleanwork.functions.ids import url_key
 from gleanwork.functions.pay import pay_columns
+from gleanwork.functions.binding import let
 from gleanwork.functions.urls import url_hostname
 from gleanwork.operators import rules as R
 from gleanwork.operators.html import extract_pages
+from gleanwork.operators.joins import pinned
 from gleanwork.operators.mapping import attach_rule, map_detail
 from gleanwork.schemas import (
     INVALID_SHAPE, JSON_TYPE, NO_RULE, RULE_RAISED, STAGE_DETAIL, UNKNOWN_DOMAIN, UNPARSEABLE,
@@ -84,24 +86,26 @@ def judge_mapped(
         winners, R.DETAIL, F.col("source_url"), ["url"], small_fits,
     )
     mapped = map_detail(attached, rules)
-    violation = shape_violation(F.col("mapped"))
-    return (
-        mapped.withColumn("violation", violation)
-        .withColumn(
-            "reason",
+    def judged(violation: Column) -> Column:
+        reason = (
             F.when(F.col("doc").isNull(), UNPARSEABLE)
             .when(F.col("rule_id").isNull(), NO_RULE)
             .when(F.col("rule_error").isNotNull(), RULE_RAISED)
-            .when(F.col("violation").isNotNull(), INVALID_SHAPE),
+            .when(violation.isNotNull(), INVALID_SHAPE)
         )
-        .withColumn(
-            "detail",
-            F.when(F.col("reason") == UNPARSEABLE, body_problem(F.col("raw_content")))
-            .when(F.col("reason") == RULE_RAISED, F.col("rule_error"))
-            .when(F.col("reason") == INVALID_SHAPE, F.col("violation")),
+        return let(
+            reason,
+            lambda r: F.struct(
+                r.alias("reason"),
+                F.when(r == UNPARSEABLE, body_problem(F.col("raw_content")))
+                .when(r == RULE_RAISED, F.col("rule_error"))
+                .when(r == INVALID_SHAPE, violation)
+                .alias("detail"),
+            ),
         )
-        .drop("violation", "rule_error", "doc")
-    )
+
+    verdict = pinned(mapped, verdict=let(shape_violation(F.col("mapped")), judged))
+    return verdict.select("*", "verdict.reason", "verdict.detail").drop("verdict", "rule_error", "doc")
 
 
 def judge_pages(
