@@ -15,6 +15,7 @@ from gleanwork.functions import htmltree
 from gleanwork.functions.binding import let
 from gleanwork.functions.urls import next_page_url, url_join
 from gleanwork.operators import rules as R
+from gleanwork.operators.joins import pinned
 from gleanwork.schemas import NODES
 
 
@@ -59,7 +60,17 @@ def markdown(fragment):
 
 def shred_pages(pages: DataFrame) -> DataFrame:
     """pages(url, html, ...) with `nodes` in place of the markup."""
-    return pages.withColumn("nodes", shred(F.col("html")))
+    return pinned(pages, nodes=shred(F.col("html")))
+
+
+def rendered(df: DataFrame, name: str, render, nodes: Column) -> DataFrame:
+    """Add the output of a node renderer (`to_html`, `markdown_of`) over a nodes expression.
+
+    The argument is made a column of its own first: a worker function over an expression
+    with nested lambdas is not always split off the plan.
+    """
+    given = pinned(df, __nodes=nodes)
+    return pinned(given, **{name: render(F.col("__nodes"))}).drop("__nodes")
 
 
 def node_rows(pages: DataFrame) -> DataFrame:
@@ -384,10 +395,8 @@ def extract_pages(pages: DataFrame, rules: list[R.Rule]) -> DataFrame:
     if read is None:
         nothing = F.struct(*[absent.alias(f) for f in R.SILVER_FIELDS])
         return pages.withColumn("mapped", F.when(F.lit(False), nothing))
-    shredded = pages.withColumn(
-        "nodes", F.when(F.col("rule_id").isin(*known), F.col("html"))
-    ).withColumn("nodes", shred(F.col("nodes")))
-    found = shredded.withColumn("found", read).withColumn("description", markdown_of(F.col("found.prose")))
+    shredded = pinned(pages, nodes=shred(F.when(F.col("rule_id").isin(*known), F.col("html"))))
+    found = rendered(pinned(shredded, found=read), "description", markdown_of, F.col("found.prose"))
     level = F.col("found.experience_level")
     fields = {
         "title": F.coalesce(F.col("found.title"), F.lit("")).cast("variant"),

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleanwork.functions import documents as D
+from gleanwork.functions.digests import node_digest
 from gleanwork.functions.pay import pay_violation
 from gleanwork.operators.quality import metadata_violations
 
@@ -102,29 +101,14 @@ def field_differences(expected: DataFrame, actual: DataFrame, key: str) -> DataF
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def node_digests(documents):
     """A digest of every object and array of a document, the document itself included."""
-    import hashlib
     import json
 
     import pyarrow as pa
 
-    def canonical(node):
-        if isinstance(node, dict):
-            return {k: canonical(v) for k, v in node.items()}
-        if isinstance(node, list):
-            return [canonical(v) for v in node]
-        if isinstance(node, float) and node.is_integer():
-            return int(node)
-        return node
-
     def digests(text):
-        found, pending = set(), [canonical(json.loads(text))]
-        while pending:
-            node = pending.pop()
-            if isinstance(node, (dict, list)):
-                body = json.dumps(node, sort_keys=True, ensure_ascii=False)
-                found.add(hashlib.sha256(body.encode("utf-8", "surrogatepass")).hexdigest())
-                pending.extend(node.values() if isinstance(node, dict) else node)
-        return sorted(found)
+        found: set[str] = set()
+        node_digest(json.loads(text), found)
+        return list(found)
 
     return pa.array([None if t is None else digests(t) for t in documents.to_pylist()], pa.list_(pa.string()))
 
@@ -132,25 +116,13 @@ def node_digests(documents):
 @F.arrow_udf(T.StringType())
 def document_digest(documents):
     """The digest `node_digests` gives a document as a whole."""
-    import hashlib
     import json
 
     import pyarrow as pa
 
-    def canonical(node):
-        if isinstance(node, dict):
-            return {k: canonical(v) for k, v in node.items()}
-        if isinstance(node, list):
-            return [canonical(v) for v in node]
-        if isinstance(node, float) and node.is_integer():
-            return int(node)
-        return node
-
-    def digest(text):
-        body = json.dumps(canonical(json.loads(text)), sort_keys=True, ensure_ascii=False)
-        return hashlib.sha256(body.encode("utf-8", "surrogatepass")).hexdigest()
-
-    return pa.array([None if t is None else digest(t) for t in documents.to_pylist()], pa.string())
+    return pa.array(
+        [None if t is None else node_digest(json.loads(t)) for t in documents.to_pylist()], pa.string()
+    )
 
 
 def foreign_documents(refs: DataFrame, responses: DataFrame) -> DataFrame:
@@ -169,7 +141,3 @@ def foreign_documents(refs: DataFrame, responses: DataFrame) -> DataFrame:
         .join(nodes, ["response_id", "digest"], "left_anti")
         .select("response_id", "url")
     )
-
-
-def all_differences(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

@@ -32,9 +32,17 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table, its zone-less timestamps read as UTC."""
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A driver table, its zone-less timestamps read as UTC.
+
+    The given tables are one file each, which one core would read alone. With `spread`,
+    meant for costly work per row, a table of fewer files than cores is dealt out to all of
+    them; a table of many files is left as it is.
+    """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if spread and len(df.inputFiles()) < cores:
+        df = df.repartition(cores)
     zoneless = [f.name for f in df.schema if f.dataType.simpleString() == "timestamp_ntz"]
     return df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless}) if zoneless else df
 
