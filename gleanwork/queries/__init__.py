@@ -1,2 +1,2 @@
-from gleanwork.queries import html, snapshot  # noqa: F401
+from gleanwork.queries import streams  # noqa: F401
 from gleanwork.queries.registry import ORACLES, QUERIES

@@ -11,12 +11,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BUCKETS = 1024
-_MANIFEST = "bucket int, batch bigint"
+_MANIFEST = "bucket int, batch bigint, rows bigint"
 
 
 def read_table(spark: SparkSession, name: str, schema: T.StructType | None = None) -> DataFrame:
@@ -39,30 +40,32 @@ class KeyedTable:
     def bucket(self) -> Column:
         return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
 
-    def _committed(self, before: int | None = None) -> dict[int, int]:
-        """bucket -> newest committed batch; at most `buckets` small rows."""
+    def _committed(self, before: int | None = None) -> dict[int, tuple[int, int]]:
+        """bucket -> (newest committed batch, its rows); at most `buckets` small rows."""
         try:
             manifest = self.spark.read.schema(_MANIFEST).parquet(f"{self.path}/manifest")
-        except Exception as problem:
-            if "PATH_NOT_FOUND" in str(problem):
+        except AnalysisException as problem:
+            if problem.getCondition() == "PATH_NOT_FOUND":
                 return {}
             raise
         if before is not None:
             manifest = manifest.filter(F.col("batch") < before)
-        newest = manifest.groupBy("bucket").agg(F.max("batch").alias("batch"))
-        return {row["bucket"]: row["batch"] for row in newest.collect()}
+        newest = manifest.groupBy("bucket").agg(F.max(F.struct("batch", "rows")).alias("newest"))
+        return {row["bucket"]: tuple(row["newest"]) for row in newest.collect()}
 
     def read(self, before: int | None = None, only: list[int] | None = None) -> DataFrame:
         """The table as of the last commit (or before a batch), optionally some buckets."""
         committed = self._committed(before)
         wanted = committed if only is None else {b: committed[b] for b in only if b in committed}
-        if not wanted:
+        paths = [
+            f"{self.path}/data/batch={batch}/bucket={b}" for b, (batch, rows) in sorted(wanted.items()) if rows
+        ]
+        if not paths:
             return self.spark.createDataFrame([], self.schema)
-        paths = [f"{self.path}/data/batch={batch}/bucket={b}" for b, batch in sorted(wanted.items())]
         return self.spark.read.schema(self.schema).parquet(*paths)
 
     def next_batch(self) -> int:
-        return max(self._committed().values(), default=-1) + 1
+        return max((batch for batch, _ in self._committed().values()), default=-1) + 1
 
     def update(
         self, changes: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], batch: int | None = None
@@ -82,37 +85,24 @@ class KeyedTable:
     def rewrite(self, change: Callable[[DataFrame], DataFrame], batch: int | None = None) -> None:
         """Replace the whole table (a change not limited to known keys)."""
         batch = self.next_batch() if batch is None else batch
-        before = self._committed(batch)
-        self._write(change(self.read(before=batch)), sorted(before), batch)
+        self._write(change(self.read(before=batch)), list(range(self.buckets)), batch)
 
     def _write(self, rows: DataFrame, touched: list[int], batch: int) -> None:
-        if not touched:
-            return
         typed = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema])
+        path = f"{self.path}/data/batch={batch}"
         # A bucket is one shuffle partition and one file; keys are unique, so none is hot.
         (
             typed.withColumn("bucket", self.bucket())
             .repartition(len(touched), "bucket")
             .write.mode("overwrite")
             .partitionBy("bucket")
-            .parquet(f"{self.path}/data/batch={batch}")
+            .parquet(path)
         )
-        written = self.spark.createDataFrame([(b, batch) for b in touched], _MANIFEST)
-        empty = [b for b in touched if not self._exists(f"{self.path}/data/batch={batch}/bucket={b}")]
-        for b in empty:
-            self.spark.createDataFrame([], self.schema).write.mode("overwrite").parquet(
-                f"{self.path}/data/batch={batch}/bucket={b}"
-            )
-        written.coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
-
-    def _exists(self, path: str) -> bool:
-        try:
-            self.spark.read.schema(self.schema).parquet(path)
-            return True
-        except Exception as problem:
-            if "PATH_NOT_FOUND" in str(problem):
-                return False
-            raise
+        stored = self.spark.read.schema(T.StructType([*self.schema, T.StructField("bucket", T.IntegerType())])).parquet(path)
+        counts = {row["bucket"]: row["count"] for row in stored.groupBy("bucket").count().collect()}
+        entries = [(b, batch, counts.get(b, 0)) for b in touched]
+        # The commit: one file, complete or absent.
+        self.spark.createDataFrame(entries, _MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
 
 
 def append_events(events: DataFrame, path: str) -> None:
