@@ -37,16 +37,17 @@ def staged(spark, df, root: str, files: int) -> str:
     return path
 
 
-def ingested(spark, sf):
+def ingested(spark, sf, silver: bool = False):
     """All messages through the stream, in two micro-batches."""
     root = fresh(spark, "ingest")
     rows = message_rows(spark, sf)
     path = staged(spark, rows, root, 2)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    rules, winners = all_rules(spark)
     tables = I.Tables.under(spark, root, BUCKETS)
-    started = I.start_ingest(stream, tables, rules, winners)
-    started.awaitTermination()
+    if silver:
+        I.start_ingest(stream, tables, *all_rules(spark)).awaitTermination()
+    else:
+        I.start_bronze(stream, tables).awaitTermination()
     return tables
 
 
@@ -80,7 +81,7 @@ def stream_runs(spark, sf):
 )
 def stream_refusals(spark, sf):
     """Every JSON row of the stream lacks a rule for its feed."""
-    return I.read_events(ingested(spark, sf)).select("domain", "stage", "reason").distinct()
+    return I.read_events(ingested(spark, sf, silver=True)).select("domain", "stage", "reason").distinct()
 
 
 def requests(spark, sf):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -39,16 +40,19 @@ def builder(app: str = "gleanwork") -> SparkSession.Builder:
     return result
 
 
+@functools.cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="gleanwork-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it.
 
-    Only a session without one (a test, a laptop) gets a local temporary folder.
+    Only a local session without one (a test, a laptop) gets a temporary folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-    local = tempfile.mkdtemp(prefix="gleanwork-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    return _local_dir()

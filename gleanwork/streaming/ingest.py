@@ -113,6 +113,15 @@ def read_events(tables: Tables) -> DataFrame:
     return tables.bronze.spark.read.schema(schemas.INGEST_EVENTS).parquet(f"{tables.root}/events").drop("batch")
 
 
+def start_bronze(raw: DataFrame, tables: Tables, trigger: dict | None = None) -> StreamingQuery:
+    """Run a stream of (seq, value) messages into Bronze and the run registry only."""
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        apply_messages(tables, batch, batch_id)
+
+    return _start(raw, step, f"{tables.root}/checkpoint/bronze", trigger)
+
+
 def start_ingest(
     raw: DataFrame, tables: Tables, rules: list[R.Rule], winners: DataFrame, trigger: dict | None = None
 ) -> StreamingQuery:
