@@ -15,7 +15,7 @@ NOW = datetime(2024, 2, 1)
 
 def raw_messages(spark, sf):
     """Events as JSON messages: items, run starts and ends, and some that are broken."""
-    e = table(spark, sf, "events")
+    e = table(spark, sf, "events", spread=True)
     day = F.date_format("ts", "yyyy-MM-dd")
     user = F.col("user_id").cast("string")
     url = F.concat(F.lit("https://jobs.example.com/"), F.when(F.col("event_type") == "error", "e/").otherwise("c/"), user)

@@ -116,7 +116,7 @@ def decode_body(spark, sf):
         .when(F.col("lang") == "es", F.encode(body, "UTF-32"))
         .otherwise(F.encode(body, "UTF-8"))
     )
-    decoded = table(spark, sf, "documents").select("doc_id", D.parse_document(text.decode_body(raw)).alias("doc"))
+    decoded = table(spark, sf, "documents", spread=True).select("doc_id", D.parse_document(text.decode_body(raw)).alias("doc"))
     return decoded.select("doc_id", F.try_variant_get("doc", "$.text", "string").alias("text"))
 
 
@@ -170,7 +170,7 @@ def pay_period(spark, sf):
 
 def pay_documents(spark, sf):
     """One pay object per line item, spoiled in a way the line's columns choose."""
-    line = table(spark, sf, "lineitem")
+    line = table(spark, sf, "lineitem", spread=True)
     price, flag, n = F.col("l_extendedprice"), F.col("l_returnflag"), F.col("l_linenumber")
     low = F.when(n == 1, F.lit("true")).when(n == 2, F.lit("0")).when((n == 3) & (flag == "A"), F.lit("null")).otherwise(price.cast("decimal(12,3)").cast("string"))
     high = (
@@ -297,7 +297,7 @@ def budget_refusals(spark, sf):
 
 
 def part_metadata(spark, sf):
-    p = table(spark, sf, "part")
+    p = table(spark, sf, "part", spread=True)
     doc = F.to_json(
         F.struct(
             F.col("p_name").alias("title"),

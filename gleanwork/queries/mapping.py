@@ -52,7 +52,7 @@ def order_documents(spark, sf, broken: bool = False):
 
     With `broken`, the order's price decides whether and how its row is spoiled.
     """
-    o = table(spark, sf, "orders")
+    o = table(spark, sf, "orders", spread=True)
     price = F.col("o_totalprice")
     spoil = F.lit(broken)
     year = F.concat(F.lit("Year "), F.year("o_orderdate").cast("string"))

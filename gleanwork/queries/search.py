@@ -217,7 +217,7 @@ def facet_display(spark, sf):
 
 def document_postings(spark, sf):
     """Postings whose descriptions are the documents' whole texts."""
-    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    d = table(spark, sf, "documents", spread=True).join(table(spark, sf, "labels"), "doc_id", "left")
     url = F.concat(F.lit("https://jobs.example.com/d/"), F.col("doc_id").cast("string"))
     paid = F.col("n_chars") % 3 != 0
     return d.select(

@@ -35,7 +35,7 @@ def snapshot_unpinned(spark, sf):
 
 def snapshots(spark, sf):
     """Parts as pinned and as produced documents, altered where their size says so."""
-    p = table(spark, sf, "part")
+    p = table(spark, sf, "part", spread=True)
     size = F.col("p_size")
 
     def doc(title, locations, description, money, meta):
