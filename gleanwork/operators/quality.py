@@ -10,18 +10,20 @@ from gleanwork.functions import documents as D
 from gleanwork.schemas import BOARD_API, HTML_TYPE
 
 OTHER_FIELDS = ("title", "company_name", "employment_type", "locations", "categories", "description")
-_ADDRESS = r'(?i)"\s*https?://'
+_TOKEN = r'"(?:[^"\\]|\\.)*"(?:\s*:)?'
+_ADDRESS = r'(?iU)^"(?:\s|\\[nrtfb])*https?://'
 
 
 def _holds_address(value: Column) -> Column:
     """A string at any depth that starts with a web address.
 
-    Canonical JSON text puts a quote in front of every string and escapes quotes inside
-    one, so a quote directly before the address can only open a string. Object keys also
-    open with a quote; they end in `":`.
+    Canonical JSON text is cut into its string tokens, an object key keeping the colon that
+    follows it, so neither keys nor quotes inside a string can be taken for a value.
     """
-    text = F.regexp_replace(F.to_json(value), r'"(?:[^"\\]|\\.)*"\s*:', "")
-    return F.coalesce(text.rlike(_ADDRESS) | text.rlike(r'(?i)"(?:\\[nrtfb]|\s)*https?://'), F.lit(False))
+    tokens = F.regexp_extract_all(F.to_json(value), F.lit(_TOKEN), F.lit(0))
+    return F.coalesce(
+        F.exists(tokens, lambda token: ~F.endswith(token, F.lit(":")) & token.rlike(_ADDRESS)), F.lit(False)
+    )
 
 
 def metadata_violations(row: Column) -> Column:
