@@ -111,20 +111,34 @@ def _merged_path(base_path: Column, own: Column) -> Column:
     )
 
 
-def _parts(url: Column) -> Column:
+def base_parts(url: Column) -> Column:
+    """What resolving against an address takes from it; compute it once per base."""
     return F.struct(
+        url.alias("url"),
         scheme(url).alias("scheme"),
         authority(url).alias("site"),
         path(url).alias("path"),
         query_string(url).alias("query"),
-        fragment(url).alias("fragment"),
+        malformed(url).alias("malformed"),
+    )
+
+
+def _relative_parts(ref: Column) -> Column:
+    """Path, query and fragment of a reference without scheme and authority."""
+    front = F.substring_index(ref, "#", 1)
+    own = F.substring_index(front, "?", 1)
+    return F.struct(
+        own.alias("path"),
+        F.substring(front, F.length(own) + 2, F.length(front)).alias("query"),
+        F.substring(ref, F.length(front) + 2, F.length(ref)).alias("fragment"),
     )
 
 
 def _joined(base: Column, ref: Column) -> Column:
     """The resolved address from the parts of both."""
     own = ref["path"]
-    has_dots = F.concat(F.lit("/"), own, F.lit("/")).rlike(r"/\.\.?/")
+    framed = F.concat(F.lit("/"), own, F.lit("/"))
+    has_dots = F.contains(framed, F.lit("/./")) | F.contains(framed, F.lit("/../"))
     resolved = (
         F.when(own == "", base["path"])
         .when(
@@ -148,24 +162,27 @@ def _joined(base: Column, ref: Column) -> Column:
             F.when(ref["fragment"] != "", F.concat(F.lit("#"), ref["fragment"])).otherwise(""),
         )
 
-    return F.when(~_unpaired(base["site"]), let(resolved, whole))
-
+    return let(resolved, whole)
 
-def url_join(base: Column, ref: Column) -> Column:
-    """Resolve a reference against a base address; null when it cannot be parsed.
 
-    Every part is bound once, so the expression stays small wherever it is used.
-    """
-    absolute = ref.rlike(_SCHEME)
+def resolve(base: Column, ref: Column) -> Column:
+    """Resolve a reference against `base_parts`; null when either cannot be parsed."""
+    bracketed = F.contains(ref, F.lit("[")) | F.contains(ref, F.lit("]"))
     return (
-        F.when(malformed(ref), F.lit(None).cast("string"))
-        .when(absolute | (base == ""), ref)
-        .when(ref == "", base)
-        .when(F.startswith(ref, F.lit("//")), F.concat(scheme(base), F.lit(":"), ref))
-        .otherwise(let(_parts(base), lambda b: let(_parts(ref), lambda r: _joined(b, r))))
+        F.when(bracketed & malformed(ref), F.lit(None).cast("string"))
+        .when(ref.rlike(_SCHEME) | (base["url"] == ""), ref)
+        .when(base["malformed"], F.lit(None).cast("string"))
+        .when(ref == "", base["url"])
+        .when(F.startswith(ref, F.lit("//")), F.concat(base["scheme"], F.lit(":"), ref))
+        .otherwise(let(_relative_parts(ref), lambda r: _joined(base, r)))
     )
 
 
+def url_join(base: Column, ref: Column) -> Column:
+    """Resolve a reference against a base address; null when it cannot be parsed."""
+    return let(base_parts(base), lambda b: resolve(b, ref))
+
+
 def decode_part(text: Column) -> Column:
     """Percent and plus decoding that leaves a stray percent sign alone."""
     return F.try_url_decode(F.regexp_replace(text, r"%(?![0-9A-Fa-f]{2})", "%25"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanwork.functions import documents as D
@@ -10,80 +10,73 @@ from gleanwork.functions.binding import let
 from gleanwork.functions.urls import filter_params
 from gleanwork.operators.joins import pinned
 
+INVALID_KEY = "invalid_key"
+UNRESOLVED_KEY = "unresolved_key"
 
-def with_filters(responses: DataFrame) -> DataFrame:
-    """responses(stored_url, ...) plus the filters its board address carries.
 
-    Parsed per response, before the postings are exploded from it.
-    """
-    return responses.withColumn("filters", filter_params(F.col("stored_url")))
-
-
-def judge_postings(refs: DataFrame) -> DataFrame:
-    """refs(..., document, filters) with `checks` for the filters: per key whether it is
-    valid, resolved and matched.
+def judge_responses(responses: DataFrame) -> DataFrame:
+    """responses(stored_url, refs, ...) with every ref judged and a `reason` of refusal.
 
-    A per-row expression, so nothing is multiplied or shuffled for it.
+    A response and its postings are one row, so the rules over a whole response (a key that
+    resolves nowhere refuses it) need neither a shuffle nor a join: each posting's outcome
+    per key is worked out once and read by both.
     """
+    keyed = pinned(
+        responses,
+        filters=F.transform(
+            filter_params(F.col("stored_url")),
+            lambda f: F.struct(
+                f["key"].alias("key"), f["values"].alias("values"), f["key"].rlike(D.PATH_SQL).alias("valid")
+            ),
+        ),
+    )
 
-    def check(entry):
-        def judged(found):
-            return F.struct(
-                entry["key"].alias("key"),
-                F.coalesce(entry["key"].rlike(D.PATH_SQL), F.lit(False)).alias("valid"),
-                F.coalesce(found["resolved"], F.lit(False)).alias("resolved"),
-                F.coalesce(
-                    F.arrays_overlap(F.transform(found["items"], D.filter_text), entry["values"]), F.lit(False)
-                ).alias("matched"),
+    def check(document: Column):
+        def run(entry: Column) -> Column:
+            def outcome(found: Column) -> Column:
+                texts = F.transform(found["items"], D.filter_text)
+                return F.struct(
+                    F.coalesce(found["resolved"], F.lit(False)).alias("resolved"),
+                    F.coalesce(F.arrays_overlap(texts, entry["values"]), F.lit(False)).alias("matched"),
+                )
+
+            return F.when(
+                entry["valid"] & document.isNotNull(), let(D.eval_path(document, entry["key"]), outcome)
             )
 
-        usable = F.when(entry["key"].rlike(D.PATH_SQL), entry["key"])
-        return let(D.eval_path(F.col("document"), usable), judged)
-
-    return pinned(refs, checks=F.transform("filters", check)).drop("filters")
+        return run
 
-
-def response_verdicts(judged: DataFrame) -> DataFrame:
-    """(response_id, reason) of responses refused outright.
-
-    `invalid_key`: a key that is no path. `unresolved_key`: a key that resolved on none of
-    the in-hand documents, provided there is one. Both are aggregates keyed by response
-    and key, combined before the shuffle, so one enormous response stays cheap.
-    """
-    per_key = (
-        judged.select("response_id", "document", F.explode("checks").alias("check"))
-        .groupBy("response_id", "check.key")
-        .agg(
-            F.bool_or(~F.col("check.valid")).alias("invalid"),
-            F.bool_or(F.col("check.resolved")).alias("resolved"),
-            F.bool_or(F.col("document").isNotNull()).alias("in_hand"),
-        )
+    judged = pinned(
+        keyed,
+        refs=F.transform(
+            "refs", lambda ref: ref.withField("checks", F.transform("filters", check(ref["document"])))
+        ),
     )
-    return (
-        per_key.groupBy("response_id")
-        .agg(
-            F.bool_or("invalid").alias("invalid"),
-            F.bool_or(F.col("in_hand") & ~F.col("resolved")).alias("unresolved"),
-        )
-        .withColumn(
-            "reason",
-            F.when(F.col("invalid"), "invalid_key").when(F.col("unresolved"), "unresolved_key"),
-        )
-        .filter(F.col("reason").isNotNull())
-        .select("response_id", "reason")
+    in_hand = F.filter("refs", lambda ref: ref["document"].isNotNull())
+    resolved = F.transform(
+        F.sequence(F.lit(0), F.size("filters") - 1),
+        lambda i: F.exists("refs", lambda ref: F.coalesce(F.get(ref["checks"], i)["resolved"], F.lit(False))),
     )
+    has_filters = F.size("filters") > 0
+    reason = F.when(F.exists("filters", lambda f: ~f["valid"]), INVALID_KEY).when(
+        has_filters & (F.size(in_hand) > 0), F.when(~F.forall(resolved, lambda hit: hit), UNRESOLVED_KEY)
+    )
+    return pinned(judged, reason=reason)
 
 
-def apply_posting_filters(refs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(surviving references, refused responses) of refs(response_id, ..., filters).
+def apply_posting_filters(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(surviving references, refused responses) of responses(stored_url, refs, ...).
 
     Keys combine with AND, a key's values with OR, a list matches on any element.
-    References without a document pass unless their whole response is refused. The anti
-    join is left to adaptive execution: refusals are few and get broadcast by measured
-    size, and a response holding most postings is split as a skewed partition.
+    References without a document pass unless their whole response is refused.
     """
-    judged = judge_postings(refs)
-    refused = response_verdicts(judged)
-    passing = F.col("document").isNull() | F.forall("checks", lambda check: check["matched"])
-    kept = judged.filter(passing).drop("checks").join(refused.select("response_id"), "response_id", "left_anti")
+    judged = judge_responses(responses)
+    passing = F.filter(
+        "refs",
+        lambda ref: ref["document"].isNull() | F.forall(ref["checks"], lambda check: check["matched"]),
+    )
+    surviving = F.transform(passing, lambda ref: ref.dropFields("checks"))
+    carried = [c for c in responses.columns if c not in ("refs", "stored_url")]
+    kept = judged.filter(F.col("reason").isNull()).select(*carried, F.inline(surviving))
+    refused = judged.filter(F.col("reason").isNotNull()).select("response_id", "reason")
     return kept, refused

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gleanwork.functions import documents as D
 from gleanwork.functions.binding import let
-from gleanwork.functions.urls import url_host, url_join
+from gleanwork.functions.urls import base_parts, resolve, url_host
 from gleanwork.operators import rules as R
 from gleanwork.operators.joins import fits, lookup_join, pinned
 
@@ -97,42 +97,59 @@ def map_detail(df: DataFrame, rules: list[R.Rule]) -> DataFrame:
     return in_passes(df, rules, R.DETAIL, select)
 
 
-def map_index(responses: DataFrame, rules: list[R.Rule]) -> DataFrame:
-    """One reference per element of the response's postings list.
+def index_refs(responses: DataFrame, rules: list[R.Rule]) -> DataFrame:
+    """responses(response_url, doc, rule_id, ...) with `refs` in place of the document.
 
-    responses(response_id, response_url, start_url_id, doc, rule_id, ...). Returns
-    (response_id, response_url, start_url_id, position, url, document) and the response's
-    further columns; an element without a usable address is dropped alone, and document is
-    null unless the element is itself an object or array (it then has to be fetched).
+    `refs` is an array of (position, url, document), one per element of the response's
+    postings list. An element without a usable address is dropped alone; document is null
+    unless the element is itself an object or array (it then has to be fetched). A response
+    is one row before and after, so nothing is shuffled.
     """
-    carried = [c for c in responses.columns if c not in ("doc", "rule_id", "host", "text", "body")]
+    kept = [c for c in responses.columns if c not in ("doc", "rule_id", "host", "text", "body")]
 
     def select(part: DataFrame, chosen: dict[int, R.Rule]) -> DataFrame:
-        specs = {i: rule.spec("postings") for i, rule in chosen.items()}
-
         def postings(spec, on):
             if isinstance(spec, str):
                 return D.path_items(F.col("doc"), spec)
             return D.elements(R.compile_field(spec, F.col("doc"), on)[0])
 
-        listed = by_rule(specs, postings)
-        if listed is None:
-            listed = F.array().cast("array<variant>")
-        exploded = part.select(*carried, "rule_id", F.posexplode(listed).alias("position", "element"))
-        addresses = {i: rule.spec("posting_url") for i, rule in chosen.items()}
-
-        def read(spec, on):
-            value, error = R.compile_field(spec, F.col("element"), on)
-            return F.when(error.isNull(), D.as_string(value))
-
-        address = by_rule(addresses, read)
-        if address is None:
-            address = F.lit(None).cast("string")
-        is_document = D.elements(F.col("element")).isNotNull() | D.entries(F.col("element")).isNotNull()
-        absolute = let(address, lambda a: F.when(a != "", url_join(F.col("response_url"), a)))
-        read_once = pinned(exploded, url=absolute).filter(F.col("url").isNotNull())
-        return read_once.select(
-            *carried, "position", "url", F.when(is_document, F.col("element")).alias("document")
-        )
+        def addresses(spec, on):
+            if isinstance(spec, dict) and set(spec) == {"sql"}:
+                # The expression reads the posting by the name `element`.
+                return F.expr(f"transform(__listed, element -> cast(({spec['sql']}) as string))")
+
+            def read(element: Column) -> Column:
+                value, error = R.compile_field(spec, element)
+                return F.when(error.isNull(), D.as_string(value))
+
+            return F.transform("__listed", read)
+
+        listed = by_rule({i: rule.spec("postings") for i, rule in chosen.items()}, postings)
+        listed = F.array().cast("array<variant>") if listed is None else listed
+        named = by_rule({i: rule.spec("posting_url") for i, rule in chosen.items()}, addresses)
+        named = F.array().cast("array<string>") if named is None else named
+        # Lists are pinned before they are indexed, or each element would rebuild them.
+        listing = pinned(part, __listed=listed)
+        listing = pinned(listing, __named=named, __base=base_parts(F.col("response_url")))
+
+        def ref(element: Column, i: Column) -> Column:
+            def address(text: Column) -> Column:
+                return F.when(text != "", resolve(F.col("__base"), text))
+
+            is_document = D.elements(element).isNotNull() | D.entries(element).isNotNull()
+            return F.struct(
+                i.alias("position"),
+                let(F.get("__named", i), address).alias("url"),
+                F.when(is_document, element).alias("document"),
+            )
+
+        found = F.filter(F.transform("__listed", ref), lambda r: r["url"].isNotNull())
+        return listing.select(*kept, found.alias("refs"))
 
     return in_passes(responses, rules, R.INDEX, select)
+
+
+def map_index(responses: DataFrame, rules: list[R.Rule]) -> DataFrame:
+    """The references of all responses, one row each."""
+    found = index_refs(responses, rules)
+    return found.select(*[c for c in found.columns if c != "refs"], F.inline("refs"))

@@ -11,9 +11,9 @@ from gleanwork.functions import documents as D
 from gleanwork.functions.text import decode_body
 from gleanwork.functions.urls import url_hostname
 from gleanwork.operators import rules as R
-from gleanwork.operators.filters import apply_posting_filters, with_filters
+from gleanwork.operators.filters import apply_posting_filters
 from gleanwork.operators.html import discover
-from gleanwork.operators.mapping import attach_rule, map_index
+from gleanwork.operators.mapping import attach_rule, index_refs
 from gleanwork.operators.silver import SilverBatch, silver_batch
 from gleanwork.sources.messages import posting_items
 
@@ -36,7 +36,7 @@ def ingest_api(
         parsed.filter(F.col("doc").isNotNull()), winners, R.INDEX, F.col("response_url"), ["response_id"]
     )
     served = usable.filter(F.col("rule_id").isNotNull())
-    kept, unfiltered = apply_posting_filters(map_index(with_filters(served), rules))
+    kept, unfiltered = apply_posting_filters(index_refs(served, rules))
     unparseable = parsed.filter(F.col("doc").isNull()).select(
         "response_id", F.lit("unparseable_content").alias("reason")
     )

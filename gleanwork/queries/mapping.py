@@ -137,15 +137,19 @@ def responses(spark, sf):
     )
 
 
-def references(spark, sf, filtered=False):
+def references(spark, sf):
     rules, winners = all_rules(spark)
-    given = responses(spark, sf)
-    if filtered:
-        given = P.with_filters(given.join(board_addresses(spark, sf), "response_id"))
-    attached = M.attach_rule(given, winners, R.INDEX, F.col("response_url"), ["response_id"])
+    attached = M.attach_rule(responses(spark, sf), winners, R.INDEX, F.col("response_url"), ["response_id"])
     return M.map_index(attached, rules)
 
 
+def filtered(spark, sf):
+    rules, winners = all_rules(spark)
+    given = responses(spark, sf).join(board_addresses(spark, sf), "response_id")
+    attached = M.attach_rule(given, winners, R.INDEX, F.col("response_url"), ["response_id"])
+    return P.apply_posting_filters(M.index_refs(attached, rules))
+
+
 @query(
     "json_index_explode",
     f"""SELECT l_orderkey AS response_id, 'https://{FEED}/v1/p/' || l_linenumber || '?k=' || l_partkey AS url, l_partkey AS part FROM lineitem""",
@@ -191,13 +195,12 @@ j AS (SELECT l.*, b.k, b.officed, 'https://{FEED}/v1/p/' || l_linenumber || '?k=
 
 @query("posting_filters", f"WITH {FILTERED} SELECT l_orderkey AS response_id, url FROM j WHERE matched AND reason IS NULL")
 def posting_filters(spark, sf):
-    kept, _ = P.apply_posting_filters(references(spark, sf, filtered=True))
-    return kept.select("response_id", "url")
+    return filtered(spark, sf)[0].select("response_id", "url")
 
 
 @query("posting_filter_refusals", f"WITH {FILTERED} SELECT DISTINCT l_orderkey AS response_id, reason FROM j WHERE reason IS NOT NULL")
 def posting_filter_refusals(spark, sf):
-    return P.apply_posting_filters(references(spark, sf, filtered=True))[1]
+    return filtered(spark, sf)[1]
 
 
 @query("filter_text", "SELECT l_orderkey, l_linenumber, l_partkey, CASE l_returnflag WHEN 'A' THEN 'A' WHEN 'N' THEN CASE WHEN l_linestatus = 'O' THEN 'true' ELSE 'false' END WHEN 'R' THEN CAST(l_partkey AS VARCHAR) END AS text FROM lineitem")

@@ -220,11 +220,10 @@ def test_posting_filters(spark, query, kept, reason):
 
 
 def test_postings_without_documents_bypass_filters(spark):
-    refs = spark.createDataFrame([("r", 0, "u")], "response_id string, position int, url string")
-    refs = refs.withColumn("document", F.lit(None).cast("variant"))
-    with_filters = P.with_filters(refs.withColumn("stored_url", F.lit("https://a/?filter.x=1")))
-    kept, refused = P.apply_posting_filters(with_filters)
-    assert kept.count() == 1 and refused.count() == 0
+    refs = F.array(F.struct(F.lit(0).alias("position"), F.lit("u").alias("url"), F.lit(None).cast("variant").alias("document")))
+    responses = spark.createDataFrame([("r", "https://a/?filter.x=1")], "response_id string, stored_url string").withColumn("refs", refs)
+    kept, refused = P.apply_posting_filters(responses)
+    assert [r["url"] for r in kept.collect()] == ["u"] and refused.count() == 0
 
 
 POSTING = {
