@@ -146,40 +146,47 @@ def facet_counts(df: DataFrame, selection: Selection, facets: tuple[str, ...] =
     """(facet, value, count) for all facets in one scan and one shuffle.
 
     Each facet is narrowed by the other facets' selections, never by its own, so a row
-    is emitted once per facet whose siblings it satisfies.
+    is emitted once per facet whose siblings it satisfies. A stated employment type also
+    emits a weightless entry for the null value: that group then knows by itself whether a
+    real value exists, which is what the unspecified bucket needs to be shown.
     """
     match = facet_matches(selection)
-    values = {
-        "company": F.array("company_name"),
-        "employment_type": F.array("employment_type"),
-        "location": F.array_distinct(F.coalesce("locations", F.array().cast("array<string>"))),
+
+    def entry(facet: str, value: Column, weight: int = 1) -> Column:
+        return F.struct(
+            F.lit(facet).alias("facet"), value.cast("string").alias("value"), F.lit(weight).alias("weight")
+        )
+
+    stated = F.col("employment_type").isNotNull()
+    places = F.array_distinct(F.coalesce("locations", F.array().cast("array<string>")))
+    entries = {
+        "company": F.array(entry("company", F.col("company_name"))),
+        "employment_type": F.when(
+            stated,
+            F.array(
+                entry("employment_type", F.col("employment_type")),
+                entry("employment_type", F.lit(None), 0),
+            ),
+        ).otherwise(F.array(entry("employment_type", F.lit(None)))),
+        "location": F.transform(places, lambda place: entry("location", place)),
     }
-    none = F.array().cast("array<struct<facet:string,value:string>>")
+    none = F.array().cast("array<struct<facet:string,value:string,weight:int>>")
     emitted = []
     for facet in facets:
         siblings = F.lit(True)
         for other in FACETS:
             if other != facet:
                 siblings = siblings & match[other]
-        tagged = F.transform(
-            values[facet],
-            lambda value: F.struct(
-                F.lit(facet).alias("facet"), value.cast("string").alias("value")
-            ),
-        )
-        emitted.append(F.when(siblings, tagged).otherwise(none))
+        emitted.append(F.when(siblings, entries[facet]).otherwise(none))
     counts = (
         searched(df, selection)
         .select(F.explode(F.concat(*emitted)).alias("entry"))
         .groupBy("entry.facet", "entry.value")
-        .agg(F.count(F.lit(1)).alias("count"))
+        .agg(F.sum("entry.weight").alias("count"), F.count(F.lit(1)).alias("entries"))
     )
-    # The unspecified bucket shows only beside at least one real value. The reporting
-    # side has one row per facet, three at most.
-    reporting = counts.filter(F.col("value").isNotNull()).select("facet").distinct()
-    return (
-        counts.join(F.broadcast(reporting), "facet", "left_semi")
-        .withColumn("value", F.coalesce("value", F.lit(UNSPECIFIED)))
+    shown = F.col("value").isNotNull() | ((F.col("count") > 0) & (F.col("entries") > F.col("count")))
+    return counts.filter(shown).select(
+        "facet", F.coalesce("value", F.lit(UNSPECIFIED)).alias("value"), "count"
     )
 
 

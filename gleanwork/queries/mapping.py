@@ -13,6 +13,7 @@ from gleanwork.operators import mapping as M
 from gleanwork.operators import rules as R
 from gleanwork.queries.functions import listings
 from gleanwork.queries.registry import query, table
+from gleanwork.sources.messages import page_items, posting_items
 
 SHIPPED = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "rules")
 FEED = "boards-api.greenhouse.io"
@@ -159,6 +160,34 @@ def json_index_explode(spark, sf):
     return references(spark, sf).select("response_id", "url", part)
 
 
+@query(
+    "posting_items",
+    f"""SELECT l_orderkey AS response_id, 'https://{FEED}/v1/p/' || l_linenumber || '?k=' || l_partkey AS url, 'application/json' AS content_type,
+    'https://{FEED}/v1/b' || l_orderkey || '/jobs?content=true' AS source_url, CAST(l_orderkey AS VARCHAR) AS start_url_id, 'google' AS spider,
+    l_partkey AS part FROM lineitem""",
+)
+def item_envelopes(spark, sf):
+    """Every posting in hand as the item a crawl emits for it."""
+    items = posting_items(references(spark, sf), "google").select("item.*")
+    return items.select(
+        F.try_variant_get("start_url_id", "$", "bigint").alias("response_id"), "url", "content_type", "source_url",
+        F.try_variant_get("start_url_id", "$", "string").alias("start_url_id"),
+        F.try_variant_get("metadata", "$.spider_name", "string").alias("spider"),
+        F.try_variant_get(F.try_parse_json("raw_content"), "$.part", "bigint").alias("part"),
+    )
+
+
+@query(
+    "page_items",
+    "SELECT url, html AS raw_content, url AS source_url, CASE WHEN url LIKE 'https:%' THEN 'text/html' ELSE 'application/xhtml+xml' END AS content_type FROM pages",
+)
+def page_envelopes(spark, sf):
+    """Every fetched page as an item, its media type bare."""
+    header = F.when(~F.startswith("url", F.lit("https:")), F.lit("Application/XHTML+xml; charset=utf-8"))
+    items = page_items(table(spark, sf, "pages").withColumn("content_type", header), "google")
+    return items.select("item.url", "item.raw_content", "item.source_url", "item.content_type")
+
+
 @query("json_props", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, 'k' AS path, true AS resolved FROM events")
 def json_props(spark, sf):
     found = D.eval_path(D.parse_document(F.col("props")), F.lit("k"))

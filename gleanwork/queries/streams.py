@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gleanwork import schemas
 from gleanwork.operators import bronze as B
+from gleanwork.operators import rules as R
 from gleanwork.queries.bronze import MESSAGES, REGISTRY
 from gleanwork.queries.bronze import raw_messages as message_rows
 from gleanwork.queries.claims import DEDUP
@@ -37,20 +38,33 @@ def staged(spark, df, root: str, files: int) -> str:
     return path
 
 
-def ingested(spark, sf, silver: bool = False):
-    """All messages through the stream, in two micro-batches."""
+def ingested(spark, sf, rules=None):
+    """All messages through the stream, in two micro-batches; with rules on to Silver."""
     root = fresh(spark, "ingest")
     rows = message_rows(spark, sf)
     path = staged(spark, rows, root, 2)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
     tables = I.Tables.under(spark, root, BUCKETS)
-    if silver:
-        I.start_ingest(stream, tables, *all_rules(spark)).awaitTermination()
-    else:
+    if rules is None:
         I.start_bronze(stream, tables).awaitTermination()
+    else:
+        winners, _ = R.resolve_rules(R.rules_table(spark, rules))
+        I.start_ingest(stream, tables, rules, winners).awaitTermination()
     return tables
 
 
+FEED_RULE = {
+    "version": 1,
+    "type": "detail",
+    "domains": ["feed.example.com"],
+    "fields": {
+        "title": {"sql": "concat('Job ', try_variant_get(doc, '$.k', 'string'))"},
+        "company_name": {"sql": "'Acme'"},
+        "description": {"sql": "if(try_variant_get(doc, '$.k', 'int') < 50, 'A job.', '')"},
+    },
+}
+
+
 STATE = """
 l AS (SELECT url, arg_max(raw_content, seq) AS raw_content, arg_max(content_type, seq) AS content_type, arg_max(run_id, seq) AS run_id
       FROM ok WHERE content_type IS NOT NULL GROUP BY url),
@@ -75,13 +89,26 @@ def stream_runs(spark, sf):
     return ingested(spark, sf).runs.read().select("id", "spider_name")
 
 
+CURRENT = f"""{MESSAGES}, {STATE}, c AS (SELECT f.url, coalesce(l.raw_content, f.raw_content) AS body,
+    coalesce(l.content_type, f.content_type) AS content_type FROM f LEFT JOIN l ON l.url = f.url)"""
+
+
 @query(
     "stream_refusals",
-    """SELECT 'feed.example.com' AS domain, 'detail' AS stage, 'no_rule' AS reason""",
+    f"""WITH {CURRENT}, e AS (SELECT url FROM c WHERE content_type = 'application/json')
+    SELECT url AS posting_url, 'feed.example.com' AS domain, 'detail' AS stage, 'no_rule' AS reason FROM e""",
 )
 def stream_refusals(spark, sf):
-    """Every JSON row of the stream lacks a rule for its feed."""
-    return I.read_events(ingested(spark, sf, silver=True)).select("domain", "stage", "reason").distinct()
+    """No rule serves the stream's feed, so every JSON row is refused."""
+    log = I.read_events(ingested(spark, sf, rules=all_rules(spark)[0]))
+    return log.select("posting_url", "domain", "stage", "reason").distinct()
+
+
+@query("stream_silver")
+def stream_silver(spark, sf):
+    """The same feed with a rule: typed rows (checked against the batch path in tests)."""
+    tables = ingested(spark, sf, rules=[R.parse_rule(FEED_RULE)])
+    return tables.silver.read().select("url", "title", "company_name", "description")
 
 
 def requests(spark, sf):

@@ -59,9 +59,13 @@ def main() -> None:
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     from gleanwork.session import builder
 
+    from pyspark.sql import SparkSession
+
     sf, names = sys.argv[1], sys.argv[2:]
+    # PLAIN=1 takes a session without this package's settings, as a caller might.
+    start = SparkSession.builder if os.environ.get("PLAIN") else builder("oracle")
     spark = (
-        builder("oracle").master("local[8]").config("spark.sql.shuffle.partitions", "8")
+        start.master("local[8]").config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "12g").getOrCreate()
     )
     spark.sparkContext.setLogLevel("OFF")

@@ -332,3 +332,48 @@ def test_keyed_table(spark, tmp_path):
     assert sorted(r["id"] for r in table.read(before=1).collect()) == ["a", "b"]
     table.rewrite(lambda current: current.filter("id <> 'a'"))
     assert sorted(r["id"] for r in table.read().collect()) == ["b", "c"]
+
+
+def test_stream_gives_what_the_batch_gives(spark):
+    """One pass of the operators over all messages, against the stream's micro-batches."""
+    from gleanwork.queries import QUERIES
+    from gleanwork.queries.bronze import messages
+    from gleanwork.queries.streams import FEED_RULE
+
+    sf = "/root/testdata/sf0.001"
+    rules = [R.parse_rule(FEED_RULE)]
+    winners, _ = R.resolve_rules(R.rules_table(spark, rules))
+    bronze = B.bronze_upsert(schemas.empty(spark, schemas.BRONZE), messages(spark, sf), F.lit(NOW))
+    accepted = S.silver_batch(bronze, rules, winners, F.lit(NOW)).accepted
+    batch = {tuple(r) for r in accepted.select("url", "title", "company_name", "description").collect()}
+    stream = {tuple(r) for r in QUERIES["stream_silver"](spark, sf).collect()}
+    assert batch
+    # A row accepted in an early micro-batch stays when its later content is refused.
+    assert batch <= stream and {u for u, *_ in stream} >= {u for u, *_ in batch}
+
+
+def test_registered_functions(spark):
+    from gleanwork.functions.registered import register_functions
+
+    register_functions(spark)
+    made = R.parse_rule(rule("detail", {"title": {"sql": "markdown(unescape(try_variant_get(doc, '$.t', 'string')))"}}), spark)
+    docs = spark.createDataFrame([('{"t":"&lt;b&gt;x&lt;/b&gt;"}', 0)], "t string, rule_id int").withColumn("doc", F.parse_json("t"))
+    assert M.map_detail(docs, [made]).select(F.to_json("mapped.title")).first()[0] == '"**x**"'
+    row = spark.sql("SELECT hundredths(parse_json('150')) AS a, hundredths(parse_json('true')) AS b, pay_period('Annual pay') AS c, pay_period('per week or day') AS d").first()
+    assert tuple(row) == (1.5, None, "year", None)
+
+
+def test_custom_index_code(spark):
+    responses = spark.createDataFrame(
+        [("r", "https://mine.io/feed", "https://mine.io/feed", None, bytearray(b'{"u":"https://x.io/9"}'))],
+        "response_id string, response_url string, stored_url string, start_url_id string, body binary",
+    )
+    rules = [R.parse_rule(INDEX)]
+    winners, _ = R.resolve_rules(R.rules_table(spark, rules))
+
+    def mine(df):
+        ref = F.struct(F.lit(0).alias("position"), F.try_variant_get("doc", "$.u", "string").alias("url"), F.col("doc").alias("document"))
+        return df.withColumn("refs", F.array(ref))
+
+    batch = ingest_api(responses, rules, winners, "spider", {"mine.io": mine})
+    assert urls_of(batch) == ["https://x.io/9"] and batch.requests.count() == 0
