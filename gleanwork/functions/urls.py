@@ -73,42 +73,53 @@ def url_host(url: Column) -> Column:
     return F.when(authority(url) != "", url_hostname(url)).otherwise(first)
 
 
-def _without_dots(segments: Column) -> Column:
-    """Resolve `.` and `..` in a list of path segments."""
-    folded = F.aggregate(
-        segments,
-        F.array().cast("array<string>"),
-        lambda done, part: F.when(
-            part == "..",
-            F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))),
+# One step of dot removal: a leading `..`, or a plain segment and the `..` after it.
+_STEP_UP = r"^/\.\.(?=/|$)|/(?!\.\.(?:/|$))[^/]*/\.\.(?=/|$)"
+
+
+def _without_dots(own: Column) -> Column:
+    """Resolve the `.` and `..` segments of a bound path, as many steps as it has `..`."""
+
+    def climbed(path: Column) -> Column:
+        ups = F.regexp_count(path, F.lit(r"/\.\.(?=/|$)"))
+        return F.aggregate(
+            F.sequence(F.lit(0), ups),
+            path,
+            lambda done, _: F.regexp_replace(done, _STEP_UP, ""),
         )
-        .when(part == ".", done)
-        .otherwise(F.concat(done, F.array(part))),
-    )
-    closed = F.when(
-        F.element_at(segments, -1).isin(".", ".."), F.concat(folded, F.array(F.lit("")))
-    ).otherwise(folded)
-    joined = F.array_join(closed, "/")
-    return F.when(joined == "", F.lit("/")).otherwise(joined)
 
+    rooted = F.when(F.startswith(own, F.lit("/")), own).otherwise(F.concat(F.lit("/"), own))
+    plain = let(F.regexp_replace(rooted, r"/\.(?=/|$)", ""), climbed)
+    # A path ending in a dot segment names a folder.
+    ends_in_dots = F.endswith(own, F.lit("/.")) | F.endswith(own, F.lit("/..")) | own.isin(".", "..")
+    slash = F.when(ends_in_dots, F.lit("/")).otherwise(F.lit(""))
+    named = F.regexp_replace(F.concat(plain, slash), r"(?<=/)/$", "")
+    return F.coalesce(F.nullif(F.when(ends_in_dots, named).otherwise(plain), F.lit("")), F.lit("/"))
+
+
+def _has_dots(own: Column) -> Column:
+    framed = F.concat(F.lit("/"), own, F.lit("/"))
+    return F.contains(framed, F.lit("/./")) | F.contains(framed, F.lit("/../"))
 
-def _merged_path(base_path: Column, own: Column) -> Column:
-    """Base directory plus relative path, dot segments resolved."""
 
-    def folder(segments: Column) -> Column:
-        return F.when(
-            F.element_at(segments, -1) != "", F.slice(segments, F.lit(1), F.size(segments) - 1)
-        ).otherwise(segments)
+def _merged_path(base_path: Column, own: Column) -> Column:
+    """Base directory plus relative path, dot segments resolved.
 
-    def tidy(parts: Column) -> Column:
-        # An empty inner segment would turn into a doubled slash.
-        return _without_dots(
-            F.filter(parts, lambda part, i: (i == 0) | (i == F.size(parts) - 1) | (part != ""))
+    Everything up to the base path's last slash, then the relative path; an empty inner
+    segment would turn into a doubled slash, so runs of slashes are closed up.
+    """
+    folder = F.regexp_extract(base_path, r"^(.*/)?", 0)
+
+    def tidy(path: Column) -> Column:
+        closed = F.when(
+            F.contains(path, F.lit("//")), F.regexp_replace(path, r"(?<=[^/])/{2,}|(?<=^)/{2,}", "/")
+        ).otherwise(path)
+        return let(
+            closed,
+            lambda p: F.when(_has_dots(p), _without_dots(p)).otherwise(p),
         )
 
-    return let(
-        F.split(base_path, "/"), lambda segments: let(F.concat(folder(segments), F.split(own, "/")), tidy)
-    )
+    return let(F.concat(folder, own), tidy)
 
 
 def base_parts(url: Column) -> Column:
@@ -137,13 +148,11 @@ def _relative_parts(ref: Column) -> Column:
 def _joined(base: Column, ref: Column) -> Column:
     """The resolved address from the parts of both."""
     own = ref["path"]
-    framed = F.concat(F.lit("/"), own, F.lit("/"))
-    has_dots = F.contains(framed, F.lit("/./")) | F.contains(framed, F.lit("/../"))
     resolved = (
         F.when(own == "", base["path"])
         .when(
             F.startswith(own, F.lit("/")),
-            F.when(has_dots, _without_dots(F.split(own, "/"))).otherwise(own),
+            F.when(_has_dots(own), _without_dots(own)).otherwise(own),
         )
         .otherwise(_merged_path(base["path"], own))
     )

@@ -21,7 +21,7 @@ def test_url_host(values):
 
 BASES = ["https://a.com/careers", "https://a.com/x/y/z?p=1#f", "https://a.com", "http://a.com/x/", "https://a.com/x?q=/../b"]
 REFS = ["/jobs/1", "jobs/1", "", "#top", "?page=2", "../up", "./here", "../../../../far", "//other.io/p", "x/../y/./z",
-        "https://abs.io/a/../b", "mailto:a@b.c", "/a//b", "a//b", ".", "..", "/x/../y?z=1#w", "g;x=1", "a?b=c/../d", "jobs/results/1"]
+        "https://abs.io/a/../b", "mailto:a@b.c", "/a//b", "a//b", ".", "..", "/x/../y?z=1#w", "g;x=1", "a?b=c/../d", "jobs/results/1", "a/./b/../../c/..", "/a/b/../../../c/.", "../..", "x/..", "a/b/.."]
 
 
 def test_url_join_agrees_with_the_standard_library(spark):
