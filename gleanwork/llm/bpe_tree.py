@@ -45,8 +45,8 @@ class TreeBpe:
         self.single = [ranks.get(bytes([b])) for b in range(256)]
         if None in self.single:
             raise ValueError("every single byte must be a token")
-        self.halves: Memo = Memo(self._split, 200_000)
-        self.windows: Memo = Memo(self._window, 400_000)
+        self.halves: Memo = Memo(self._split, 100_000)
+        self.windows: Memo = Memo(self._window, 200_000)
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
         """The ids of one match of the splitting pattern."""

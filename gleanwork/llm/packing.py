@@ -49,7 +49,7 @@ def _encoder(path: str):
     from tokenizers import Tokenizer
 
     encode_batch = Tokenizer.from_file(path).encode_batch_fast
-    pieces, found = Memo(None, 800_000), Memo(None, 1_000_000)
+    pieces, found = Memo(None, 300_000), Memo(None, 500_000)
 
     def parts(word: str) -> tuple[str, ...]:
         letters = word.rstrip(".,")

@@ -36,7 +36,7 @@ class Memo(dict):
     #: Longer keys are computed anew: they seldom repeat and would fill the table.
     KEY_LENGTH = 40
 
-    def __init__(self, compute: Callable, entries: int = 1_000_000):
+    def __init__(self, compute: Callable, entries: int = 400_000):
         super().__init__()
         self.compute, self.half, self.old = compute, entries // 2, {}
 

@@ -112,7 +112,7 @@ def _counter(path: str):
 
     matches = regex.compile(BYTE_LEVEL).findall
     merges, added = read_model(path)
-    pieces = Memo(HeapCounter(merges).count, 300_000)
+    pieces = Memo(HeapCounter(merges).count, 200_000)
 
     def count(segment: str) -> int:
         return sum([pieces[m.encode()] for m in matches(segment)])
