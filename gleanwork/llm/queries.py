@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanwork.llm import bpe_tree, exact_dedup, packing, secrets, token_counts
+from gleanwork.llm import bpe_tree, exact_dedup, license_scan, near_dedup, packing, secret_scan, token_counts, top_k, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,9 +71,57 @@ ORACLES["op4_exact_dedup"] = """
 """
 
 
+@query
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(documents(spark, sf_dir))
+    best = F.get("licenses", F.lit(0))
+    return found.select(
+        "doc_id",
+        F.size("licenses").cast("long").alias("n_licenses"),
+        best["license"].alias("license"),
+        best["coverage"].alias("coverage"),
+        best["start"].cast("long").alias("first_word"),
+        best["stop"].cast("long").alias("past_word"),
+        F.array_join(F.transform("licenses", lambda f: f["license"]), ",").alias("licenses"),
+    )
+
+
+@query
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.groups(documents(spark, sf_dir), width=2).drop("row")
+
+
+@query
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return top_k.search(vectors, F.col("vec_id") % 20 == 0)
+
+
+ORACLES["op7_top_k"] = """
+    WITH whole AS (
+        SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v
+        FROM embeddings
+        WHERE embedding IS NOT NULL AND len([1 for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+    ), scored AS (
+        SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+               CAST(list_sum([p[1] * p[2] for p in list_zip(q.v, c.v)]) AS BIGINT) AS score
+        FROM whole q JOIN whole c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+    )
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+    WHERE rank <= 20
+"""
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.with_scores(documents(spark, sf_dir), labels).select("doc_id", "held_out", "score", "predicted")
+
+
 @query
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(documents(spark, sf_dir))
+    found = secret_scan.scan(documents(spark, sf_dir))
     base = F.filter("spans", lambda s: s["rank"] < 3)
 
     def count(rank: int) -> Column:
@@ -84,8 +132,8 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         count(0).alias("n_assign"),
         count(1).alias("n_access"),
         count(2).alias("n_hex"),
-        F.sha2(secrets.written(base), 256).alias("base_sha256"),
-        secrets.written(F.col("spans")).alias("spans"),
+        F.sha2(secret_scan.written(base), 256).alias("base_sha256"),
+        secret_scan.written(F.col("spans")).alias("spans"),
     )
 
 
