@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from gleanwork.llm.storage import kept
 
-#: Bytes of a block.
-BLOCK = 4096
+#: Bytes of a block, and of the prefix by which blocks are parted for sorting.
+BLOCK, PREFIX = 4096, 48
 
 
 def blocks_of(body: Column, size: int) -> Column:
@@ -42,7 +42,10 @@ def named(parts: DataFrame, keys: list[str]) -> DataFrame:
     `names` is null for documents with a part that occurs once.
     """
     repeated = parts.groupBy(*keys).count().filter("count > 1").select(*keys)
-    names = kept(repeated.orderBy(*keys).withColumn("name", F.monotonically_increasing_id()))
+    # Sorted in ranges of a prefix, whose bounds alone pass through the driver.
+    parts_count = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = repeated.repartitionByRange(parts_count, F.substring(keys[0], 1, PREFIX) if len(keys) == 1 else F.col(keys[0]))
+    names = kept(ranged.sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id()))
     found = parts.join(names, keys, "left")
     whole = found.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),
