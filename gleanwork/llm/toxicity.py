@@ -34,6 +34,7 @@ SAMPLE = 6000
 #: Words without meaning that every text is taken to have besides its own, so that a text
 #: of three words is not judged by one of them.
 PRIOR = 10
+POWER = 2.0
 #: Buckets in fewer texts of the sample tell nothing and have no weight.
 MIN_TEXTS = 4
 #: Word means are a few hundredths; this brings their products near one.
@@ -72,7 +73,7 @@ class Model:
         return float(self.weights[buckets(word)].mean())
 
 
-def fit(rows: list[tuple[bytes, bytes]], labels: list[int], size: int = 4, epochs: int = 10, batch: int = 64, rate: float = 0.05, decay: float = 2e-4, seed: int = 7) -> Model:
+def fit(rows: list[tuple[bytes, bytes]], labels: list[int], size: int = 4, steps: int = 600, batch: int = 64, rate: float = 0.05, decay: float = 2e-4, seed: int = 7) -> Model:
     """Train embeddings and softmax together by Adam on mini-batches.
 
     Without rows of both classes the model is the share of toxic rows (half, without any).
@@ -85,10 +86,12 @@ def fit(rows: list[tuple[bytes, bytes]], labels: list[int], size: int = 4, epoch
     for bag, _ in rows:
         texts_with[np.frombuffer(bag, "<u2")] += 1
     common = texts_with >= MIN_TEXTS
+    # What most texts hold tells little; its share is scaled down.
+    rarity = np.where(common, np.log((1 + len(rows)) / np.maximum(texts_with, 1)) ** POWER, 0).astype("f4")
     held = []
     for bag, shares in rows:
         index, weight = np.frombuffer(bag, "<u2"), np.frombuffer(shares, "<f4")
-        held.append((index[common[index]], weight[common[index]] * SCALE))
+        held.append((index[common[index]], (weight * rarity[index])[common[index]] * SCALE))
     toxic = np.array(labels)
     embedding = random.normal(0, 0.1, (BUCKETS, size)).astype("f4")
     softmax = random.normal(0, 0.5, (size, 2)).astype("f4")
@@ -96,6 +99,7 @@ def fit(rows: list[tuple[bytes, bytes]], labels: list[int], size: int = 4, epoch
     parameters = [embedding, softmax, bias]
     first, second = [np.zeros_like(p) for p in parameters], [np.zeros_like(p) for p in parameters]
     step = 0
+    epochs = -(-steps * batch // len(held))
     for epoch in range(epochs):
         order = random.permutation(len(held))
         pace = rate * (1 - epoch / epochs)
@@ -121,7 +125,7 @@ def fit(rows: list[tuple[bytes, bytes]], labels: list[int], size: int = 4, epoch
                 v += 0.001 * (g * g - v)
                 p -= pace * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     difference = softmax[:, 1] - softmax[:, 0]
-    return Model(np.where(common, embedding @ difference * SCALE, 0).astype("f4"), float(bias[1] - bias[0]))
+    return Model((embedding @ difference * rarity * SCALE).astype("f4"), float(bias[1] - bias[0]))
 
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Model:
