@@ -53,8 +53,9 @@ def _encoder(path: str):
 
     def parts(word: str) -> tuple[str, ...]:
         letters = word.rstrip(".,")
-        if letters.isalpha() and max(letters) < "\u0250":
-            return (letters.lower(), word[len(letters) :]) if len(letters) < len(word) else (letters.lower(),)
+        low = letters.lower()
+        if low.isalpha() and letters.isalpha() and max(letters) < "\u0250":
+            return (low, word[len(letters) :]) if len(letters) < len(word) else (low,)
         return (word,)
 
     def encode(texts: list[str | None]) -> Iterator[bytes]:
