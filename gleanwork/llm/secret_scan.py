@@ -58,7 +58,8 @@ def hits(text: Column, pattern: str, kind: str) -> Column:
 
     The pattern's first group is the whole match. Lengths are in code points.
     """
-    led = r"(?s)(.*?)" + pattern
+    # Behind the last match the rest is taken whole; else every start in it would be tried.
+    led = rf"(?s)(.*?)(?:{pattern}|\z)"
     value = 3 if kind == "assign" else 2
 
     def group(i: int) -> Column:
@@ -70,7 +71,7 @@ def hits(text: Column, pattern: str, kind: str) -> Column:
             F.lit(kind).alias("kind"),
             F.length(h["gap"]).cast("long").alias("gap"),
             F.length(h["match"]).cast("long").alias("width"),
-            (F.length(h["value"]) >= VALUE_LENGTH).alias("long_enough"),
+            (F.length(h["value"]) >= (VALUE_LENGTH if kind == "assign" else 1)).alias("long_enough"),
             (h["match"] if kind == "random" else F.lit(None).cast("string")).alias("match"),
         ),
     )
