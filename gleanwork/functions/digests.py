@@ -6,22 +6,39 @@ import hashlib
 import json
 
 
+def _leaf(value: object) -> str:
+    if isinstance(value, float) and value.is_integer():
+        value = int(value)
+    return json.dumps(value)
+
+
 def node_digest(node: object, found: set[str] | None = None) -> str:
     """A digest equal for equal JSON values, whatever their key order or number spelling.
 
     Built from the members' digests, so a whole tree costs one pass; every object and
-    array met on the way is added to `found`.
+    array met on the way is added to `found`. The walk keeps its own stack: a document's
+    depth is no limit.
     """
-    if isinstance(node, dict):
-        members = sorted((key, node_digest(value, found)) for key, value in node.items())
-        body = "{" + json.dumps(members)
-    elif isinstance(node, list):
-        body = "[" + json.dumps([node_digest(value, found) for value in node])
-    else:
-        if isinstance(node, float) and node.is_integer():
-            node = int(node)
-        return json.dumps(node)
-    digest = hashlib.sha256(body.encode()).hexdigest()
-    if found is not None:
-        found.add(digest)
-    return digest
+    done: list[str] = []  # digests of finished nodes whose parent is not finished
+    waiting: list[tuple[object, bool]] = [(node, False)]
+    while waiting:
+        at, ready = waiting.pop()
+        if not isinstance(at, (dict, list)):
+            done.append(_leaf(at))
+            continue
+        children = list(at.values()) if isinstance(at, dict) else at
+        if not ready:
+            waiting.append((at, True))
+            waiting.extend((child, False) for child in reversed(children))
+            continue
+        digests = done[len(done) - len(children) :]
+        del done[len(done) - len(children) :]
+        if isinstance(at, dict):
+            body = "{" + json.dumps(sorted(zip(at, digests, strict=True)))
+        else:
+            body = "[" + json.dumps(digests)
+        digest = hashlib.sha256(body.encode()).hexdigest()
+        if found is not None:
+            found.add(digest)
+        done.append(digest)
+    return done[0]

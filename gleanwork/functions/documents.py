@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from gleanwork.functions.binding import let
 
 _NUMBER = "^(TINYINT|SMALLINT|INT|BIGINT|DECIMAL|FLOAT|DOUBLE)"
-_STEP = r"(?:[A-Za-z_][A-Za-z0-9_]*|\"[^\"\\]+\")"
-# a.b, a[0].b, a[].b, [0], [] and @ for the whole document
-PATH = re.compile(rf"^(?:@|(?:{_STEP}|\[\d*\])(?:\.{_STEP}|\[\d*\])*)$")
-PATH_SQL = r'^(?:@|(?:[A-Za-z_][A-Za-z0-9_]*|"[^"\\]+"|\[\d*\])(?:\.(?:[A-Za-z_][A-Za-z0-9_]*|"[^"\\]+")|\[\d*\])*)$'
+_STEP = r"(?:[A-Za-z_][A-Za-z0-9_]*|\"[^\"\\']+\")"
+# a.b, a[0].b, a[].b, "a.b".c, [0], [] and @ for the whole document. An index has to fit an
+# integer; a quoted member may hold anything but quotes and backslashes.
+PATH = re.compile(rf"^(?:@|(?:{_STEP}|\[[0-9]{{0,9}}\])(?:\.{_STEP}|\[[0-9]{{0,9}}\])*)\Z")
+PATH_SQL = PATH.pattern.replace(r"\Z", r"\z")
+# A `[]` step, which inside quotes is part of a name.
+_EACH = r'\[\](?=(?:[^"]*"[^"]*")*[^"]*$)'
 
 
 def parse_json(text: Column) -> Column:
@@ -22,8 +25,7 @@ def parse_json(text: Column) -> Column:
 
 def parse_document(text: Column) -> Column:
     """The parsed body, or null unless it is a JSON object or array."""
-    opening = F.substring(F.regexp_replace(F.substring(text, 1, 4096), r"^[ \t\r\n]+", ""), 1, 1)
-    return F.when(opening.isin("{", "["), F.try_parse_json(text))
+    return F.when(text.rlike(r"\A[ \t\r\n]*[\[{]"), F.try_parse_json(text))
 
 
 def field(doc: Column, path: str) -> Column:
@@ -111,8 +113,8 @@ def _present(items: Column) -> Column:
 
 
 def _variant_path(steps: Column) -> Column:
-    """`a.b[0]` with optional quotes to `$.a.b[0]`."""
-    quoted = F.regexp_replace(steps, r'"([^"]+)"', "$1")
+    """`a."b.c"[0]` to `$.a["b.c"][0]`."""
+    quoted = F.regexp_replace(steps, r'\.?("[^"]+")', "[$1]")
     return (
         F.when((steps == "") | (steps == "@"), F.lit("$"))
         .when(F.startswith(quoted, F.lit("[")) | F.startswith(quoted, F.lit(".")), F.concat(F.lit("$"), quoted))
@@ -169,13 +171,13 @@ def eval_path(doc: Column, path: Column) -> Column:
         head = F.try_variant_get(doc, _variant_path(F.element_at(parts, 1)), "variant")
         return let(head, lambda h: F.when(F.size(parts) > 1, projected(h, parts)).otherwise(plain(h)))
 
-    return let(F.split(path, r"\[\]"), evaluated)
+    return let(F.split(path, _EACH), evaluated)
 
 
 def _steps(path: str) -> list[str]:
     if not PATH.match(path):
         raise ValueError(f"not a document path: {path!r}")
-    return [step.replace('"', "") for step in path.split("[]")]
+    return [re.sub(r'\.?("[^"]+")', r"[\1]", step) for step in re.split(_EACH, path)]
 
 
 def _at(value: Column, step: str) -> Column:

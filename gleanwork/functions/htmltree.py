@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import html
 import re
+import sys
 from html.parser import HTMLParser
 
+from gleanwork.functions.text import readable_references
+
 # Elements without content, and elements that are page noise.
 VOID = frozenset(
     "area base br col embed hr img input keygen link menuitem meta param source track wbr"
@@ -68,11 +71,21 @@ class _Reader(HTMLParser):
     def handle_pi(self, data):
         self._add("#decl", None, data)
 
+    def parse_marked_section(self, i, report=1):
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:  # no known section: a declaration up to the next bracket
+            end = self.rawdata.find(">", i + 3)
+            if end < 0:
+                return -1
+            self.handle_decl(self.rawdata[i + 2 : end])
+            return end + 1
+
 
 def read(markup: str) -> list[dict]:
     """The page's nodes, with subtree sizes and the marks the pruning rules use."""
     reader = _Reader()
-    reader.feed(markup)
+    reader.feed(readable_references(markup))
     reader.close()
     nodes = reader.nodes
     for node in reversed(nodes):
@@ -231,7 +244,7 @@ def markdown(nodes: list[dict]) -> str:
     def listed(node: dict, depth: int, verbatim: bool) -> str:
         ordered = node["tag"] == "ol"
         start = _attrs(node).get("start", "1")
-        number = int(start) if start.isdigit() else 1
+        number = int(start) if start.isdecimal() and len(start) < 10 else 1
         lines = []
         for item in kids(node):
             if item["tag"] != "li":
@@ -245,10 +258,14 @@ def markdown(nodes: list[dict]) -> str:
         return "\n".join(line for line in lines if line)
 
     def rows(node: dict) -> list[list[str]]:
-        found = []
-        for row in (n for n in nodes if n["tag"] == "tr" and node["pre"] < n["pre"] < node["pre"] + node["size"]):
-            cells = [c for c in kids(row) if c["tag"] in ("td", "th")]
-            found.append([" ".join(render(kids(c)).split()) for c in cells])
+        found, waiting = [], list(reversed(kids(node)))
+        while waiting:  # the rows of this table, not of those inside its cells
+            below_it = waiting.pop()
+            if below_it["tag"] == "tr":
+                cells = [c for c in kids(below_it) if c["tag"] in ("td", "th")]
+                found.append([" ".join(render(kids(c)).split()) for c in cells])
+            elif below_it["tag"] != "table":
+                waiting.extend(reversed(kids(below_it)))
         return found
 
     def element(node: dict, verbatim: bool, depth: int) -> str:
@@ -303,4 +320,10 @@ def markdown(nodes: list[dict]) -> str:
             return f"\n\n{text}\n\n" if text else ""
         return inner
 
-    return render(roots).strip()
+    # Rendering calls itself for each level of a page, in Python frames alone.
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(limit, 1000 + 8 * max((n["depth"] for n in nodes), default=0)))
+    try:
+        return render(roots).strip()
+    finally:
+        sys.setrecursionlimit(limit)

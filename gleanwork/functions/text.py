@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,13 +13,29 @@ from gleanwork.schemas import UNSPECIFIED
 
 def snippet(markdown: Column, limit: int = 240) -> Column:
     """The first characters of a description with its markdown markup removed."""
+    # The three patterns decide which characters a snippet shows.
     plain = F.regexp_replace(markdown, r"\[([^\]]*)\]\([^)]*\)", "$1")
-    # An underscore inside a word is part of the word, at its edge it is emphasis.
+    # Underscores mark emphasis only where no word character stands on both sides.
     plain = F.regexp_replace(plain, r"(?U)[#*`>]+|(?<!\w)_+|_+(?!\w)", "")
     plain = F.trim(F.regexp_replace(plain, r"(?U)\s+", " "))
     return F.substring(plain, 1, limit)
 
 
+# A number this long is beyond what `int` reads.
+_LONG_REFERENCE = re.compile("&#([0-9]{1000,});?")
+
+
+def readable_references(text: str) -> str:
+    """The text with over-long numeric character references shortened or, where they name
+    no character, replaced as the decoder would."""
+
+    def short(found: re.Match) -> str:
+        digits = found[1].lstrip("0")
+        return f"&#{digits or 0};" if len(digits) < 8 else "\ufffd"
+
+    return _LONG_REFERENCE.sub(short, text) if "&#" in text else text
+
+
 @F.arrow_udf(T.StringType())
 def unescape(texts):
     """Decode every HTML entity once (the full table needs a Python worker)."""
@@ -25,7 +43,7 @@ def unescape(texts):
 
     import pyarrow as pa
 
-    return pa.array([None if t is None else html.unescape(t) for t in texts.to_pylist()], pa.string())
+    return pa.array([None if t is None else html.unescape(readable_references(t)) for t in texts.to_pylist()], pa.string())
 
 
 def humanize_key(key: Column) -> Column:

@@ -277,7 +277,7 @@ def next_page_url(url: Column, param: str = "page") -> Column:
         F.size(present) > 0,
         F.get(F.get(present, F.lit(0))["values"], F.lit(0)).try_cast("bigint"),
     ).otherwise(F.lit(1).cast("bigint"))
-    following = F.array((current + 1).cast("string"))
+    following = F.array(F.try_add(current, F.lit(1)).cast("string"))
     bumped = F.when(
         F.size(present) > 0,
         F.transform(

@@ -26,7 +26,10 @@ def _trimmed(text: str, budget: int) -> str | None:
     import heapq
     import json
 
-    document = json.loads(text)
+    try:
+        document = json.loads(text)
+    except (ValueError, RecursionError):
+        return None
     size = len(json.dumps(document, indent=2))
     heap: list = []
     inner: dict[int, list[int]] = {}
@@ -81,7 +84,8 @@ def trim_to_budget(document: Column, chars: int) -> Column:
     """The document as indented JSON of at most `chars` characters.
 
     Drops the last element of the array with the most elements, wherever it is, until the
-    text fits; null when no array has more than one element left to drop.
+    text fits; null when no array has more than one element left to drop, and for documents
+    Python cannot read (a number of thousands of digits, thousands of levels).
     """
 
     @F.arrow_udf(T.StringType())

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,9 +11,6 @@ from gleanwork.functions.urls import base_parts, resolve, url_host
 from gleanwork.operators import rules as R
 from gleanwork.operators.joins import fits, lookup_join, pinned
 
-# Beyond this many distinct rules one CASE per field gets too wide to compile well.
-RULES_PER_PASS = 200
-
 
 def attach_rule(
     df: DataFrame, winners: DataFrame, kind: str, url: Column, spread_by: list[str],
@@ -54,47 +49,55 @@ def by_rule(rules: dict[int, object], build) -> Column | None:
     return result
 
 
-def in_passes(df: DataFrame, rules: list[R.Rule], kind: str, select) -> DataFrame:
-    """Run a per-rule projection with at most RULES_PER_PASS distinct rules per plan."""
-    chosen = {i: rule for i, rule in enumerate(rules) if rule.kind == kind}
-    groups: dict[str, list[int]] = {}
-    for i, rule in chosen.items():
-        groups.setdefault(rule.key, []).append(i)
-    keys = list(groups)
-    if len(keys) <= RULES_PER_PASS:
-        return select(df, chosen)
-    passes = []
-    for start in range(0, len(keys), RULES_PER_PASS):
-        ids = [i for key in keys[start : start + RULES_PER_PASS] for i in groups[key]]
-        part = df.filter(F.col("rule_id").isin(*ids))
-        passes.append(select(part, {i: chosen[i] for i in ids}))
-    passes.append(select(df.filter(F.col("rule_id").isNull()), {}))
-    return reduce(DataFrame.unionByName, passes)
+def of_kind(rules: list[R.Rule], kind: str) -> dict[int, R.Rule]:
+    return {i: rule for i, rule in enumerate(rules) if rule.kind == kind}
+
+
+def applied_field(specs: dict[int, dict]) -> tuple[Column, Column]:
+    """(value, error) of the rules that put a path's text through worker functions.
+
+    Each row's text is chosen first and handed to a function once per place in the chains,
+    whatever the number of rules: a worker function runs for every row of a plan.
+    """
+    value = by_rule({i: spec["path"] for i, spec in specs.items()}, lambda path, _: D.path_value(F.col("doc"), path))
+    text = D.as_string(value)
+    for place in range(max(len(spec["apply"]) for spec in specs.values())):
+        for name in R.TEXT_FUNCTIONS:
+            ids = [i for i, spec in specs.items() if spec["apply"][place : place + 1] == [name]]
+            if ids:
+                serves = F.col("rule_id").isin(*ids)
+                text = F.when(serves, R.text_functions()[name](F.when(serves, text))).otherwise(text)
+    first = by_rule({i: spec["apply"][0] for i, spec in specs.items()}, lambda name, _: F.lit(name))
+    wrong = value.isNotNull() & ~F.coalesce(D.kind(value) == "string", F.lit(False))
+    return D.variant(text), F.when(wrong, F.concat(first, F.lit("() expects a string, found "), D.kind(value)))
 
 
 def map_detail(df: DataFrame, rules: list[R.Rule]) -> DataFrame:
     """Read every Silver field from `doc` by the row's rule, all domains in one pass.
 
     Adds `mapped`, a struct of VARIANT fields (null when undeclared or unresolved), and
-    `rule_error`, the first thing a rule could not stomach.
+    `rule_error`, the first thing a rule could not stomach. Rows without a rule stay.
     """
-
-    def select(part: DataFrame, chosen: dict[int, R.Rule]) -> DataFrame:
-        values, errors = [], []
-        for field in R.SILVER_FIELDS:
-            specs = {i: rule.spec(field) for i, rule in chosen.items()}
-            value = by_rule(specs, lambda spec, on: R.compile_field(spec, F.col("doc"), on)[0])
-            error = by_rule(specs, lambda spec, on: R.compile_field(spec, F.col("doc"), on)[1])
-            absent = F.lit(None).cast("variant")
-            if value is None:
-                values.append(absent.alias(field))
-            else:
-                values.append(F.when(~D.is_absent(value), value).alias(field))
-                errors.append(error)
-        errors.append(F.lit(None).cast("string"))
-        return pinned(part, mapped=F.struct(*values), rule_error=F.coalesce(*errors))
-
-    return in_passes(df, rules, R.DETAIL, select)
+    chosen = of_kind(rules, R.DETAIL)
+    values, errors = [], []
+    for field in R.SILVER_FIELDS:
+        specs = {i: spec for i, rule in chosen.items() if (spec := rule.spec(field)) is not None}
+        applied = {i: spec for i, spec in specs.items() if R.applies(spec)}
+        plain = {i: spec for i, spec in specs.items() if i not in applied}
+        value = by_rule(plain, lambda spec, on: R.compile_field(spec, F.col("doc"), on)[0])
+        error = by_rule(plain, lambda spec, on: R.compile_field(spec, F.col("doc"), on)[1])
+        if applied:
+            worked, refused = applied_field(applied)
+            serves = F.col("rule_id").isin(*applied)
+            value = F.when(serves, worked) if value is None else F.when(serves, worked).otherwise(value)
+            error = F.when(serves, refused) if error is None else F.when(serves, refused).otherwise(error)
+        if value is None:
+            values.append(F.lit(None).cast("variant").alias(field))
+        else:
+            values.append(F.when(~D.is_absent(value), value).alias(field))
+            errors.append(error)
+    errors.append(F.lit(None).cast("string"))
+    return pinned(df, mapped=F.struct(*values), rule_error=F.coalesce(*errors))
 
 
 def index_refs(responses: DataFrame, rules: list[R.Rule]) -> DataFrame:
@@ -107,46 +110,45 @@ def index_refs(responses: DataFrame, rules: list[R.Rule]) -> DataFrame:
     """
     kept = [c for c in responses.columns if c not in ("doc", "rule_id", "host", "text", "body")]
 
-    def select(part: DataFrame, chosen: dict[int, R.Rule]) -> DataFrame:
-        def postings(spec, on):
-            if isinstance(spec, str):
-                return D.path_items(F.col("doc"), spec)
-            return D.elements(R.compile_field(spec, F.col("doc"), on)[0])
-
-        def addresses(spec, on):
-            if isinstance(spec, dict) and set(spec) == {"sql"}:
-                # The expression reads the posting by the name `element`.
-                return F.expr(f"transform(__listed, element -> cast(({spec['sql']}) as string))")
-
-            def read(element: Column) -> Column:
-                value, error = R.compile_field(spec, element)
-                return F.when(error.isNull(), D.as_string(value))
-
-            return F.transform("__listed", read)
-
-        listed = by_rule({i: rule.spec("postings") for i, rule in chosen.items()}, postings)
-        listed = F.array().cast("array<variant>") if listed is None else listed
-        named = by_rule({i: rule.spec("posting_url") for i, rule in chosen.items()}, addresses)
-        named = F.array().cast("array<string>") if named is None else named
-        # Lists are pinned before they are indexed, or each element would rebuild them.
-        listing = pinned(part, __listed=listed)
-        listing = pinned(listing, __named=named, __base=base_parts(F.col("response_url")))
-
-        def ref(element: Column, i: Column) -> Column:
-            def address(text: Column) -> Column:
-                return F.when(text != "", resolve(F.col("__base"), text))
-
-            is_document = D.elements(element).isNotNull() | D.entries(element).isNotNull()
-            return F.struct(
-                i.alias("position"),
-                let(F.get("__named", i), address).alias("url"),
-                F.when(is_document, element).alias("document"),
-            )
-
-        found = F.filter(F.transform("__listed", ref), lambda r: r["url"].isNotNull())
-        return listing.select(*kept, found.alias("refs"))
-
-    return in_passes(responses, rules, R.INDEX, select)
+    chosen = of_kind(rules, R.INDEX)
+
+    def postings(spec, on):
+        if isinstance(spec, str):
+            return D.path_items(F.col("doc"), spec)
+        return D.elements(R.compile_field(spec, F.col("doc"), on)[0])
+
+    def addresses(spec, on):
+        if isinstance(spec, dict) and set(spec) == {"sql"}:
+            # The expression reads the posting by the name `element`.
+            return F.expr(f"transform(__listed, element -> cast(({spec['sql']}) as string))")
+
+        def read(element: Column) -> Column:
+            value, error = R.compile_field(spec, element)
+            return F.when(error.isNull(), D.as_string(value))
+
+        return F.transform("__listed", read)
+
+    listed = by_rule({i: rule.spec("postings") for i, rule in chosen.items()}, postings)
+    listed = F.array().cast("array<variant>") if listed is None else listed
+    named = by_rule({i: rule.spec("posting_url") for i, rule in chosen.items()}, addresses)
+    named = F.array().cast("array<string>") if named is None else named
+    # Lists are pinned before they are indexed, or each element would rebuild them.
+    listing = pinned(responses, __listed=listed)
+    listing = pinned(listing, __named=named, __base=base_parts(F.col("response_url")))
+
+    def ref(element: Column, i: Column) -> Column:
+        def address(text: Column) -> Column:
+            return F.when(text != "", resolve(F.col("__base"), text))
+
+        is_document = D.elements(element).isNotNull() | D.entries(element).isNotNull()
+        return F.struct(
+            i.alias("position"),
+            let(F.get("__named", i), address).alias("url"),
+            F.when(is_document, element).alias("document"),
+        )
+
+    found = F.filter(F.transform("__listed", ref), lambda r: r["url"].isNotNull())
+    return listing.select(*kept, found.alias("refs"))
 
 
 def map_index(responses: DataFrame, rules: list[R.Rule]) -> DataFrame:

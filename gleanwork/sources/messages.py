@@ -22,14 +22,17 @@ def parse_messages(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.try_parse_json("value").isNotNull().alias("is_json"),
     )
     known = F.col("m.type").isin(START_RUN, ITEM_TAG, END_RUN)
-    reason = F.when(~F.col("is_json"), "malformed").when(~F.coalesce(known, F.lit(False)), "unknown_type")
+    # A time no timestamp can hold makes the message malformed, not the job fail.
+    micros = (F.col("m.timestamp") * 1000000).try_cast("bigint")
+    lost = F.col("m.timestamp").isNotNull() & micros.isNull()
+    reason = F.when(~F.col("is_json") | lost, "malformed").when(~F.coalesce(known, F.lit(False)), "unknown_type")
     judged = parsed.withColumn("reason", reason)
     messages = judged.filter(F.col("reason").isNull()).select(
         "seq",
         "m.type",
         "m.run_id",
         "m.spider_name",
-        F.timestamp_micros((F.col("m.timestamp") * 1000000).cast("bigint")).alias("ts"),
+        F.timestamp_micros(micros).alias("ts"),
         "m.item",
     )
     return messages, judged.filter(F.col("reason").isNotNull()).select("seq", "reason", "value")
