@@ -270,14 +270,15 @@ def filter_params(url: Column) -> Column:
 
 
 def next_page_url(url: Column, param: str = "page") -> Column:
-    """The address of the following results page; null when the page is not a number."""
+    """The address of the following results page; null when the page is not a number, or the last one there is."""
     groups = grouped_pairs(F.filter(query_pairs(url), lambda pair: pair["value"] != ""))
     present = F.filter(groups, lambda group: group["key"] == param)
     current = F.when(
         F.size(present) > 0,
         F.get(F.get(present, F.lit(0))["values"], F.lit(0)).try_cast("bigint"),
     ).otherwise(F.lit(1).cast("bigint"))
-    following = F.array(F.try_add(current, F.lit(1)).cast("string"))
+    after = F.try_add(current, F.lit(1))
+    following = F.array(after.cast("string"))
     bumped = F.when(
         F.size(present) > 0,
         F.transform(
@@ -303,7 +304,7 @@ def next_page_url(url: Column, param: str = "page") -> Column:
         "&",
     )
     return F.when(
-        current.isNotNull(),
+        after.isNotNull(),
         F.concat(
             F.regexp_extract(url, _BEFORE_QUERY, 1),
             F.lit("?"),
