@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanwork.functions.urls import strip_filter_params
 from gleanwork.operators.joins import fits, lookup_join
 from gleanwork.schemas import BOARD_API, BOARD_TYPES
+from gleanwork.session import shared_dir
 
 
 def active_boards(boards: DataFrame) -> DataFrame:
@@ -78,73 +81,137 @@ def conflicting_boards(candidates: DataFrame, boards: DataFrame) -> DataFrame:
     return taken("name").unionByName(taken("url")).distinct()
 
 
+_REPLAYED = (
+    "kind string, seq long, op string, id string, name string, url string, type string, active boolean,"
+    " created_at timestamp, touched boolean, refusal string"
+)
+
+
+def _dependent(rows: DataFrame) -> DataFrame:
+    """rows(node, keys, ...) with `part`, the least node that shared keys lead to.
+
+    Rows of different parts share no id, name or address, so no order between them matters.
+    Labels travel from rows to keys and back until they rest; each step is written to the
+    shared folder, so a lost executor never costs the steps before.
+    """
+    spark = rows.sparkSession
+    folder = f"{shared_dir(spark)}/boards-{uuid.uuid4().hex}"
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    held = written(rows, "rows")
+    touches = held.select("node", F.explode("keys").alias("key"))
+    labels, total, step = written(held.select("node", F.col("node").alias("part")), "0"), None, 0
+    while True:
+        now = labels.agg(F.sum(F.hash("node", "part").cast("decimal(38,0)"))).first()
+        if now == total:
+            return held.join(labels, "node")
+        total, step = now, step + 1
+        of_key = touches.join(labels, "node").groupBy("key").agg(F.min("part").alias("part"))
+        labels = written(touches.join(of_key, "key").groupBy("node").agg(F.min("part").alias("part")), str(step))
+
+
+def _replayed(frame):
+    """The changes of one part, in their order, over the boards they touch."""
+    import pandas as pd
+
+    state, by_name, by_url, out = {}, {}, {}, []
+
+    def put(board):
+        state[board["id"]] = board
+        by_name[board["name"]] = by_url[board["url"]] = board["id"]
+
+    def drop(key):
+        board = state.pop(key)
+        for index, value in ((by_name, board["name"]), (by_url, board["url"])):
+            if index.get(value) == key:
+                del index[value]
+        return board
+
+    rows = frame.astype(object).where(frame.notna(), None).to_dict("records")
+    for row in rows:
+        if row["kind"] == "board":
+            put({**row, "touched": False})
+    for row in sorted((r for r in rows if r["kind"] == "change"), key=lambda r: r["seq"]):
+        op, key, held = row["op"], row["id"], state.get(row["id"])
+        taken = any(index.get(v) not in (None, key) for index, v in ((by_name, row["name"]), (by_url, row["url"])))
+        refusal = None
+        if op == "create" and row["type"] not in BOARD_TYPES:
+            refusal = "unknown_type"
+        elif op != "delete" and row["blank"]:
+            refusal = "blank"
+        elif op != "create" and held is None:
+            refusal = "not_found"
+        elif op == "update" and row["type"] is not None and row["type"] != held["type"]:
+            refusal = "type_is_fixed"
+        elif op != "delete" and (taken or (op == "create" and held is not None)):
+            refusal = "duplicate"
+        if refusal:
+            out.append({**row, "kind": "refused", "refusal": refusal})
+            continue
+        if held is not None:
+            drop(key)
+        if op != "delete":
+            kept = held or {"type": row["type"], "active": None, "created_at": None}
+            active = row["active"] if row["active"] is not None else kept["active"]
+            put({**row, "kind": "board", "type": kept["type"], "created_at": kept["created_at"], "touched": True,
+                 "active": True if active is None else active})
+    out += state.values()
+    columns = [c.split()[0] for c in _REPLAYED.split(", ")]
+    return pd.DataFrame([[r.get(c) for c in columns] for r in out], columns=columns).astype({"seq": "Int64"})
+
+
 def apply_board_changes(
     boards: DataFrame, changes: DataFrame, now: Column
 ) -> tuple[DataFrame, DataFrame]:
-    """Apply a batch of changes; returns the new boards and the refused changes.
+    """Apply changes in the order of `seq`; returns the new boards and the refused changes.
 
-    changes(seq, op, id, name, url, type, active) with op create, update or delete and at
-    most one change per board id. A change is checked against the table as the batch
-    found it and against the names and addresses earlier changes of the batch claim.
+    changes(seq, op, id, name, url, type, active) with op create, update or delete, as many
+    per board as there are. Each is judged by the boards as the accepted ones before it left
+    them: a refused change leaves no trace, a deleted or renamed board frees its name and
+    address. Only changes that an id, a name or an address links depend on each other; each
+    such part is replayed by one task, all parts side by side.
     """
-    current = boards.select(
-        F.col("id"), F.col("name").alias("old_name"), F.col("type").alias("old_type")
-    )
-    writes = changes.filter(F.col("op").isin("create", "update"))
-
-    def earlier_claims(key: str) -> DataFrame:
-        claims = boards.select(key, "id", F.lit(-1).cast("bigint").alias("seq")).unionByName(
-            writes.select(key, "id", F.col("seq").cast("bigint").alias("seq"))
-        )
-        first = claims.groupBy(key).agg(F.min(F.struct("seq", "id")).alias("first"))
-        return (
-            writes.select("seq", key, "id")
-            .join(first, key)
-            .filter((F.col("first.seq") < F.col("seq")) & (F.col("first.id") != F.col("id")))
-            .select("seq")
-        )
-
-    clashes = (
-        earlier_claims("name").union(earlier_claims("url")).distinct().withColumn("clash", F.lit(True))
-    )
-    judged = (
-        changes.join(current, "id", "left")
-        .join(clashes, "seq", "left")
-        .withColumn(
-            "refusal",
-            F.when((F.col("op") == "create") & F.coalesce(~F.col("type").isin(*BOARD_TYPES), F.lit(True)), "unknown_type")
-            .when((F.col("op") != "delete") & (blank(F.col("name")) | blank(F.col("url"))), "blank")
-            .when((F.col("op") != "create") & F.col("old_name").isNull(), "not_found")
-            .when(
-                (F.col("op") == "update") & F.col("type").isNotNull() & (F.col("type") != F.col("old_type")),
-                "type_is_fixed",
-            )
-            .when((F.col("op") != "delete") & F.col("clash"), "duplicate"),
-        )
-    )
-    accepted = judged.filter(F.col("refusal").isNull()).select(
-        "id", "op", F.col("name").alias("new_name"), F.col("url").alias("new_url"),
-        F.col("type").alias("new_type"), F.col("active").alias("new_active"),
+    change_rows = changes.select(
+        F.concat(F.lit("c"), F.col("seq").cast("string")).alias("node"), F.lit("change").alias("kind"),
+        F.col("seq").cast("long").alias("seq"), "op", "id", "name", "url", "type", "active",
+        F.lit(None).cast("timestamp").alias("created_at"), (blank(F.col("name")) | blank(F.col("url"))).alias("blank"),
+    )
+    wanted = changes.select(F.explode(_keys()).alias("key")).distinct()
+    keyed = boards.withColumn("__keys", _keys())
+    touched = keyed.select("id", F.explode("__keys").alias("key")).join(wanted, "key").select("id").distinct()
+    board_rows = boards.join(touched, "id", "left_semi").select(
+        F.concat(F.lit("b"), F.col("id")).alias("node"), F.lit("board").alias("kind"),
+        F.lit(None).cast("long").alias("seq"), F.lit(None).cast("string").alias("op"), "id", "name", "url", "type", "active",
+        F.col("created_at").cast("timestamp").alias("created_at"), F.lit(False).alias("blank"),
     )
-    merged = (
-        boards.join(accepted, "id", "full_outer")
-        .filter(F.col("op").isNull() | (F.col("op") != "delete"))
-        .select(
-            "id",
-            F.coalesce("new_name", "name").alias("name"),
-            F.coalesce("new_url", "url").alias("url"),
-            F.coalesce("type", "new_type").alias("type"),
-            F.when(F.col("op").isNotNull(), F.coalesce("new_active", "active", F.lit(True)))
-            .otherwise(F.col("active"))
-            .alias("active"),
+    # A table board's updated_at rides along outside the replay.
+    parts = _dependent(change_rows.unionByName(board_rows).withColumn("keys", _keys())).drop("keys")
+    replayed = parts.groupBy("part").applyInPandas(_replayed, _REPLAYED)
+    before = boards.select("id", F.col("updated_at").alias("__updated"))
+    settled = replayed.filter("kind = 'board'").join(before, "id", "left")
+    merged = boards.join(touched, "id", "left_anti").select(*BOARD_COLUMNS).unionByName(
+        settled.select(
+            "id", "name", "url", "type", "active",
             F.coalesce("created_at", now).alias("created_at"),
-            F.when(F.col("op").isNotNull(), now).otherwise(F.col("updated_at")).alias("updated_at"),
+            F.when(F.col("touched"), now).otherwise(F.col("__updated")).alias("updated_at"),
         )
-    )
-    refused = judged.filter(F.col("refusal").isNotNull()).select("seq", "op", "id", "name", "url", "refusal")
+    )
+    refused = replayed.filter("kind = 'refused'").select("seq", "op", "id", "name", "url", "refusal")
     return merged, refused
 
 
+BOARD_COLUMNS = ("id", "name", "url", "type", "active", "created_at", "updated_at")
+
+
+def _keys() -> Column:
+    """What a row depends on: its id, name and address, told apart by a mark."""
+    marked = [F.concat(F.lit(mark), F.col(column)) for mark, column in (("i", "id"), ("n", "name"), ("u", "url"))]
+    return F.array_distinct(F.array_compact(F.array(*marked)))
+
+
 def detach_deleted_boards(rows: DataFrame, deleted: DataFrame, spread_by: list[str]) -> DataFrame:
     """Bronze rows or events whose board is gone lose the reference to it."""
     gone = deleted.select(F.col("id").alias("start_url_id"), F.lit(True).alias("__gone")).distinct()

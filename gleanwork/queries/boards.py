@@ -156,7 +156,7 @@ def board_changes_input(spark, sf):
         F.lit(datetime(2023, 1, 1)).alias("created_at"), F.lit(datetime(2023, 1, 1)).alias("updated_at"),
     )
     op = F.when(F.col("s_acctbal") > 7000, "delete").when(F.col("s_nationkey") < 18, "update").otherwise("create")
-    changes = s.select(
+    first = s.select(
         F.col("s_suppkey").alias("seq"), op.alias("op"), key.alias("id"),
         F.when(F.col("s_acctbal") < 0, F.concat(F.lit("Renamed "), (F.col("s_suppkey") % 5).cast("string")))
         .when(F.col("s_acctbal") < 500, F.lit("  ")).otherwise(F.col("s_name")).alias("name"),
@@ -164,27 +164,53 @@ def board_changes_input(spark, sf):
         F.when(F.col("s_acctbal") > 5000, "html_crawl").otherwise("api").alias("type"),
         F.lit(True).alias("active"),
     )
-    return boards, changes
+    again = s.filter(F.col("s_suppkey") % 2 == 0).select(
+        (F.col("s_suppkey") + 1000000).alias("seq"), F.lit("create").alias("op"), F.concat(F.lit("n"), key).alias("id"),
+        F.col("s_name").alias("name"), F.concat(F.lit("https://y/"), key).alias("url"), F.lit("api").alias("type"), F.lit(True).alias("active"),
+    )
+    last = s.filter(F.col("s_suppkey") % 3 == 0).select(
+        (F.col("s_suppkey") + 2000000).alias("seq"),
+        F.when(F.col("s_suppkey") % 4 == 0, "delete").otherwise("update").alias("op"), key.alias("id"),
+        F.concat(F.lit("Renamed "), (F.col("s_suppkey") % 7).cast("string")).alias("name"),
+        F.concat(F.lit("https://z/"), key).alias("url"), F.lit(None).cast("string").alias("type"), F.lit(False).alias("active"),
+    )
+    return boards, first.unionByName(again).unionByName(last)
 
 
+# The changes one after the other: a list of boards is carried from each to the next.
 CHANGES = """
 bo AS (SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS name, 'https://x/' || s_suppkey AS url, s_acctbal > 0 AS active
        FROM supplier WHERE s_nationkey < 15),
-ch AS (SELECT s_suppkey AS seq, CASE WHEN s_acctbal > 7000 THEN 'delete' WHEN s_nationkey < 18 THEN 'update' ELSE 'create' END AS op,
+ch AS (SELECT *, row_number() OVER (ORDER BY seq) AS n FROM (
+       SELECT s_suppkey AS seq, CASE WHEN s_acctbal > 7000 THEN 'delete' WHEN s_nationkey < 18 THEN 'update' ELSE 'create' END AS op,
               CAST(s_suppkey AS VARCHAR) AS id,
               CASE WHEN s_acctbal < 0 THEN 'Renamed ' || (s_suppkey % 5) WHEN s_acctbal < 500 THEN '  ' ELSE s_name END AS name,
-              'https://x/' || s_suppkey AS url, CASE WHEN s_acctbal > 5000 THEN 'html_crawl' ELSE 'api' END AS type FROM supplier),
-claims AS (SELECT name, id, -1 AS seq FROM bo UNION ALL SELECT name, id, seq FROM ch WHERE op <> 'delete'),
-ju AS (SELECT ch.*, bo.name AS old_name, CASE
-         WHEN op <> 'delete' AND trim(ch.name) = '' THEN 'blank'
-         WHEN op <> 'create' AND bo.id IS NULL THEN 'not_found'
-         WHEN op = 'update' AND type <> 'api' THEN 'type_is_fixed'
-         WHEN op <> 'delete' AND EXISTS (SELECT 1 FROM claims WHERE claims.name = ch.name AND claims.seq < ch.seq AND claims.id <> ch.id)
-         THEN 'duplicate' END AS refusal
-       FROM ch LEFT JOIN bo ON bo.id = ch.id)"""
-
-
-@query("board_changes_refused", f"WITH {CHANGES} SELECT seq, op, id, name, url, refusal FROM ju WHERE refusal IS NOT NULL")
+              'https://x/' || s_suppkey AS url, CASE WHEN s_acctbal > 5000 THEN 'html_crawl' ELSE 'api' END AS type, true AS active FROM supplier
+       UNION ALL SELECT s_suppkey + 1000000, 'create', 'n' || s_suppkey, s_name, 'https://y/' || s_suppkey, 'api', true FROM supplier WHERE s_suppkey % 2 = 0
+       UNION ALL SELECT s_suppkey + 2000000, CASE WHEN s_suppkey % 4 = 0 THEN 'delete' ELSE 'update' END, CAST(s_suppkey AS VARCHAR),
+                        'Renamed ' || (s_suppkey % 7), 'https://z/' || s_suppkey, NULL, false FROM supplier WHERE s_suppkey % 3 = 0)),
+st AS (
+  SELECT CAST(0 AS BIGINT) AS n, (SELECT list({'id': id, 'name': name, 'url': url, 'type': 'api', 'active': active, 'changed': '2023'}) FROM bo) AS bs,
+         CAST(NULL AS VARCHAR) AS refusal
+  UNION ALL
+  SELECT x.n, CASE WHEN x.refusal IS NOT NULL THEN x.bs WHEN x.op = 'delete' THEN x.others
+              ELSE list_append(x.others, {'id': x.id, 'name': x.name, 'url': x.url, 'type': coalesce(x.held[1].type, x.type), 'active': x.active, 'changed': '2024'}) END,
+         x.refusal
+  FROM (SELECT y.*, CASE
+          WHEN op = 'create' AND type NOT IN ('api', 'html_crawl') THEN 'unknown_type'
+          WHEN op <> 'delete' AND trim(name) = '' THEN 'blank'
+          WHEN op <> 'create' AND len(held) = 0 THEN 'not_found'
+          WHEN op = 'update' AND type <> held[1].type THEN 'type_is_fixed'
+          WHEN op <> 'delete' AND (len([b for b in others if b.name = y.name OR b.url = y.url]) > 0 OR (op = 'create' AND len(held) > 0)) THEN 'duplicate' END AS refusal
+        FROM (SELECT ch.*, st.bs, [b for b in st.bs if b.id <> ch.id] AS others, [b for b in st.bs if b.id = ch.id] AS held
+              FROM st JOIN ch ON ch.n = st.n + 1) y) x
+)"""
+
+
+@query(
+    "board_changes_refused",
+    f"WITH RECURSIVE {CHANGES} SELECT seq, op, id, name, url, refusal FROM st JOIN ch USING (n) WHERE refusal IS NOT NULL",
+)
 def board_changes_refused(spark, sf):
     boards, changes = board_changes_input(spark, sf)
     return B.apply_board_changes(boards, changes, F.lit(NOW))[1]
@@ -192,11 +218,8 @@ def board_changes_refused(spark, sf):
 
 @query(
     "board_changes",
-    f"""WITH {CHANGES} SELECT bo.id, coalesce(ju.name, bo.name) AS name, bo.url, 'api' AS type,
-           CASE WHEN ju.id IS NULL THEN bo.active ELSE true END AS active,
-           CASE WHEN ju.id IS NULL THEN '2023' ELSE '2024' END AS changed
-    FROM bo LEFT JOIN ju ON ju.id = bo.id AND ju.refusal IS NULL WHERE ju.op IS DISTINCT FROM 'delete'
-    UNION ALL SELECT id, name, url, type, true, '2024' FROM ju WHERE op = 'create' AND refusal IS NULL AND id NOT IN (SELECT id FROM bo)""",
+    f"""WITH RECURSIVE {CHANGES} SELECT b.id AS id, b.name AS name, b.url AS url, b.type AS type, b.active AS active, b.changed AS changed
+    FROM (SELECT unnest(bs) AS b FROM st WHERE n = (SELECT max(n) FROM st))""",
 )
 def board_changes(spark, sf):
     boards, changes = board_changes_input(spark, sf)
