@@ -110,13 +110,15 @@ def order_documents(spark, sf, broken: bool = False):
          ELSE '<h3>Role</h3><p>Order <b>' || o_orderpriority || '</b> &amp; more</p>' END AS description,
     CASE WHEN o_orderstatus = 'O' THEN '{"location_type":"On-Site"}' ELSE '{"missing":null,"order":' || o_orderkey || '}' END AS metadata,
     CASE WHEN o_orderstatus = 'O' THEN round(o_totalprice, 2) END AS low, CASE WHEN o_orderstatus = 'O' THEN round(o_totalprice * 2, 2) END AS high,
-    CASE WHEN o_orderstatus = 'O' THEN 'year' END AS period FROM orders WHERE o_orderstatus IN ('O', 'F')""",
+    CASE WHEN o_orderstatus = 'O' THEN 'year' END AS period FROM orders WHERE o_orderstatus IN ('O', 'F')
+    UNION ALL SELECT 'https://jobs.example.com/p/' || o_orderkey, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
+    FROM orders WHERE o_orderstatus NOT IN ('O', 'F')""",
 )
 def json_detail_map(spark, sf):
     rules, winners = all_rules(spark)
     docs = order_documents(spark, sf).withColumn("doc", D.parse_document(F.col("raw_content")))
     attached = M.attach_rule(docs, winners, R.DETAIL, F.col("source_url"), ["url"])
-    mapped = M.map_detail(attached.filter(F.col("rule_id").isNotNull()), rules)
+    mapped = M.map_detail(attached, rules)
     texts = [D.as_string(F.col(f"mapped.{f}")).alias(f) for f in ("title", "company_name", "employment_type", "description")]
     trees = [F.to_json(F.col(f"mapped.{f}")).alias(f) for f in ("locations", "categories", "metadata")]
     pay = F.col("mapped.pay")
@@ -127,6 +129,37 @@ def json_detail_map(spark, sf):
     )
 
 
+MANY = 300
+
+
+@query(
+    "json_many_rules",
+    f"SELECT o_orderkey AS order_id, CASE WHEN o_custkey % 350 < {MANY} THEN o_orderpriority END AS title FROM orders",
+)
+def json_many_rules(spark, sf):
+    """A rule of its own for each of 300 customers' documents; a seventh have no such rule."""
+    many = [
+        R.parse_rule({"version": 1, "type": R.DETAIL, "domains": [f"c{i}.example.com"], "fields": {"title": f"t{i}"}})
+        for i in range(MANY)
+    ]
+    place = (F.col("o_custkey") % 350).cast("int")
+    text = F.concat(F.lit('{"t'), place.cast("string"), F.lit('":"'), F.col("o_orderpriority"), F.lit('"}'))
+    docs = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("order_id"), place.alias("rule_id"), D.parse_document(text).alias("doc")
+    )
+    return M.map_detail(docs, many).select("order_id", D.as_string(F.col("mapped.title")).alias("title"))
+
+
+@query("json_blank_bodies", "SELECT c_custkey AS id, c_custkey AS member FROM customer")
+def json_blank_bodies(spark, sf):
+    """Bodies with thousands of blanks before their document."""
+    key = F.col("c_custkey")
+    body = F.concat(F.repeat(F.lit(" "), (key % 7 + 5000).cast("int")), F.lit('{"k":'), key.cast("string"), F.lit("}"))
+    return table(spark, sf, "customer").select(
+        key.alias("id"), F.try_variant_get(D.parse_document(body), "$.k", "bigint").alias("member")
+    )
+
+
 def responses(spark, sf):
     lists = listings(spark, sf)
     key = F.col("l_orderkey").cast("string")
