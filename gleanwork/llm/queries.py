@@ -65,6 +65,26 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+ORACLES["op3_substring_dedup"] = r"""
+    WITH texts AS (
+        SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+    ), windows AS (
+        SELECT doc_id, p, array_to_string(words[p:p + 19], ' ') AS content
+        FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS p FROM texts WHERE len(words) >= 20)
+    ), repeats AS (
+        SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY content ORDER BY doc_id, p) AS n FROM windows) WHERE n > 1
+    ), removed AS (
+        SELECT DISTINCT doc_id, p + i AS place FROM repeats, range(20) AS r(i)
+    ), placed AS (
+        SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM texts
+    ), kept AS (
+        SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS text FROM placed ANTI JOIN removed USING (doc_id, place) GROUP BY doc_id
+    )
+    SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+    FROM texts LEFT JOIN kept USING (doc_id)
+"""
+
+
 @query
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.copies(documents(spark, sf_dir)).drop("row")
@@ -97,6 +117,31 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(documents(spark, sf_dir), width=2).drop("row")
 
 
+ORACLES["op6_near_dedup"] = r"""
+    WITH RECURSIVE texts AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+        FROM documents
+    ), sets AS (
+        SELECT doc_id, CASE WHEN len(words) < 2 THEN words ELSE list_distinct([words[i] || ' ' || words[i + 1] for i in range(1, len(words))]) END AS shingles
+        FROM texts
+    ), each AS (
+        SELECT doc_id, len(shingles) AS size, unnest(shingles) AS shingle FROM sets
+    ), links AS (
+        SELECT a.doc_id AS one, b.doc_id AS other
+        FROM each a JOIN each b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+        GROUP BY a.doc_id, b.doc_id, a.size, b.size
+        HAVING 100 * count(*) >= 80 * (a.size + b.size - count(*))
+    ), reached AS (
+        SELECT doc_id, doc_id AS other FROM sets
+        UNION
+        SELECT reached.doc_id, links.other FROM reached JOIN links ON links.one = reached.other
+    ), named AS (
+        SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id
+    )
+    SELECT doc_id, len(shingles) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN named USING (doc_id)
+"""
+
+
 @query
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
