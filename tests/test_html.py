@@ -101,7 +101,7 @@ def test_attribute_links_and_next_page(spark, shipped):
 def test_resolve_honours_base(spark):
     html = '<head><base href="https://pier.example/tour/"></head><body><a href="stop/7">S</a></body>'
     got = H.resolve_links(H.shred_pages(pages(spark, ("https://pier.example/tour/list/", html), ("https://pier.example/open", '<a href="/berth/3">B</a>'))))
-    assert sorted(r["url"] for r in got.collect()) == ["https://pier.example/tour/stop/7", "https://pier.example/berth/3"]
+    assert sorted(r["url"] for r in got.collect()) == ["https://pier.example/berth/3", "https://pier.example/tour/stop/7"]
 
 
 def test_clean_and_prune(spark):
