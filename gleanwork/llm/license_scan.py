@@ -5,9 +5,11 @@ that occur once in each are anchors, the longest increasing subsequence of the a
 which of them align in order, and each gap between two aligned anchors is aligned the same
 way. A template's coverage is the share of its words that end up aligned.
 
-A notice is a passage, not a whole text, and may repeat. So a template is aligned with
-overlapping windows of twice its length, in which its words are unique unless it repeats
-them itself; every passage up to half as long again as the template lies whole in a window.
+A notice is a passage, not a whole text, and may repeat. So a short template is aligned with
+windows around each of its rare words, a long one with overlapping windows of twice its
+length; every passage with at most a quarter of other words lies whole in a window. Words that
+tell licenses apart (version numbers, nc, sa) must align in a notice, and where the passages
+of several templates overlap, the one of the most aligned words counts alone.
 """
 
 from __future__ import annotations
@@ -39,6 +41,10 @@ TEMPLATES = {
 }
 #: Share of a template's words that must align.
 COVERAGE = 0.9
+#: Words that tell the licenses of a family apart, besides version numbers and "Library General".
+TELLING = {"affero", "lesser", "nc", "nd", "sa"}
+#: Templates of up to so many words are notices; their telling words must all align.
+SHORT = 90
 
 WORDS = re.compile(r"[a-z0-9]+")
 
@@ -95,39 +101,95 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def telling(words: list[str]) -> list[int]:
+    """The places of words that tell one license from another of its family."""
+    return [at for at, w in enumerate(words) if w in TELLING or (w.isdigit() and len(w) < 3) or (w == "library" and words[at + 1 : at + 2] == ["general"])]
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str], coverage: float):
-        self.coverage = coverage
         self.templates = {name: tokens(t) for name, t in templates.items()}
         spread = Counter(w for ts in self.templates.values() for w in {*ts})
+        #: How many of a template's words may be missing, and how many others stand between.
+        self.missing = {name: int(len(ts) * (1 - coverage) + 1e-9) for name, ts in self.templates.items()}
+        self.extra = {name: max(2, len(ts) // 4) for name, ts in self.templates.items()}
+        self.distinct = {name: {*ts} for name, ts in self.templates.items()}
+        #: A whole license text is long enough to be known without its version number.
+        self.telling = {name: telling(ts) if len(ts) <= SHORT else [] for name, ts in self.templates.items()}
         #: Of each template so many words that no passage covers enough of it without one.
-        self.keys = {}
+        self.keys: dict[str, set[str]] = {}
+        self.names: dict[str, list[str]] = {}
         for name, ts in self.templates.items():
-            spare = int(len(ts) * (1 - coverage) + 1e-9) + 1
+            spare = self.missing[name] + 1
             self.keys[name] = set(sorted({*ts}, key=lambda w, ts=ts: (spread[w], -len(w), w))[:spare])
             while sum(w in self.keys[name] for w in ts) < spare:
                 self.keys[name].add(next(w for w in ts if w not in self.keys[name]))
+            for w in self.keys[name]:
+                self.names.setdefault(w, []).append(name)
+
+    def starts(self, name: str, words: list[str], places: dict[str, list[int]]) -> tuple[list[int], int]:
+        """Where windows start that a passage may lie whole in, and how long they are."""
+        template, extra = self.templates[name], self.extra[name]
+        if len(template) <= SHORT:
+            found = {max(0, at - j - extra) for j, w in enumerate(template) if w in self.keys[name] for at in places.get(w, ())}
+            return sorted(found), len(template) + 2 * extra
+        stride = -(-len(template) // 2)
+        keyed = {at // stride for w in self.keys[name] for at in places.get(w, ())}
+        return sorted({s * stride for k in keyed for s in range(max(0, k - 4), k + 1)}), 2 * len(template)
+
+    def passage(self, name: str, window: list[str]) -> list[tuple[int, int]]:
+        """The aligned places in a window, none if they are too few or too far apart, or if a
+        telling word of either side has no partner between them."""
+        template, extra = self.templates[name], self.extra[name]
+        if len(self.distinct[name].difference(window)) > self.missing[name]:
+            return []
+        pairs = align(window, template)
+        # A word of the template that also stands far off is no part of the passage.
+        middle = len(pairs) // 2
+        first = max((i for i in range(1, middle + 1) if pairs[i][0] - pairs[i - 1][0] - 1 > extra), default=0) if pairs else 0
+        last = min((i for i in range(middle + 1, len(pairs)) if pairs[i][0] - pairs[i - 1][0] - 1 > extra), default=len(pairs))
+        pairs = pairs[first:last]
+        if len(pairs) < len(template) - self.missing[name] or pairs[-1][0] + 1 - pairs[0][0] - len(pairs) > extra:
+            return []
+        if not {j for _, j in pairs}.issuperset(self.telling[name]):
+            return []
+        if len(template) <= SHORT:
+            aligned = {i for i, _ in pairs}
+            if any(i not in aligned for i in telling(window) if pairs[0][0] < i < pairs[-1][0]):
+                return []
+        return pairs
 
     def find(self, text: str) -> list[tuple[str, float, int, int]]:
-        """(name, coverage, first word, word past the last) of each template's best passage."""
+        """(name, coverage, first word, word past the last) of each license's best passage.
+
+        Where passages overlap, that of the most aligned words counts alone.
+        """
         words = tokens(text)
         held = {*words}
-        out = []
-        for name, template in self.templates.items():
-            if held.isdisjoint(self.keys[name]):
+        hit = [w for w in held if w in self.names]
+        if not hit:
+            return []
+        places: dict[str, list[int]] = {w: [] for w in hit}
+        for at, w in enumerate(words):
+            if w in places:
+                places[w].append(at)
+        passages = set()
+        for name in sorted({n for w in hit for n in self.names[w]}):
+            if len(self.distinct[name] - held) > self.missing[name] or len(words) < len(self.templates[name]) - self.missing[name]:
                 continue
-            stride, best = -(-len(template) // 2), None
-            keyed = {at // stride for at, w in enumerate(words) if w in self.keys[name]}
-            starts = sorted({s * stride for k in keyed for s in range(max(0, k - 4), k + 1)})
+            starts, width = self.starts(name, words, places)
             for start in starts:
-                window = words[start : start + 2 * len(template)]
-                pairs = align(window, template)
-                share = len(pairs) / len(template)
-                if share >= self.coverage and (best is None or share > best[1]):
-                    best = (name, share, start + pairs[0][0], start + pairs[-1][0] + 1)
-            if best:
-                out.append(best)
-        return sorted(out, key=lambda f: (-f[1], f[2], -len(self.templates[f[0]]), f[0]))
+                if pairs := self.passage(name, words[start : start + width]):
+                    passages.add((len(pairs), name, start + pairs[0][0], start + pairs[-1][0] + 1))
+        taken: list[tuple[int, int]] = []
+        best: dict[str, tuple[str, float, int, int]] = {}
+        for size, name, start, stop in sorted(passages, key=lambda p: (-p[0], -p[0] / len(self.templates[p[1]]), p[2], p[3], p[1])):
+            at = bisect.bisect_left(taken, (start, stop))
+            if (at and taken[at - 1][1] > start) or (at < len(taken) and taken[at][0] < stop):
+                continue
+            taken.insert(at, (start, stop))
+            best.setdefault(name, (name, size / len(self.templates[name]), start, stop))
+        return sorted(best.values(), key=lambda f: (-f[1], f[2], -len(self.templates[f[0]]), f[0]))
 
 
 @functools.lru_cache(maxsize=2)
@@ -142,7 +204,7 @@ def licenses(text: Column, templates: dict[str, str] = TEMPLATES, coverage: floa
     """The licenses a text names, the best covered first: license, coverage, and the words
     [start, stop) of the passage.
 
-    An empty array for null and empty texts and for texts without a notice. A passage that
+    An empty array for null and empty texts and for texts without a license. A passage that
     repeats is found once, at its first best place.
     """
     fixed = tuple(sorted(templates.items()))

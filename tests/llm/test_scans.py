@@ -104,6 +104,20 @@ def test_licenses(spark):
     assert license_scan.scan(docs.limit(0)).collect() == []
 
 
+def test_a_notice_counts_for_its_own_license_only():
+    scanner = license_scan.Scanner(license_scan.TEMPLATES, license_scan.COVERAGE)
+
+    def names(text):
+        return [f[0] for f in scanner.find(text)]
+
+    assert names("a. This work is licensed under the GNU General Public License, version 3. b") == ["GPL-3.0"]
+    assert names("a. This work is licensed under the GNU General Public License, version 2. b") == ["GPL-2.0"]
+    assert names("Licensed under CC BY-NC 4.0.") == ["CC-BY-NC-4.0"]
+    assert names("Licensed under CC BY-NC 4.0. Licensed under CC BY 4.0.") == ["CC-BY-NC-4.0", "CC-BY-4.0"]
+    assert names("Licensed under CC BY-XX-SA 4.0") == ["CC-BY-SA-4.0"]
+    assert names("This work is licensed under the GNU Affero General Public License, version 3") != ["GPL-3.0"]
+
+
 def test_license_query(spark, texts):
     """Every notice that stands in a text word for word is found, and nothing in texts without a license word."""
     plain = {name: " ".join(license_scan.tokens(t)) for name, t in license_scan.TEMPLATES.items()}
