@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import pkgutil
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -24,21 +25,78 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The notices by which public licenses are granted, by their short names.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0",
+def _whole(name: str) -> str:
+    """A license text as shipped; read through the loader, as the package may be an archive."""
+    return pkgutil.get_data("gleanwork.llm", f"licenses/{name}.txt").decode()
+
+
+def _standard(work: str, license: str, version: str) -> str:
+    """The notice that the Free Software Foundation has put at the start of each file."""
+    return (
+        f"This {work} is free software: you can redistribute it and/or modify it under the terms of the GNU {license}"
+        f" as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version."
+        f" This {work} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of"
+        f" MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {license} for more details."
+    )
+
+
+#: Licenses whose whole text, without the appendix on how to apply it, is a template.
+WHOLE = (
+    "0BSD", "Apache-2.0", "Artistic-1.0-Perl", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "BSL-1.0", "CC0-1.0", "GFDL-1.2", "GFDL-1.3",
+    "GPL-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MIT", "MIT-0", "MPL-1.1", "MPL-2.0", "Unlicense", "Zlib",
+)
+#: The first sentence of a license text, for texts that are cut off behind it.
+GRANTS = {
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+    "Unlicense": "This is free and unencumbered software released into the public domain",
+}
+#: The notices that licenses tell their users to put into files.
+NOTICES = {
+    "AGPL-3.0": _standard("program", "Affero General Public License", "3"),
+    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'
+    " You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing,"
+    ' software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'
+    " See the License for the specific language governing permissions and limitations under the License.",
+    "EPL-1.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
+    "GPL-2.0": _standard("program", "General Public License", "2"),
+    "GPL-3.0": _standard("program", "General Public License", "3"),
+    "LGPL-2.0": _standard("library", "Library General Public License", "2"),
+    "LGPL-2.1": _standard("library", "Lesser General Public License", "2.1"),
+    "LGPL-3.0": _standard("library", "Lesser General Public License", "3"),
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file,"
+    " You can obtain one at http://mozilla.org/MPL/2.0/",
+}
+#: One sentence or less that names a license.
+SHORTS = {
+    "AGPL-3.0": "licensed under the GNU Affero General Public License, version 3",
+    "Apache-2.0": "Licensed under the Apache License, Version 2.0",
     "CC-BY-4.0": "Licensed under CC BY 4.0",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
+    "CC-BY-NC-ND-4.0": "Licensed under CC BY-NC-ND 4.0",
+    "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0",
+    "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0",
+    "CC0-1.0": "Licensed under CC0 1.0",
+    "EPL-2.0": "licensed under the Eclipse Public License, version 2.0",
     "GPL-2.0": "This work is licensed under the GNU General Public License, version 2",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "LGPL-2.1": "licensed under the GNU Lesser General Public License, version 2.1",
+    "LGPL-3.0": "licensed under the GNU Lesser General Public License, version 3",
     "MIT": "Released under the MIT License",
-    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
-    "Unlicense": "This is free and unencumbered software released into the public domain",
 }
+#: All templates. A name is the license and what of it the template is.
+TEMPLATES = {
+    **SHORTS,
+    **{f"{name}-notice": t for name, t in NOTICES.items()},
+    **{f"{name}-grant": t for name, t in GRANTS.items()},
+    **{f"{name}-text": _whole(name) for name in WHOLE},
+}
+#: What a found license is: a template's kind by the end of its name, else a short notice.
+KINDS = ("notice", "grant", "text", "spdx")
 #: Share of a template's words that must align.
 COVERAGE = 0.9
 #: Words that tell the licenses of a family apart, besides version numbers and "Library General".
@@ -47,6 +105,9 @@ TELLING = {"affero", "lesser", "nc", "nd", "sa"}
 SHORT = 90
 
 WORDS = re.compile(r"[a-z0-9]+")
+#: An SPDX tag, and the operators and identifiers of the expression behind it.
+TAG = re.compile(r"spdx-license-identifier:", re.I | re.A)
+PART = re.compile(r"[ \t(]*([A-Za-z0-9][A-Za-z0-9.:-]*\+?)[ \t)]*")
 
 
 def tokens(text: str) -> list[str]:
@@ -101,6 +162,30 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def identifiers(text: str) -> list[tuple[str, int, int]]:
+    """The licenses that SPDX tags name, each once: name, and its start and end in the text.
+
+    What stands behind WITH is an exception and no license.
+    """
+    found: dict[str, tuple[int, int]] = {}
+    for tag in TAG.finditer(text):
+        part, counts = PART.match(text, tag.end()), True
+        while part:
+            if counts:
+                name = part[1].rstrip(".:-")
+                found.setdefault(name, (part.start(1), part.start(1) + len(name)))
+            joint = PART.match(text, part.end())
+            if not joint or joint[1] not in ("AND", "OR", "WITH"):
+                break
+            part, counts = PART.match(text, joint.end()), joint[1] != "WITH"
+    return [(name, *place) for name, place in found.items()]
+
+
+def kind(name: str) -> str:
+    end = name.rpartition("-")[2]
+    return end if end in KINDS else "short"
+
+
 def telling(words: list[str]) -> list[int]:
     """The places of words that tell one license from another of its family."""
     return [at for at, w in enumerate(words) if w in TELLING or (w.isdigit() and len(w) < 3) or (w == "library" and words[at + 1 : at + 2] == ["general"])]
@@ -166,7 +251,20 @@ class Scanner:
         """
         words = tokens(text)
         held = {*words}
-        hit = [w for w in held if w in self.names]
+        tagged = []
+        if "spdx" in held and (named := identifiers(text)):
+            places_of = [m.span() for m in WORDS.finditer(text.translate(LOWER))]
+            for name, start, end in named:
+                at = [bisect.bisect_left(places_of, (x, x)) for x in (start, end)]
+                tagged.append((f"{name}-spdx", 1.0, *at))
+        return self.ordered(self.aligned(words, held) + tagged)
+
+    def ordered(self, found: list[tuple[str, float, int, int]]) -> list[tuple[str, float, int, int]]:
+        """Whole texts first, then the best covered."""
+        return sorted(found, key=lambda f: (kind(f[0]) != "text", -f[1], f[2], -len(self.templates.get(f[0], ())), f[0]))
+
+    def aligned(self, words: list[str], held: set[str]) -> list[tuple[str, float, int, int]]:
+        hit = held & self.names.keys()
         if not hit:
             return []
         places: dict[str, list[int]] = {w: [] for w in hit}
@@ -175,7 +273,7 @@ class Scanner:
                 places[w].append(at)
         passages = set()
         for name in sorted({n for w in hit for n in self.names[w]}):
-            if len(self.distinct[name] - held) > self.missing[name] or len(words) < len(self.templates[name]) - self.missing[name]:
+            if len(words) < len(self.templates[name]) - self.missing[name] or len(self.distinct[name] - held) > self.missing[name]:
                 continue
             starts, width = self.starts(name, words, places)
             for start in starts:
@@ -189,7 +287,7 @@ class Scanner:
                 continue
             taken.insert(at, (start, stop))
             best.setdefault(name, (name, size / len(self.templates[name]), start, stop))
-        return sorted(best.values(), key=lambda f: (-f[1], f[2], -len(self.templates[f[0]]), f[0]))
+        return list(best.values())
 
 
 @functools.lru_cache(maxsize=2)
@@ -197,12 +295,14 @@ def _scanner(templates: tuple[tuple[str, str], ...], coverage: float) -> Scanner
     return Scanner(dict(templates), coverage)
 
 
-FOUND = "array<struct<license: string, coverage: double, start: int, stop: int>>"
+FOUND = "array<struct<license: string, coverage: double, start: int, stop: int, kind: string>>"
 
 
 def licenses(text: Column, templates: dict[str, str] = TEMPLATES, coverage: float = COVERAGE) -> Column:
-    """The licenses a text names, the best covered first: license, coverage, and the words
-    [start, stop) of the passage.
+    """The licenses a text holds or names, whole license texts first, then the best covered:
+    license, coverage of its template, the words [start, stop) of the passage, and its kind:
+    text (a whole license text), notice (the standard one), grant (a license text's first
+    sentence), short (another notice) or spdx (an identifier behind a tag).
 
     An empty array for null and empty texts and for texts without a license. A passage that
     repeats is found once, at its first best place.
@@ -213,7 +313,7 @@ def licenses(text: Column, templates: dict[str, str] = TEMPLATES, coverage: floa
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scanner = _scanner(fixed, coverage)
         for texts in batches:
-            yield pd.Series([[dict(zip(("license", "coverage", "start", "stop"), f, strict=True)) for f in scanner.find(t)] if t else [] for t in texts])
+            yield pd.Series([[dict(zip(("license", "coverage", "start", "stop", "kind"), (*f, kind(f[0])), strict=True)) for f in scanner.find(t)] if t else [] for t in texts])
 
     return found(text)
 

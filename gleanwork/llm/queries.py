@@ -105,6 +105,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         F.size("licenses").cast("long").alias("n_licenses"),
         best["license"].alias("license"),
+        best["kind"].alias("kind"),
         best["coverage"].alias("coverage"),
         best["start"].cast("long").alias("first_word"),
         best["stop"].cast("long").alias("past_word"),

@@ -118,6 +118,27 @@ def test_a_notice_counts_for_its_own_license_only():
     assert names("This work is licensed under the GNU Affero General Public License, version 3") != ["GPL-3.0"]
 
 
+def test_whole_license_texts_notices_and_identifiers():
+    scanner = license_scan.Scanner(license_scan.TEMPLATES, license_scan.COVERAGE)
+    words = "lorem ipsum dolor sit amet " * 40
+
+    def names(text):
+        return [f[0] for f in scanner.find(f"{words}\n{text}\n{words}")]
+
+    for name, text in license_scan.TEMPLATES.items():
+        assert names(text) == [name]
+        assert names(text.replace("\n", "\n // ").upper()) == [name]
+    mit = license_scan.TEMPLATES["MIT-text"]
+    assert names(mit[: len(mit) // 2]) == ["MIT-grant"]
+    notice = license_scan.TEMPLATES["GPL-3.0-notice"]
+    assert names(notice.replace("This program", "Frobnicator")) == ["GPL-3.0-notice"]
+    assert names(notice.replace("version 3", "version 2")) == ["GPL-2.0-notice"]
+    bsd = license_scan.TEMPLATES["BSD-3-Clause-text"]
+    assert names(bsd.replace("COPYRIGHT HOLDERS", "REGENTS").replace("copyright holder", "University")) == ["BSD-3-Clause-text"]
+    found = scanner.find("x // SPDX-License-Identifier: (EUPL-1.2 OR GPL-2.0-only WITH Classpath-exception-2.0)\ny")
+    assert found == [("EUPL-1.2-spdx", 1.0, 4, 7), ("GPL-2.0-only-spdx", 1.0, 8, 12)]
+
+
 def test_license_query(spark, texts):
     """Every notice that stands in a text word for word is found, and nothing in texts without a license word."""
     plain = {name: " ".join(license_scan.tokens(t)) for name, t in license_scan.TEMPLATES.items()}
