@@ -3,7 +3,7 @@
 Every stage works on all documents its predecessor kept and reads them from a table, so its
 rows come alike each time. All but the last return the columns of documents.
 
-1. toxicity: documents whose score reaches the threshold go;
+1. toxicity: documents whose score reaches the threshold go, none if the labels lack a class;
 2. exact_dedup: of equal texts the one of the largest doc_id stays;
 3. near_dedup: of each group linked by five-word shingles the least doc_id stays;
 4. secrets: every found secret is replaced by a mark, no document goes;
@@ -32,9 +32,12 @@ TOXIC = 0.3
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the classifier does not reject. It learns from the labels of rows that are
-    not held out, joined to their texts among `docs`."""
+    not held out, joined to their texts among `docs`. If those lack a class it has learned
+    nothing, and every document stays."""
     labels = bounded(spark).read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs, labels.filter(~toxicity.held_out()))
+    if not model.learned:
+        return docs
     return docs.filter(toxicity.score(F.col("text"), model) < TOXIC)
 
 

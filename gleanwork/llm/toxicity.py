@@ -64,10 +64,12 @@ def features(text: str | None) -> tuple[bytes, bytes]:
 
 @dataclass(frozen=True)
 class Model:
-    """What a bucket adds to the log-odds of the toxic class, and the offset."""
+    """What a bucket adds to the log-odds of the toxic class, the offset, and whether there
+    were rows of both classes to learn from."""
 
     weights: np.ndarray
     offset: float
+    learned: bool = True
 
     def log_odds(self, word: str) -> float:
         return float(self.weights[buckets(word)].mean())
@@ -80,7 +82,7 @@ def fit(rows: list[tuple[bytes, bytes]], labels: list[int], size: int = 4, steps
     """
     share = (sum(labels) + 1) / (len(labels) + 2)
     if not 0 < sum(labels) < len(labels):
-        return Model(np.zeros(BUCKETS, "f4"), math.log(share / (1 - share)))
+        return Model(np.zeros(BUCKETS, "f4"), math.log(share / (1 - share)), learned=False)
     random = np.random.default_rng(seed)
     texts_with = np.zeros(BUCKETS, np.int64)
     for bag, _ in rows:

@@ -1,3 +1,5 @@
+import pytest
+
 import corpus_pipeline
 from gleanwork.llm import secret_scan
 from tests.llm.brute import brute_components, shingles
@@ -38,3 +40,18 @@ def test_odd_documents(spark, odd_table, tmp_path):
     spark.createDataFrame([(0, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in rows} <= {0, 1, 2, 3, 4, 5, 6, 7, None}
+
+
+@pytest.mark.parametrize("labels", [[(0, 0)], []])
+def test_odd_documents_pass_without_both_classes(spark, odd_table, tmp_path, labels):
+    """Nothing is learned, so the first stage keeps all rows and the others decide."""
+    odd_table.drop("row", "chunk").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = corpus_pipeline.remove_toxic(spark, docs, str(tmp_path))
+    assert sorted(map(str, kept.collect())) == sorted(map(str, docs.collect()))
+    if labels:
+        rows = [(r.doc_id, r.start) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+        assert {i for i, _ in rows} == {2, 3, 4, 5, 6, 7}
+        assert len(set(rows)) == len(rows)
+        assert all(sum(i == j for j, _ in rows) == 1 for i in (2, 3, 4, 6, 7))
