@@ -2,7 +2,10 @@
 
 Base: three patterns, leftmost matches without overlap for each kind. The method adds
 strings that look drawn at random. Every run of 20 or more characters of key alphabets is a
-candidate; its encoding is inferred from the characters it uses, and under the hypothesis
+candidate, and so is every part as long that is left when a run is cut at the separators an
+encoding does not use: at _ and - for base64, at + and / for base64url, at all four for the
+others. So a key behind a path or a prefix is tested by itself, too. A candidate's
+encoding is inferred from the characters it uses, and under the hypothesis
 "each character is an independent uniform draw from that encoding's alphabet" three tests
 give p-values: chi-squared uniformity over the alphabet, the runs test about the alphabet's
 middle, and lag-one serial correlation. The smallest, corrected for being one of three, is
@@ -14,7 +17,7 @@ of lengths, as short strings give the tests little power and would drag down the
 of long ones. The rule needs only the number of p-values below each value: p-values are
 counted in bins of a twentieth of a decade and a bin counts with its upper edge, so the
 threshold is never too lax and nothing is sorted or collected. What is not rejected is
-reported as kind `random`, unless it overlaps a base span.
+reported as kind `random`, unless it overlaps a base span or lies within another one reported.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ KINDS = ("assign", "access", "hex", "random")
 VALUE_LENGTH = 12
 
 CANDIDATE = r"([A-Za-z0-9+/_-]{20,}+)"
+#: What encodings leave of a run: base64, base64url, and those without any separator.
+PARTS = (r"([A-Za-z0-9+/]{20,}+)", r"([A-Za-z0-9_-]{20,}+)", r"([A-Za-z0-9]{20,}+)")
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Encodings by name: the characters a string may use, its alphabet in order.
 ENCODINGS = {
@@ -92,6 +97,19 @@ def spans_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return placed.filter("long_enough").select("row", "kind", "start", "end", "match")
 
 
+def with_parts(runs: DataFrame) -> DataFrame:
+    """Runs (row, start, end, match) and the parts they are cut into, each once."""
+    match = F.col("match")
+    glued = runs.filter(F.rlike(match, F.lit("[+/_-]")))
+    cuts = F.array(*[hits(match, p, "random") for p in PARTS])
+    each = glued.select("row", F.col("start").alias("from"), F.posexplode(cuts).alias("cut", "of_cut")).filter("of_cut is not null")
+    placed = each.select("row", "from", "cut", F.posexplode("of_cut").alias("at", "hit")).select("row", "from", "cut", "at", "hit.*")
+    before = Window.partitionBy("row", "from", "cut").orderBy("at")
+    ended = placed.withColumn("end", F.col("from") + F.sum(F.col("gap") + F.col("width")).over(before)).filter("long_enough")
+    parts = ended.select("row", (F.col("end") - F.col("width")).alias("start"), "end", "match")
+    return runs.select("row", "start", "end", "match").unionByName(parts).dropDuplicates(["row", "start", "end"])
+
+
 def upper_tail(z: Column) -> Column:
     """P(Z > z) of the standard normal, to 7 digits (a rational approximation of erfc)."""
     x = F.abs(z) / 2**0.5
@@ -103,15 +121,15 @@ def upper_tail(z: Column) -> Column:
 def tested(candidates: DataFrame) -> DataFrame:
     """The candidates with an inferred encoding, its family and the battery's p-value.
 
-    Strings of letters of one case, or without any digit or letter, have no encoding.
+    Strings without any letter or digit, or that mix + or / with _ or -, have no encoding.
     """
     match = F.col("match")
-    mixed = F.rlike(match, F.lit("[0-9]")) & F.rlike(match, F.lit("[A-Za-z]"))
+    written_in = F.rlike(match, F.lit("[0-9A-Za-z]"))
     encoding, alphabet = F.lit(None).cast("string"), F.lit(None).cast("string")
     for name, (shape, letters) in reversed(ENCODINGS.items()):
         fits = F.rlike(match, F.lit(shape))
         encoding, alphabet = F.when(fits, F.lit(name)).otherwise(encoding), F.when(fits, F.lit(letters)).otherwise(alphabet)
-    known = candidates.filter(mixed).withColumn("encoding", encoding).withColumn("alphabet", alphabet).filter("encoding is not null")
+    known = candidates.filter(written_in).withColumn("encoding", encoding).withColumn("alphabet", alphabet).filter("encoding is not null")
     n, k = F.length("match"), F.length("alphabet")
     codes = F.expr("transform(split(match, ''), c -> cast(instr(alphabet, c) - 1 as double))")
     halves = F.expr("translate(match, alphabet, concat(repeat('0', length(alphabet) div 2), repeat('1', length(alphabet) - length(alphabet) div 2)))")
@@ -171,14 +189,17 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     found = kept(spans_of(docs, doc_id, text))
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
     base = found.filter("kind <> 'random'").select("row", "start", rank.alias("rank"), "end")
-    loose = not_rejected(tested(found.filter("kind = 'random'"))).select("row", "start", F.lit(3).alias("rank"), "end")
-    at = Window.partitionBy("row").orderBy("start", "rank")
+    loose = not_rejected(tested(with_parts(found.filter("kind = 'random'")))).select("row", "start", F.lit(3).alias("rank"), "end")
+    at = Window.partitionBy("row").orderBy("start", "rank", F.desc("end"))
     is_base = F.col("rank") < 3
     reach = F.max(F.when(is_base, F.col("end"))).over(at.rowsBetween(Window.unboundedPreceding, 0))
     following = F.min(F.when(is_base, F.col("start"))).over(at.rowsBetween(0, Window.unboundedFollowing))
     both = base.unionByName(loose).withColumn("reach", reach).withColumn("following", following)
     clear = F.coalesce(F.col("reach") <= F.col("start"), F.lit(True)) & F.coalesce(F.col("following") >= F.col("end"), F.lit(True))
-    spans = both.filter(is_base | clear).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "end"))).alias("spans"))
+    # Parts are reported within a run that is not, be it rejected or in the way of a base span.
+    wider = F.max(F.when(~is_base, F.col("end"))).over(at.rowsBetween(Window.unboundedPreceding, -1))
+    widest = both.filter(is_base | clear).withColumn("wider", wider).filter(is_base | F.col("wider").isNull() | (F.col("wider") < F.col("end")))
+    spans = widest.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "end"))).alias("spans"))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"))
     none = F.expr("cast(array() as array<struct<start: bigint, rank: int, end: bigint>>)")
     return rows.join(spans, "row", "left").withColumn("spans", F.coalesce("spans", none))

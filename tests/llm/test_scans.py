@@ -48,6 +48,24 @@ def test_random_strings_are_added_and_words_are_not(spark):
     assert not any(s[1] == 3 for i in range(len(made), len(rows)) for s in found[i])
 
 
+def test_digitless_and_glued_keys_are_tested(spark):
+    draw = random.Random(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    digits = "0123456789"
+    bare = ["".join(draw.choice(letters) for _ in range(24)) for _ in range(60)]
+    keys = ["".join(draw.choice(letters + digits) for _ in range(40)) for _ in range(60)]
+    base64 = ["".join(draw.choice(letters + digits + "+/") for _ in range(64)) for _ in range(60)]
+    texts = [*bare, *(f"/my-app/{k}" for k in keys), *(f"the_{k}-the" for k in base64)]
+    want = [(4, 28)] * 60 + [(12, 52)] * 60 + [(8, 72)] * 60
+    words = ["getElementsByClassNameOrElement", "internationalizationandlocalization", "/the/the-the/the_the/the-the/the", "-" * 30, "/-" * 30]
+    rows = [(i, f"see {t} there") for i, t in enumerate([*texts, *words])]
+    found = {i: {(a, b) for a, k, b in s if k == 3} for i, s in spans(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)).items()}
+    for part in range(3):
+        caught = [i for i in range(60 * part, 60 * part + 60) if any(a <= want[i][0] and want[i][1] <= b for a, b in found[i])]
+        assert len(caught) >= 54
+    assert not any(found[i] for i in range(len(texts), len(rows)))
+
+
 def test_normal_tail(spark):
     from pyspark.sql import functions as F
 
