@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanwork.llm import bpe_tree, exact_dedup, license_scan, near_dedup, packing, secret_scan, substring_dedup, token_counts, top_k, toxicity
+from gleanwork.llm import (
+    bpe_tree,
+    exact_dedup,
+    license_scan,
+    near_dedup,
+    packing,
+    secret_scan,
+    sharding,
+    substring_dedup,
+    token_counts,
+    top_k,
+    toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -192,3 +204,74 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def checksum_sql(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes in SQL, over the byte table `crc_table` of `CRC_TABLE`."""
+    octets = f"[('0x' || h)::BIGINT for h in regexp_extract_all(hex(encode({text})), '..')]"
+    step = "lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1])"
+    return f"xor(list_reduce({octets}, {step}, 4294967295::BIGINT), 4294967295)"
+
+
+def _checksum_table() -> str:
+    values = []
+    for byte in range(256):
+        for _ in range(8):
+            byte = byte >> 1 ^ (0xEDB88320 if byte & 1 else 0)
+        values.append(byte)
+    return f"(SELECT {values}::BIGINT[] AS crc_table)"
+
+
+CRC_TABLE = _checksum_table()
+DIMENSIONS, SHARDS, BITS = ["lang", "source", "n_chars"], 40, 5
+
+
+@query
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign(documents(spark, sf_dir), DIMENSIONS, SHARDS, "rows", BITS)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve"
+    )
+
+
+def _hilbert_sql(cells: str, axes: list[str], bits: int) -> str:
+    """A query that adds `curve` to the rows of `cells`, one nested step for each turn."""
+    first, last, sql = axes[0], axes[-1], f"SELECT * FROM {cells}"
+    for bit in range(bits - 1, 0, -1):
+        below = (1 << bit) - 1
+        for axis in axes:
+            swap = f"xor({first}, {axis}) & {below}"
+            turned = [f"CASE WHEN {axis} & {1 << bit} <> 0 THEN xor({first}, {below}) ELSE xor({first}, {swap}) END AS {first}"]
+            if axis != first:
+                turned.append(f"CASE WHEN {axis} & {1 << bit} <> 0 THEN {axis} ELSE xor({axis}, {swap}) END AS {axis}")
+            sql = f"SELECT * REPLACE ({', '.join(turned)}) FROM ({sql})"
+    for left, right in zip(axes, axes[1:], strict=False):
+        sql = f"SELECT * REPLACE (xor({right}, {left}) AS {right}) FROM ({sql})"
+    flips = "0"
+    for bit in range(bits - 1, 0, -1):
+        flips = f"xor({flips}, CASE WHEN {last} & {1 << bit} <> 0 THEN {(1 << bit) - 1} ELSE 0 END)"
+    digits = [f"((xor({axis}, flips) >> {bit}) & 1)" for bit in range(bits - 1, -1, -1) for axis in axes]
+    index = " + ".join(f"{d} * {1 << len(digits) - 1 - i}" for i, d in enumerate(digits))
+    return f"SELECT *, {index} AS curve FROM (SELECT *, {flips} AS flips FROM ({sql}))"
+
+
+def _levels_sql(column: str) -> str:
+    before = "coalesce(sum(n) OVER (ORDER BY value NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+    counts = f"SELECT {column} AS value, count(*) AS n FROM documents GROUP BY {column}"
+    return f"SELECT value, CAST(floor({before} * {1 << BITS} / (SELECT count(*) FROM documents)) AS BIGINT) AS level FROM ({counts})"
+
+
+ORACLES["op13_sharding"] = f"""
+    WITH cells AS (
+        SELECT doc_id, text, {", ".join(f"{d}_levels.level AS {d}" for d in DIMENSIONS)}
+        FROM documents {" ".join(f"JOIN ({_levels_sql(d)}) AS {d}_levels ON documents.{d} IS NOT DISTINCT FROM {d}_levels.value" for d in DIMENSIONS)}
+    ), facts AS (
+        SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size, {checksum_sql("coalesce(text, '')")} AS text_crc32, curve
+        FROM ({_hilbert_sql("cells", DIMENSIONS, BITS)}), {CRC_TABLE}
+    ), ranked AS (
+        SELECT *, row_number() OVER (ORDER BY curve, text_crc32, doc_id NULLS FIRST) - 1 AS rank, (SELECT count(*) FROM documents) AS n FROM facts
+    )
+    SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(rank * {SHARDS} // n AS INTEGER) AS shard,
+           rank - (rank * {SHARDS} // n * n + {SHARDS - 1}) // {SHARDS} AS slot, CAST(NULL AS INTEGER) AS grown_shard, curve
+    FROM ranked
+"""
