@@ -16,11 +16,13 @@ from gleanwork.llm import (
     packing,
     secret_scan,
     sharding,
+    spelling,
     substring_dedup,
     token_counts,
     top_k,
     toxicity,
 )
+from gleanwork.llm.storage import kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -275,3 +277,52 @@ ORACLES["op13_sharding"] = f"""
            rank - (rank * {SHARDS} // n * n + {SHARDS - 1}) // {SHARDS} AS slot, CAST(NULL AS INTEGER) AS grown_shard, curve
     FROM ranked
 """
+
+
+def _misheard(ident: Column, word: Column) -> Column:
+    """The word without one letter, where the checksum of the document's id and the word says."""
+    h = F.crc32(F.concat(ident, F.lit(":"), word).cast("binary"))
+    at = (h % F.char_length(word)).cast("int")
+    return F.when(h % 199 == 0, F.concat(F.substring(word, F.lit(1), at), F.substring(word, at + 2, F.char_length(word)))).otherwise(word)
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = kept(spelling.counted(documents(spark, sf_dir), 6, 5, heard=_misheard))
+    return spelling.variants(words, ratio=5)
+
+
+_LATIN = "".join(map(chr, range(0xC0, 0x100)))
+#: As many one-byte characters, none a small letter: the SQL function counts edits of bytes.
+_BYTES = "".join(chr(c) for c in range(0x21, 0x7F) if not 0x61 <= c <= 0x7A and c != 0x27)[: len(_LATIN)]
+
+ORACLES["op12_spelling_variants"] = f"""
+    WITH RECURSIVE runs AS (
+        SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS run FROM documents
+    ), low AS (
+        SELECT doc_id, translate(run, '{spelling.UPPER}', '{spelling.LOWER}') AS word, count(*) AS n FROM runs GROUP BY ALL
+    ), heard AS (
+        SELECT word, n, {checksum_sql("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || word")} AS h FROM low, {CRC_TABLE}
+    ), said AS (
+        SELECT CASE WHEN h % 199 = 0 THEN word[:h % length(word)] || word[h % length(word) + 2:] ELSE word END AS word, n FROM heard
+    ), vocabulary AS (
+        SELECT word, CAST(sum(n) AS BIGINT) AS n FROM said WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+    ), coded AS (
+        SELECT word, n, length(word) AS size, translate(word, '{_LATIN}', '{_BYTES}') AS code FROM vocabulary
+    ), near AS (
+        SELECT a.word, a.n, b.word AS other, b.n AS other_n
+        FROM coded a JOIN coded b ON b.size BETWEEN a.size - 1 AND a.size + 1 AND a.word <> b.word AND levenshtein(a.code, b.code) = 1
+    ), best AS (
+        SELECT word, n, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM near GROUP BY word, n
+    ), forms AS (
+        SELECT word, other AS form, other_n AS form_n FROM best WHERE other_n >= 5 * n
+    ), steps AS (
+        SELECT word, word AS root FROM vocabulary
+        UNION ALL
+        SELECT steps.word, forms.form FROM steps JOIN forms ON steps.root = forms.word
+    ), roots AS (
+        SELECT word, root FROM steps WHERE root NOT IN (SELECT word FROM forms)
+    )
+    SELECT word, form, root, vocabulary.n, coalesce(n_near, 0) AS n_near, form_n
+    FROM vocabulary JOIN roots USING (word) LEFT JOIN (SELECT word, n_near FROM best) USING (word) LEFT JOIN forms USING (word)
+"""
