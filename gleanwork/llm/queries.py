@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gleanwork.llm import (
     bpe_tree,
     exact_dedup,
+    lexical,
     license_scan,
     near_dedup,
     packing,
@@ -326,3 +327,34 @@ ORACLES["op12_spelling_variants"] = f"""
     SELECT word, form, root, vocabulary.n, coalesce(n_near, 0) AS n_near, form_n
     FROM vocabulary JOIN roots USING (word) LEFT JOIN (SELECT word, n_near FROM best) USING (word) LEFT JOIN forms USING (word)
 """
+
+
+@query
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 50)
+
+
+def _terms_sql(table: str, key: str) -> str:
+    low = f"translate(coalesce(text, ''), '{lexical.UPPER}', '{lexical.LOWER}')"
+    return f"SELECT {key}, unnest(regexp_extract_all({low}, '{lexical.TERMS}')) AS term FROM {table}"
+
+
+ORACLES["op11_lexical_search"] = f"""
+    WITH tfs AS (
+        SELECT doc_id, term, count(*) AS tf FROM ({_terms_sql("documents", "doc_id")}) GROUP BY doc_id, term
+    ), lengths AS (
+        SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM tfs GROUP BY doc_id
+    ), totals AS (
+        SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM lengths
+    ), weights AS (
+        SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM tfs, totals GROUP BY term, docs
+    ), asked AS (
+        SELECT DISTINCT item_id, term FROM ({_terms_sql("benchmark", "item_id")})
+    ), scored AS (
+        SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms)))) AS BIGINT) AS score
+        FROM asked JOIN tfs USING (term) JOIN weights USING (term) JOIN lengths USING (doc_id), totals
+        GROUP BY item_id, doc_id
+    )
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 50
+"""

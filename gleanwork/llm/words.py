@@ -48,10 +48,11 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 class TextWords:
     """The words of consecutive rows: their bytes' places, their hashes, and whose they are.
 
-    Words i with bounds[r] <= i < bounds[r + 1] belong to row r.
+    Words i with bounds[r] <= i < bounds[r + 1] belong to row r. `blank` says for each byte
+    whether it parts words.
     """
 
-    def __init__(self, texts: pa.Array, lower: bool = False, seeds: tuple[int, ...] = (1,)):
+    def __init__(self, texts: pa.Array, lower: bool = False, seeds: tuple[int, ...] = (1,), blank: np.ndarray = BLANK):
         if texts.null_count:
             texts = pc.fill_null(texts, "")
         size = len(texts)
@@ -60,7 +61,7 @@ class TextWords:
         raw = texts.buffers()[2]
         self.data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None and size else np.zeros(0, np.uint8)
         offsets = offsets - offsets[0] if size else np.zeros(1, np.int64)
-        inside = ~BLANK[self.data]
+        inside = ~blank[self.data]
         first = inside.copy()
         first[1:] &= ~inside[:-1]
         edges = offsets[:-1][offsets[:-1] < len(self.data)]
