@@ -2,25 +2,32 @@
 
 A claim on a key holds until its TTL runs out or it is released; an attempt meanwhile is
 refused and changes nothing. Who gets a claim depends on all earlier grants, so a naive
-job walks each key's history in one task. Here a busy key's history is cut into time
-chunks. Each chunk's effect on the claim's state ("held until t", or free) is a step
-function of the state it is entered with, computed for all chunks at once; composing those
-few steps gives every chunk's entry state, and then all chunks are replayed at once.
+job walks each key's history in one task.
+
+Here all events are put in one global order and cut into runs of bounded size. What a run
+does to a key's claim is a step function of the state it is entered with ("held until t", or
+free), and such functions form a monoid. They are composed in pairs, pairs of pairs and so
+on, up a tree; then the states with which its halves are entered are handed down, and all
+runs are replayed at once. A function is kept in pieces of at most a run's steps. Two
+functions are composed piece by piece, where the states one leaves with meet the states the
+other is entered with, so no task ever holds more than two pieces, however busy a key is.
+Only entry states that can occur, up to a TTL past a span's first event, are followed;
+functions stay as small as one TTL's events, and the levels of the tree shrink.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanwork.operators.joins import fits, lookup_join
+from gleanwork.operators.steps import in_runs, written
 
 ACQUIRE, RELEASE = "acquire", "release"
 REQUEST_TTL_SECONDS = 1800
 LEASE_TTL_SECONDS = 1800
-# A key with more events than this is cut into chunks of about this many.
+# Events that one task looks at together.
 CHUNK_ROWS = 200_000
-FREE = 0
+FREE = -(2**62)
 _FOREVER = 2**62
 
 
@@ -100,36 +107,146 @@ class _Chunk:
             # Whatever the chunk is entered with, its first release leaves it free.
             following, _ = self.first(_FOREVER)
             return [(_FOREVER, int(exits[following]) if following < self.total else FREE)]
-        # A later start never ends earlier, so equal exits are neighbours.
         runs = np.append(np.flatnonzero(np.diff(exits)), self.total - 1)
         return [(int(self.at[i]), int(exits[i])) for i in runs]
 
 
+def replayed(frame, ttl: int, entry: int) -> tuple[list[int], int]:
+    """The granted seqs of one key's events (ts in micros, seq, release) entered with a state,
+    and the state they leave."""
+    chunk = _Chunk(frame, ttl)
+    granted = chunk.granted(entry)
+    for upto, left in chunk.steps():
+        if entry <= upto:
+            return granted, left
+    return granted, entry
+
+
+_PIECE = "key string, span bigint, first bigint, reach bigint, low bigint, high bigint, upto array<bigint>, left array<bigint>"
+
+
 def _steps(ttl: int):
-    def run(key, frame):
+    """A run's function in pieces: of the states above `low` up to `high`, those up to upto[i]
+    (and above the one before) leave with left[i]; later states pass unchanged.
+
+    In a piece, states never leave with less than earlier ones. A later start ends earlier
+    only where its chain has a grant less, which within a TTL happens once.
+    """
+
+    def run(frame):
+        import numpy as np
         import pandas as pd
 
-        rows = _Chunk(frame, ttl).steps()
-        return pd.DataFrame(
-            {"key": key[0], "chunk": key[1], "upto": [r[0] for r in rows], "left": [r[1] for r in rows]}
-        ).astype({"upto": "int64", "left": "int64"})
+        one = frame.iloc[0]
+        upto, left = map(np.array, zip(*_Chunk(frame, ttl).steps(), strict=True))
+        held = int(np.searchsorted(upto, one["first"] + one["reach"])) + 1
+        upto, left = upto[:held], left[:held]
+        edges = [0, *(np.flatnonzero(np.diff(left) < 0) + 1).tolist(), len(upto)]
+        low, pieces = FREE - 1, []
+        for i, j in zip(edges, edges[1:], strict=False):
+            pieces.append((one["key"], one["span"], one["first"], one["reach"], low, upto[j - 1], upto[i:j], left[i:j]))
+            low = upto[j - 1]
+        return pd.DataFrame(pieces, columns=["key", "span", "first", "reach", "low", "high", "upto", "left"])
 
     return run
 
 
-def _compose(frame):
-    """Entry state of every chunk of one key, from its chunks' steps."""
-    import pandas as pd
-
-    frame = frame.sort_values(["chunk", "upto"])
-    state = int(frame["initial"].iloc[0])
-    rows = []
-    for chunk, steps in frame.groupby("chunk", sort=True):
-        rows.append((frame["key"].iloc[0], chunk, state))
-        passed = steps[steps["upto"] >= state]
-        if len(passed):
-            state = int(passed["left"].iloc[0])
-    return pd.DataFrame(rows, columns=["key", "chunk", "entry"])
+def _joined(batches):
+    """For each meeting of two pieces, the states of the left one that go through the right."""
+    import numpy as np
+    import pyarrow as pa
+
+    names = ["key", "span", "first", "reach", "low", "high", "upto", "left"]
+    longs = pa.list_(pa.int64())
+    types = [pa.string(), *[pa.int64()] * 5, longs, longs]
+    for batch in batches:
+        out = []
+        lists = [batch.column(name) for name in ("upto", "left", "right_upto", "right_left")]
+        plain = batch.select(["key", "span", "first", "reach", "low", "right_low", "right_high"]).to_pylist()
+        for at, row in enumerate(plain):
+            upto, left, right_upto, right_left = (np.asarray(column[at].values) for column in lists)
+            i, j = np.searchsorted(left, [row["right_low"], row["right_high"]], side="right").tolist()
+            if i == j:
+                continue
+            low = row["low"] if i == 0 else int(upto[i - 1])
+            upto, left = upto[i:j], left[i:j]
+            if len(right_upto):
+                left = right_left[np.searchsorted(right_upto, left, side="left")]
+            last = np.append(np.flatnonzero(np.diff(left)), len(left) - 1)
+            out.append((row["key"], row["span"], row["first"], row["reach"], low, int(upto[-1]), upto[last], left[last]))
+        yield pa.RecordBatch.from_arrays([pa.array([r[at] for r in out], kind) for at, kind in enumerate(types)], names)
+
+
+def _composed(pieces: DataFrame, spans: DataFrame) -> DataFrame:
+    """The functions of neighbouring spans as those of their parents.
+
+    `spans` (key, span, high) holds each function's last entry state of its own; states
+    above it pass the function unchanged.
+    """
+    parent = F.floor(F.col("span") / 2).alias("span")
+    is_right = F.col("span") % 2 == 1
+    right_spans = spans.filter(is_right).select("key", parent, F.col("high").alias("right_end"))
+    lefts = pieces.filter(~is_right).withColumn("parent", F.floor(F.col("span") / 2))
+    rights = pieces.filter(is_right).select("key", parent, "low", "high", "upto", "left")
+    passing = right_spans.select("key", "span", F.col("right_end").alias("low"), F.lit(_FOREVER).alias("high"), F.array().cast("array<bigint>").alias("upto"), F.array().cast("array<bigint>").alias("left"))
+    met = rights.unionByName(passing).select(
+        "key", F.col("span").alias("parent"), F.col("low").alias("right_low"), F.col("high").alias("right_high"), F.col("upto").alias("right_upto"), F.col("left").alias("right_left")
+    )
+    inside = (F.get("left", F.lit(0)) <= F.col("right_high")) & (F.element_at("left", -1) > F.col("right_low"))
+    crossing = lefts.join(met, ["key", "parent"]).filter(inside).drop("span").withColumnRenamed("parent", "span")
+    joined = crossing.mapInArrow(_joined, _PIECE)
+    # States that the left function passes on unchanged go through the right one alone.
+    left_spans = spans.filter(~is_right).select("key", parent, F.col("high").alias("left_end"))
+    starts = pieces.filter(~is_right).groupBy("key", parent).agg(F.min("first").alias("first"), F.min("reach").alias("reach"))
+    behind = rights.join(left_spans.join(starts, ["key", "span"]), ["key", "span"]).withColumn("low", F.greatest("low", "left_end"))
+    behind = behind.filter((F.col("low") < F.col("high")) & (F.col("low") < F.col("reach") + F.col("first")))
+    columns = ["key", "span", "first", "reach", "low", "high", "upto", "left"]
+    alone = lefts.join(right_spans.withColumnRenamed("span", "parent").drop("right_end"), ["key", "parent"], "left_anti")
+    # A key of one span is done: nothing above needs its function.
+    alone = alone.filter("parent > 0").drop("span").withColumnRenamed("parent", "span")
+    return joined.unionByName(behind.select(*columns)).unionByName(alone.select(*columns))
+
+
+def _entries(events: DataFrame, start: DataFrame, ttl: int) -> DataFrame:
+    """(key, chunk, entry): the state in which each run of each key is entered.
+
+    events(key, chunk, ts, seq, release); start(key, initial).
+    """
+    # One narrow row for each run and key; a key's spans are its runs in order.
+    held = events.groupBy("key", "chunk").agg(F.min("ts").alias("first"))
+    along = Window.partitionBy("key").orderBy("chunk")
+    whole = Window.partitionBy("key")
+    numbered = held.select("key", "chunk", "first", (F.row_number().over(along) - 1).cast("bigint").alias("span"), F.count("*").over(whole).alias("spans"), F.min("first").over(whole).alias("key_first"))
+    initial = F.coalesce("initial", F.lit(FREE).cast("bigint")).alias("entry")
+    chunks = written(numbered.join(start, "key", "left").select("key", "chunk", "first", "span", "spans", "key_first", initial))
+    busy = chunks.filter("spans > 1")
+    most = busy.agg(F.max("spans")).first()[0] or 1
+    # No state is later than a TTL past a grant, but for one given from outside.
+    reach = F.greatest(F.lit(ttl), F.col("entry") - F.col("key_first")).alias("reach")
+    mine = events.join(busy.select("key", "chunk", "first", "span", reach), ["key", "chunk"])
+    pieces = written(mine.groupBy("key", "chunk").applyInPandas(_steps(ttl), _PIECE)) if most > 1 else None
+    levels = []
+    while most > 1:
+        spans = written(pieces.groupBy("key", "span").agg(F.max("high").alias("high")))
+        levels.append((pieces, spans))
+        most = -(-most // 2)
+        if most > 1:
+            pieces = written(_composed(pieces, spans))
+    states = written(busy.filter("span = 0").select("key", "span", "entry")) if levels else None
+    for pieces, spans in reversed(levels):
+        lefts = states.withColumn("span", F.col("span") * 2)
+        rights = spans.select("key", (F.col("span") - 1).alias("span"))
+        found = pieces.select("key", "span", "low", "high", "upto", "left")
+        asked = lefts.join(rights, ["key", "span"], "left_semi")
+        passed = asked.join(found, ["key", "span"]).filter((F.col("entry") > F.col("low")) & (F.col("entry") <= F.col("high")))
+        at = F.size(F.filter("upto", lambda u: u < F.col("entry")))
+        moved = passed.select("key", "span", F.get("left", at).alias("moved"))
+        onward = asked.join(moved, ["key", "span"], "left").select("key", (F.col("span") + 1).alias("span"), F.coalesce("moved", "entry").alias("entry"))
+        states = written(lefts.unionByName(onward))
+    calm = chunks.filter("spans = 1").select("key", "chunk", "entry")
+    if states is None:
+        return calm
+    return calm.unionByName(busy.drop("entry").join(states, ["key", "span"]).select("key", "chunk", "entry"))
 
 
 def _replay(ttl: int):
@@ -149,7 +266,8 @@ def granted_claims(
 
     events(key STRING, ts TIMESTAMP, seq BIGINT, kind): kind `acquire` or `release`, seq
     orders events of one instant. initial(key, held_until TIMESTAMP) is the state to start
-    from. Only narrow columns are shuffled, and no task sees more of a key than one chunk.
+    from. Only narrow columns are shuffled, and no task sees more of a key than one run of
+    `chunk_rows` events, or two pieces of that size.
     """
     ttl = ttl_seconds * 1_000_000
     narrow = events.filter(F.col("key").isNotNull()).select(
@@ -158,22 +276,7 @@ def granted_claims(
         F.col("seq").cast("bigint").alias("seq"),
         (F.col("kind") == RELEASE).alias("release"),
     )
-    # At most rows / chunk_rows keys are busy; their list is broadcast only if it is short.
-    busy = (
-        narrow.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("low"), F.max("ts").alias("high"))
-        .filter(F.col("n") > chunk_rows)
-        .select(
-            "key",
-            "low",
-            F.greatest(F.lit(1), F.ceil((F.col("high") - F.col("low") + 1.0) * chunk_rows / F.col("n"))).alias("width"),
-        )
-    )
-    chunked = (
-        lookup_join(narrow, busy, ["key"], "left", ["seq"], fits(busy))
-        .withColumn("chunk", F.coalesce(((F.col("ts") - F.col("low")) / F.col("width")).cast("bigint"), F.lit(-1)))
-        .select("key", "chunk", "ts", "seq", "release")
-    )
+    chunked = in_runs(narrow, ["key", "ts", "seq"], chunk_rows, "chunk")
     start = (
         events.sparkSession.createDataFrame([], "key string, initial bigint")
         if initial is None
@@ -182,25 +285,7 @@ def granted_claims(
             F.unix_micros(F.col("held_until").cast("timestamp")).alias("initial"),
         )
     )
-    initial_state = F.coalesce("initial", F.lit(FREE).cast("bigint"))
-    steps = (
-        chunked.filter(F.col("chunk") >= 0)
-        .groupBy("key", "chunk")
-        .applyInPandas(_steps(ttl), "key string, chunk bigint, upto bigint, left bigint")
-    )
-    busy_entries = (
-        steps.join(start, "key", "left")
-        .withColumn("initial", initial_state)
-        .groupBy("key")
-        .applyInPandas(_compose, "key string, chunk bigint, entry bigint")
-    )
-    calm_entries = start.select(
-        "key", F.lit(-1).cast("bigint").alias("chunk"), F.col("initial").alias("entry")
-    )
-    entries = busy_entries.unionByName(calm_entries)
-    entered = chunked.join(entries, ["key", "chunk"], "left").withColumn(
-        "entry", F.coalesce("entry", F.lit(FREE).cast("bigint"))
-    )
+    entered = chunked.join(_entries(chunked, start, ttl), ["key", "chunk"])
     return entered.groupBy("key", "chunk").applyInPandas(_replay(ttl), "key string, seq bigint")
 
 
@@ -239,8 +324,3 @@ def lease_outcomes(
         "granted", F.coalesce("granted", F.lit(False))
     ).drop("key")
 
-
-def held_until(sent: DataFrame, ttl_seconds: int = REQUEST_TTL_SECONDS) -> DataFrame:
-    """(key, held_until) after the sent requests, the state to start the next batch from."""
-    until = F.timestamp_micros(F.unix_micros(F.max(F.col("ts").cast("timestamp"))) + ttl_seconds * 1_000_000)
-    return sent.groupBy(F.col("host").alias("key")).agg(until.alias("held_until"))

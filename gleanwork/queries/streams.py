@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 
 from gleanwork import schemas
 from gleanwork.operators import bronze as B
+from gleanwork.operators import claims as C
 from gleanwork.operators import rules as R
 from gleanwork.queries.bronze import MESSAGES, REGISTRY
 from gleanwork.queries.bronze import raw_messages as message_rows
-from gleanwork.queries.claims import DEDUP
+from gleanwork.queries.claims import DEDUP, LEASES, lease_tasks, requests
 from gleanwork.queries.mapping import all_rules
 from gleanwork.queries.registry import query, table
 from gleanwork.session import shared_dir
 from gleanwork.sources.messages import parse_messages
 from gleanwork.sources.tables import append_events
+from gleanwork.streaming import claims as K
 from gleanwork.streaming import ingest as I
 
 # Small tables get few buckets; the default suits a large cluster.
@@ -111,25 +113,31 @@ def stream_silver(spark, sf):
     return tables.silver.read().select("url", "title", "company_name", "description")
 
 
-def requests(spark, sf):
-    e = table(spark, sf, "events")
-    return e.filter(F.col("event_type") != "error").select(
-        F.concat(F.lit("h"), (F.col("user_id") % 10).cast("string"), F.lit(".example.com")).alias("host"),
-        "ts",
-        F.col("event_id").alias("seq"),
-    )
+def in_restarts(spark, rows, files: int, name: str, ttl: int):
+    """The rows as so many micro-batches, the stream stopped and started again before each."""
+    root = fresh(spark, name)
+    low, high = rows.agg(F.min("seq"), F.max("seq")).first()
+    step = (high - low) // files + 1
+    for k in range(files):
+        part = rows.filter((F.col("seq") >= low + k * step) & (F.col("seq") < low + (k + 1) * step))
+        part.write.mode("append").parquet(f"{root}/input")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{root}/input")
+        K.start_claims(stream, root, ttl).awaitTermination()
+    return spark.read.schema(K.JUDGED).parquet(f"{root}/judged")
 
 
 @query("stream_request_dedup", DEDUP)
 def stream_request_dedup(spark, sf):
-    """The dedup fed in three micro-batches, its holds carried between them."""
-    root = fresh(spark, "dedup")
-    rows = requests(spark, sf)
-    path = staged(spark, rows, root, 3)
-    tables = I.Tables.under(spark, root, BUCKETS)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    I.start_dedup(stream, tables).awaitTermination()
-    return I.read_sent(tables, rows.schema).select("host", "seq")
+    """The dedup fed in three micro-batches with a restart between, its holds in the state."""
+    rows = K.request_events(requests(spark, sf).filter(~F.col("push_failed")))
+    judged = in_restarts(spark, rows, 3, "dedup", C.REQUEST_TTL_SECONDS)
+    return judged.filter("granted").select(F.col("key").alias("host"), "seq")
+
+
+@query("stream_lease_state", LEASES)
+def stream_lease_state(spark, sf):
+    """The leases fed in three micro-batches with a restart between."""
+    return in_restarts(spark, K.lease_events(lease_tasks(spark, sf)), 3, "leases", C.LEASE_TTL_SECONDS).select("seq", "granted")
 
 
 @query("event_log", "SELECT event_type AS reason, count(*) AS count FROM events GROUP BY event_type")

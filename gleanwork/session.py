@@ -22,7 +22,10 @@ SETTINGS = {
     "spark.sql.legacy.codingErrorAction": "true",
     # Python workers get bounded batches: one page or document can be megabytes.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # State with timers lives in RocksDB, off the executors' heap.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

@@ -15,7 +15,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from gleanwork import schemas
 from gleanwork.operators import bronze as B
-from gleanwork.operators import claims as C
 from gleanwork.operators import rules as R
 from gleanwork.operators import silver as S
 from gleanwork.sources.messages import END_RUN, parse_messages
@@ -29,17 +28,14 @@ class Tables:
     bronze: KeyedTable
     runs: KeyedTable
     silver: KeyedTable
-    holds: KeyedTable
     root: str
 
     @staticmethod
     def under(spark: SparkSession, root: str, buckets: int = BUCKETS) -> Tables:
-        holds = schemas._table(key=schemas._TEXT, held_until=schemas._TIME)
         return Tables(
             KeyedTable(spark, f"{root}/bronze", schemas.BRONZE, "url", buckets),
             KeyedTable(spark, f"{root}/runs", schemas.RUNS, "id", min(buckets, 16)),
             KeyedTable(spark, f"{root}/silver", schemas.SILVER, "url", buckets),
-            KeyedTable(spark, f"{root}/holds", holds, "key", min(buckets, 64)),
             root,
         )
 
@@ -97,18 +93,6 @@ def apply_silver(
     return result
 
 
-def dedup_requests(tables: Tables, requests: DataFrame, batch: int) -> DataFrame:
-    """The batch's requests (host, ts, seq, ...) to send, given the holds of earlier batches."""
-    holds = tables.holds.read(before=batch)
-    sent = _keep(C.request_dedup(requests, initial=holds), tables.root, "sent", batch)
-    tables.holds.update(
-        C.held_until(sent),
-        lambda current, new: current.join(new.select("key"), "key", "left_anti").unionByName(new),
-        batch,
-    )
-    return sent
-
-
 def read_events(tables: Tables) -> DataFrame:
     return tables.bronze.spark.read.schema(schemas.INGEST_EVENTS).parquet(f"{tables.root}/events").drop("batch")
 
@@ -134,19 +118,6 @@ def start_ingest(
     return _start(raw, step, f"{tables.root}/checkpoint/ingest", trigger)
 
 
-def start_dedup(requests: DataFrame, tables: Tables, trigger: dict | None = None) -> StreamingQuery:
-    """Run a stream of learning requests through the per-host dedup."""
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        dedup_requests(tables, _keep(batch, tables.root, "requests", batch_id), batch_id)
-
-    return _start(requests, step, f"{tables.root}/checkpoint/dedup", trigger)
-
-
-def read_sent(tables: Tables, schema) -> DataFrame:
-    return tables.bronze.spark.read.schema(schema).parquet(f"{tables.root}/steps/sent").drop("batch")
-
-
 def _start(stream: DataFrame, step, checkpoint: str, trigger: dict | None) -> StreamingQuery:
     return (
         stream.writeStream.foreachBatch(step)

@@ -173,10 +173,40 @@ def test_claims_against_a_replay(spark, seed, releases):
         "kind", F.when(F.col("release"), C.RELEASE).otherwise(C.ACQUIRE)
     )
     want = brute_claims(events, 300)
-    for rows in (10, 37, 100_000):
+    for rows in (150, 100_000):
         assert {r["seq"] for r in C.granted_claims(df, 300, chunk_rows=rows).collect()} == want
 
 
+@pytest.mark.parametrize("instants, releases", [(1, 0.0), (3, 0.0), (3, 0.1)])
+def test_bursts_at_one_instant(spark, instants, releases):
+    """Thousands of events at an instant are cut into runs like any others."""
+    rng = random.Random(instants)
+    start = datetime(2026, 1, 1)
+    events = [(f"h{seq % 2}", start + timedelta(seconds=299 * rng.randrange(instants)), seq, rng.random() < releases) for seq in range(2000)]
+    df = spark.createDataFrame(events, "key string, ts timestamp, seq bigint, release boolean").withColumn(
+        "kind", F.when(F.col("release"), C.RELEASE).otherwise(C.ACQUIRE)
+    )
+    assert {r["seq"] for r in C.granted_claims(df, 300, chunk_rows=150).collect()} == brute_claims(events, 300)
+
+
+def test_claims_meet_no_task_beyond_two_pieces(spark, monkeypatch):
+    """One key, arrivals of which no two share an exit: functions stay in pieces of a run."""
+    start = datetime(2026, 1, 1)
+    events = [("h", start + timedelta(seconds=i), i, False) for i in range(1100)]
+    df = spark.createDataFrame(events, "key string, ts timestamp, seq bigint, release boolean").withColumn("kind", F.lit(C.ACQUIRE))
+    pieces = []
+    composed = C._composed
+    monkeypatch.setattr(C, "_composed", lambda p, s: pieces.append(p) or composed(p, s))
+    assert {r["seq"] for r in C.granted_claims(df, 400, chunk_rows=80).collect()} == brute_claims(events, 400) == {0, 400, 800}
+    assert len(pieces) >= 3
+    for level in pieces:
+        rows = level.select("span", F.size("upto").alias("n")).collect()
+        assert max(r.n for r in rows) <= 80
+        # A span's function reaches a TTL past its start, and not further than a run more.
+        for span in {r.span for r in rows}:
+            assert sum(r.n for r in rows if r.span == span) <= 400 + 2 * 80
+
+
 def test_claims_start_from_a_state(spark):
     start = datetime(2026, 1, 1)
     events = [("h", start + timedelta(seconds=10 * i), i) for i in range(100)]
@@ -184,6 +214,9 @@ def test_claims_start_from_a_state(spark):
     initial = spark.createDataFrame([("h", start + timedelta(seconds=95))], "key string, held_until timestamp")
     for rows in (7, 1000):
         assert sorted(r["seq"] for r in C.request_dedup(df, 300, initial, rows).collect()) == [10, 40, 70]
+    # A hold that lasts longer than a TTL, as no grant of these events would give it.
+    late = spark.createDataFrame([("h", start + timedelta(seconds=735))], "key string, held_until timestamp")
+    assert sorted(r["seq"] for r in C.request_dedup(df, 300, late, 7).collect()) == [74]
 
 
 def test_failed_push_frees_the_claim(spark):
