@@ -15,9 +15,7 @@ from __future__ import annotations
 
 import bisect
 import functools
-import itertools
 import os
-import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -28,29 +26,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanwork.llm.segments import Memo, words
+from gleanwork.llm.segments import Memo
 from gleanwork.llm.storage import kept
+from gleanwork.llm.words import TextWords
 
 #: Mean number of pieces of a group that one task packs.
 GROUP_PIECES = 50_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-@functools.lru_cache(maxsize=2)
-def _encoder(path: str):
-    """Once per worker: a function from texts to their packed ids (little-endian, 32 bits).
+class Encoder:
+    """Once per worker: the ids of a batch of texts.
 
     The tokenizer drops white space and never merges across it, so a text's ids are those of
-    its words. It lower-cases and parts letters from marks, so a word of Latin letters with
-    full stops or commas behind it is that word in lower case, then the marks. What is new
-    in a batch of texts goes through the library together, each string once.
+    its words. Words are parted at ASCII blanks, those behind a word staying with it, and
+    dictionary-encoded as slices of the batch's own bytes; each different one is encoded
+    once, and the texts' ids are gathered from these. The tokenizer lower-cases and parts
+    letters from marks, so a word of Latin letters with full stops or commas behind it is
+    that word in lower case, then the marks. What is new goes through the library together.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    encode_batch = Tokenizer.from_file(path).encode_batch_fast
-    pieces, found = Memo(None, 300_000), Memo(None, 500_000)
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.encode_batch = Tokenizer.from_file(path).encode_batch_fast
+        self.pieces, self.found = Memo(None, 300_000), Memo(None, 500_000)
 
+    @staticmethod
     def parts(word: str) -> tuple[str, ...]:
         letters = word.rstrip(".,")
         low = letters.lower()
@@ -58,23 +61,42 @@ def _encoder(path: str):
             return (low, word[len(letters) :]) if len(letters) < len(word) else (low,)
         return (word,)
 
-    def encode(texts: list[str | None]) -> Iterator[bytes]:
-        split = [words(t) if t else [] for t in texts]
-        table = found.take({*itertools.chain.from_iterable(split)})
-        cut_words = {w: parts(w) for w, ids in table.items() if ids is None}
-        coded = pieces.take({p for ps in cut_words.values() for p in ps})
+    def coded(self, slices: list[bytes]) -> list[bytes]:
+        """The packed ids (little-endian, 32 bits) of each different word."""
+        table = self.found.take(slices)
+        cut_words = {w: self.parts(w.decode().rstrip("\t\n\v\f\r ")) for w, ids in table.items() if ids is None}
+        coded = self.pieces.take({p for ps in cut_words.values() for p in ps})
         new = [p for p, ids in coded.items() if ids is None]
-        for piece, got in zip(new, encode_batch(new, add_special_tokens=False) if new else (), strict=True):
-            ids = got.ids
-            coded[piece] = value = struct.pack(f"<{len(ids)}I", *ids)
-            pieces.keep(piece, value)
+        for piece, got in zip(new, self.encode_batch(new, add_special_tokens=False) if new else (), strict=True):
+            coded[piece] = value = np.array(got.ids, "<u4").tobytes()
+            self.pieces.keep(piece, value)
         for word, ps in cut_words.items():
             table[word] = value = b"".join([coded[p] for p in ps])
-            found.keep(word, value)
-        for listed in split:
-            yield b"".join(map(table.__getitem__, listed))
+            self.found.keep(word, value)
+        return [table[w] for w in slices]
+
+    def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids, the end id behind each, and where each text begins (and the last ends)."""
+        cut_texts = TextWords(texts, seeds=())
+        if not len(cut_texts.starts):
+            return np.full(len(texts), end_id, "<u4"), np.arange(len(texts) + 1)
+        offsets = np.append(cut_texts.starts, cut_texts.ends[-1]).astype(np.int64)
+        buffers = [None, pa.py_buffer(offsets), pa.py_buffer(cut_texts.data)]
+        held = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, buffers).dictionary_encode()
+        values = self.coded(held.dictionary.to_pylist())
+        sizes = np.array([len(v) for v in values], np.int64) // 4
+        ids, begins = np.frombuffer(b"".join(values), "<u4"), np.cumsum(sizes) - sizes
+        word = held.indices.to_numpy()
+        each = sizes[word]
+        ends = np.cumsum(each)
+        taken = ids[np.arange(ends[-1]) + np.repeat(begins[word] - (ends - each), each)]
+        bounds = np.append(0, ends)[cut_texts.bounds]
+        return np.insert(taken, bounds[1:], end_id).astype("<u4"), bounds + np.arange(len(bounds))
 
-    return encode
+
+@functools.lru_cache(maxsize=2)
+def _encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def cut(docs: DataFrame, path: str, window: int, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -83,22 +105,22 @@ def cut(docs: DataFrame, path: str, window: int, end_id: int, doc_id: str = "doc
     Null and empty texts are a piece of the end id alone. Columns: doc_id, start, length,
     ids_crc32, doc_tokens.
     """
-    end = np.array([end_id], "<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(path)
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
-                ids += end
-                total = len(ids) // 4
-                for start in range(0, total, window):
-                    part = ids[start * 4 : (start + window) * 4]
-                    for column, value in zip(out, (doc, start, len(part) // 4, zlib.crc32(part), total), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            ids, bounds = encode(batch.column(1), end_id)
+            totals = np.diff(bounds)
+            counts = -(-totals // window)
+            doc = np.repeat(np.arange(len(totals)), counts)
+            start = (np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)) * window
+            length = np.minimum(window, totals[doc] - start)
+            at = bounds[:-1][doc] + start
+            checks = [zlib.crc32(ids[i:j]) for i, j in zip(at.tolist(), (at + length).tolist(), strict=True)]
+            columns = [batch.column(0).take(pa.array(doc)), *map(pa.array, (start, length)), pa.array(checks, pa.int64()), pa.array(totals[doc])]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(pieces, PIECES)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(pieces, PIECES)
 
 
 def combinations(lengths: np.ndarray, window: int, slack: int, seconds: int = 6) -> list[tuple[int, ...]]:
@@ -191,7 +213,8 @@ def pack(pieces: DataFrame, groups: int, window: int, slack: int) -> DataFrame:
     """The pieces with the sequence each goes to and its offset there, without gaps.
 
     A sequence's id is its number within the group and the group's number; ids are unique,
-    not dense. Equal rows are packed as separate pieces; ties are broken by the row's values.
+    not dense. Rows are dealt to the groups by their number, so equal ones spread like any
+    others, and are packed as separate pieces. Give a table: rows are numbered as they are read.
     """
     schema = f"{PIECES}, sequence_id long, offset long"
 
@@ -206,7 +229,7 @@ def pack(pieces: DataFrame, groups: int, window: int, slack: int) -> DataFrame:
             offset[members] = ends - length[members]
         return frame.drop(columns="group").assign(sequence_id=sequence, offset=offset)
 
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    dealt = pieces.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("group").applyInPandas(packed, schema)
 
 

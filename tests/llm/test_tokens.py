@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -65,8 +66,14 @@ def test_refuses_other_tokenizers():
 
 def test_word_ids_are_the_librarys(samples):
     tokenizer = Tokenizer.from_file(WORDS)
-    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in samples]
-    assert list(packing._encoder(WORDS)([*samples, None])) == [*want, b""]
+    want = [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for t in [*samples, None, ""]]
+    encode = packing._encoder(WORDS)
+    for kind in (pa.string(), pa.large_string()):
+        texts = pa.array(["left out", *samples, None, ""], kind)[1:]
+        ids, bounds = encode(texts, 1)
+        assert [ids[i:j].tolist() for i, j in zip(bounds, bounds[1:], strict=False)] == want
+    ids, bounds = encode(pa.array([None, "", " "], pa.string()), 1)
+    assert ids.tolist() == [1, 1, 1] and bounds.tolist() == [0, 1, 2, 3]
 
 
 def test_memo_stays_small():
