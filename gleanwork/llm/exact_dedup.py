@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanwork.llm.storage import kept
+from gleanwork.llm.storage import kept, without_rows
 
 #: Bytes of a block, and of the prefix by which blocks are parted for sorting.
 BLOCK, PREFIX = 4096, 48
@@ -114,8 +114,6 @@ def _decided(unique: DataFrame, grouped: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns. `docs` must number its rows alike each
-    time it is read, as a table does."""
-    gone = copies(docs, doc_id, text).filter(~F.col("kept")).select(F.col("row").alias("_gone"))
-    at = docs.withColumn("_row", F.monotonically_increasing_id())
-    return at.join(gone, F.col("_row") == F.col("_gone"), "left_anti").drop("_row")
+    """The rows that stay, with all their columns, whatever their names. An empty table stays
+    empty. `docs` must number its rows alike each time it is read, as a table does."""
+    return without_rows(docs, copies(docs, doc_id, text).filter(~F.col("kept")).select("row"))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanwork.llm.storage import kept
+from gleanwork.llm.storage import kept, without_rows
 from gleanwork.llm.words import TextWords, mixed, stretches
 
 BANDS, ROWS = 64, 5
@@ -296,8 +296,6 @@ def _named(seen: DataFrame, classes: DataFrame, labels: DataFrame, sets: list[st
 
 
 def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group, with all its columns. `docs` must number its rows alike
-    each time it is read, as a table does."""
-    gone = groups(docs, width, percent, doc_id, text).filter(~F.col("kept")).select(F.col("row").alias("_gone"))
-    at = docs.withColumn("_row", F.monotonically_increasing_id())
-    return at.join(gone, F.col("_row") == F.col("_gone"), "left_anti").drop("_row")
+    """One document of each group, with all their columns, whatever their names. An empty table stays
+    empty. `docs` must number its rows alike each time it is read, as a table does."""
+    return without_rows(docs, groups(docs, width, percent, doc_id, text).filter(~F.col("kept")).select("row"))

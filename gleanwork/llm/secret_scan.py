@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanwork.llm.storage import kept
+from gleanwork.llm.storage import kept, unused
 
 #: The patterns of the base kinds, in the order in which kinds are listed.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))"""
@@ -217,13 +217,15 @@ def without_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """The documents with every span's characters replaced by one mark, all columns kept.
 
     Overlapping spans are one stretch. Texts without spans, null ones among them, stay as
-    they are. `docs` must number its rows alike each time it is read, as a table does.
+    they are; columns may have any names, and an empty table stays empty. `docs` must number
+    its rows alike each time it is read, as a table does.
     """
-    dirty = scan(docs, doc_id, text).filter(F.size("spans") > 0).select(F.col("row").alias("_dirty"), F.col("spans").alias("_spans"))
-    at = docs.withColumn("_row", F.monotonically_increasing_id()).join(dirty, F.col("_row") == F.col("_dirty"), "left")
+    row, dirty_row, spans = unused(docs, "row", "dirty", "spans")
+    dirty = scan(docs, doc_id, text).filter(F.size("spans") > 0).select(F.col("row").alias(dirty_row), F.col("spans").alias(spans))
+    at = docs.withColumn(row, F.monotonically_increasing_id()).join(dirty, F.col(row) == F.col(dirty_row), "left")
     whole = F.col(text)
     masked = F.aggregate(
-        "_spans",
+        spans,
         F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at")),
         lambda acc, s: F.struct(
             F.when(s["start"] < acc["at"], acc["done"])
@@ -233,5 +235,5 @@ def without_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         ),
         lambda acc: F.concat(acc["done"], F.substring(whole, (acc["at"] + 1).cast("int"), F.length(whole))),
     )
-    return at.withColumn(text, F.when(F.col("_spans").isNull(), whole).otherwise(masked)).select(*docs.columns)
+    return at.withColumn(text, F.when(F.col(spans).isNull(), whole).otherwise(masked)).select(*docs.columns)
 

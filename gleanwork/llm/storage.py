@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,3 +32,23 @@ def kept(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def unused(df: DataFrame, *stems: str) -> list[str]:
+    """Column names, made from the stems, that the frame does not have."""
+    taken = {c.lower() for c in df.columns}
+    names = []
+    for stem in stems:
+        while stem.lower() in taken:
+            stem += "_"
+        names.append(stem)
+        taken.add(stem.lower())
+    return names
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows but those whose number is in the one column of `gone`, with all their columns,
+    whatever their names. Rows are numbered as monotonically_increasing_id does."""
+    row, other = unused(docs, "row", "gone")
+    at = docs.withColumn(row, F.monotonically_increasing_id())
+    return at.join(gone.toDF(other), F.col(row) == F.col(other), "left_anti").drop(row)

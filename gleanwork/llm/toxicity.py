@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -135,7 +136,8 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", doc_id: str
 
     Only the sample's bags of buckets reach the driver, each bounded by the number of
     buckets. Rows without a label, an id or a text are left out; an id labelled twice counts
-    as toxic if one of its labels is.
+    as toxic if one of its labels is, and of rows that share an id one text is taken, that
+    of the least hash.
     """
     marked = labels.filter(F.col(target).isNotNull() & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.max(F.col(target).cast("int")).alias("_label"))
     chosen = marked.orderBy(F.xxhash64(doc_id), doc_id).limit(sample)
@@ -144,10 +146,23 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", doc_id: str
     def bags(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([features(t) for t in texts], columns=["held", "shares"])
 
-    # The chosen ids are at most `sample` rows of two numbers.
+    # The chosen ids are at most `sample` rows of two numbers; of an id's texts one is taken.
     joined = docs.select(doc_id, text).filter(F.col(text).isNotNull()).join(F.broadcast(chosen), doc_id)
-    rows = joined.select(doc_id, "_label", bags(text).alias("bag")).select(doc_id, "_label", "bag.*").toArrow().sort_by(doc_id)
-    return fit(list(zip(rows["held"].to_pylist(), rows["shares"].to_pylist(), strict=True)), [int(x > 0) for x in rows["_label"].to_pylist()])
+    one = joined.groupBy(doc_id, "_label").agg(F.min_by(text, F.struct(F.xxhash64(text), text)).alias("_text"))
+    rows = one.select(doc_id, "_label", bags(F.col("_text")).alias("bag")).select(doc_id, "_label", "bag.*").toArrow().sort_by(doc_id)
+    toxic = [int(x > 0) for x in rows["_label"].to_pylist()]
+    # The bags are read where Arrow holds them.
+    return fit(list(zip(*(_views(rows[c].combine_chunks()) for c in ("held", "shares")), strict=True)), toxic)
+
+
+def _views(column: pa.Array) -> list[memoryview]:
+    """The bytes of each row of a binary column, not copied."""
+    if not len(column):
+        return []
+    wide = pa.types.is_large_binary(column.type)
+    ends = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].tolist()
+    data = memoryview(column.buffers()[2] or b"")
+    return [data[i:j] for i, j in zip(ends, ends[1:], strict=False)]
 
 
 def score(text: Column, model: Model) -> Column:

@@ -34,3 +34,16 @@ def odd_table(odd, tmp_path_factory, spark):
 def texts(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
     return {r.doc_id: r.text or "" for r in rows}
+
+
+#: Names the operators use, or used, for columns of their own.
+CLASHING = ("row", "row_", "_row", "gone", "_gone", "dirty", "_dirty", "spans", "_spans", "name", "band", "group", "place")
+
+
+@pytest.fixture(scope="session")
+def clashing(odd, tmp_path_factory, spark):
+    """The odd rows with columns of all those names, each row's values its own."""
+    named = odd.drop("row").repartition(2).selectExpr("*", *[f"concat('{n}', coalesce(doc_id, -1), length(text)) as `{n}`" for n in CLASHING])
+    path = str(tmp_path_factory.mktemp("clashing") / "documents.parquet")
+    named.write.parquet(path)
+    return spark.read.parquet(path)
