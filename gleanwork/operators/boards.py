@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
+import functools
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanwork.functions.urls import strip_filter_params
 from gleanwork.operators.joins import fits, lookup_join
+from gleanwork.operators.steps import written
 from gleanwork.schemas import BOARD_API, BOARD_TYPES
-from gleanwork.session import shared_dir
 
 
 def active_boards(boards: DataFrame) -> DataFrame:
@@ -81,86 +81,12 @@ def conflicting_boards(candidates: DataFrame, boards: DataFrame) -> DataFrame:
     return taken("name").unionByName(taken("url")).distinct()
 
 
-_REPLAYED = (
-    "kind string, seq long, op string, id string, name string, url string, type string, active boolean,"
-    " created_at timestamp, touched boolean, refusal string"
-)
-
-
-def _dependent(rows: DataFrame) -> DataFrame:
-    """rows(node, keys, ...) with `part`, the least node that shared keys lead to.
-
-    Rows of different parts share no id, name or address, so no order between them matters.
-    Labels travel from rows to keys and back until they rest; each step is written to the
-    shared folder, so a lost executor never costs the steps before.
-    """
-    spark = rows.sparkSession
-    folder = f"{shared_dir(spark)}/boards-{uuid.uuid4().hex}"
+BOARD_COLUMNS = ("id", "name", "url", "type", "active", "created_at", "updated_at")
+_CHANGE = ("seq", "op", "id", "name", "url", "type", "active")
 
-    def written(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
-        return spark.read.parquet(f"{folder}/{name}")
 
-    held = written(rows, "rows")
-    touches = held.select("node", F.explode("keys").alias("key"))
-    labels, total, step = written(held.select("node", F.col("node").alias("part")), "0"), None, 0
-    while True:
-        now = labels.agg(F.sum(F.hash("node", "part").cast("decimal(38,0)"))).first()
-        if now == total:
-            return held.join(labels, "node")
-        total, step = now, step + 1
-        of_key = touches.join(labels, "node").groupBy("key").agg(F.min("part").alias("part"))
-        labels = written(touches.join(of_key, "key").groupBy("node").agg(F.min("part").alias("part")), str(step))
-
-
-def _replayed(frame):
-    """The changes of one part, in their order, over the boards they touch."""
-    import pandas as pd
-
-    state, by_name, by_url, out = {}, {}, {}, []
-
-    def put(board):
-        state[board["id"]] = board
-        by_name[board["name"]] = by_url[board["url"]] = board["id"]
-
-    def drop(key):
-        board = state.pop(key)
-        for index, value in ((by_name, board["name"]), (by_url, board["url"])):
-            if index.get(value) == key:
-                del index[value]
-        return board
-
-    rows = frame.astype(object).where(frame.notna(), None).to_dict("records")
-    for row in rows:
-        if row["kind"] == "board":
-            put({**row, "touched": False})
-    for row in sorted((r for r in rows if r["kind"] == "change"), key=lambda r: r["seq"]):
-        op, key, held = row["op"], row["id"], state.get(row["id"])
-        taken = any(index.get(v) not in (None, key) for index, v in ((by_name, row["name"]), (by_url, row["url"])))
-        refusal = None
-        if op == "create" and row["type"] not in BOARD_TYPES:
-            refusal = "unknown_type"
-        elif op != "delete" and row["blank"]:
-            refusal = "blank"
-        elif op != "create" and held is None:
-            refusal = "not_found"
-        elif op == "update" and row["type"] is not None and row["type"] != held["type"]:
-            refusal = "type_is_fixed"
-        elif op != "delete" and (taken or (op == "create" and held is not None)):
-            refusal = "duplicate"
-        if refusal:
-            out.append({**row, "kind": "refused", "refusal": refusal})
-            continue
-        if held is not None:
-            drop(key)
-        if op != "delete":
-            kept = held or {"type": row["type"], "active": None, "created_at": None}
-            active = row["active"] if row["active"] is not None else kept["active"]
-            put({**row, "kind": "board", "type": kept["type"], "created_at": kept["created_at"], "touched": True,
-                 "active": True if active is None else active})
-    out += state.values()
-    columns = [c.split()[0] for c in _REPLAYED.split(", ")]
-    return pd.DataFrame([[r.get(c) for c in columns] for r in out], columns=columns).astype({"seq": "Int64"})
+def _marked(mark: str, column: str) -> Column:
+    return F.concat(F.lit(mark), F.col(column))
 
 
 def apply_board_changes(
@@ -171,45 +97,109 @@ def apply_board_changes(
     changes(seq, op, id, name, url, type, active) with op create, update or delete, as many
     per board as there are. Each is judged by the boards as the accepted ones before it left
     them: a refused change leaves no trace, a deleted or renamed board frees its name and
-    address. Only changes that an id, a name or an address links depend on each other; each
-    such part is replayed by one task, all parts side by side.
+    address. A create without an id gets one made from its seq; an update or delete without
+    an id finds nothing.
+
+    What no state can save (a blank name or address, an unknown type) is refused at once.
+    The rest is settled in rounds. A change depends on earlier open ones that touch its id,
+    its name or address, or those its board holds now. Without such it is decided; and it is
+    refused already when a board that no earlier open change may alter stands in its way.
+    So a name that half of all changes want takes as many rounds as it changes hands, not a
+    round for each change. Every step is a join or an aggregate by key, written to the shared
+    folder; no group of dependent changes ever meets in one task.
     """
-    change_rows = changes.select(
-        F.concat(F.lit("c"), F.col("seq").cast("string")).alias("node"), F.lit("change").alias("kind"),
-        F.col("seq").cast("long").alias("seq"), "op", "id", "name", "url", "type", "active",
-        F.lit(None).cast("timestamp").alias("created_at"), (blank(F.col("name")) | blank(F.col("url"))).alias("blank"),
+    made = F.concat(F.lit("board-"), F.substring(F.sha2(F.col("seq").cast("string"), 256), 1, 32))
+    asked = changes.select(
+        F.col("seq").cast("long").alias("seq"), "op", F.when(F.col("op") == "create", F.coalesce("id", made)).otherwise(F.col("id")).alias("id"),
+        "name", "url", "type", "active",
+        F.when((F.col("op") == "create") & ~F.coalesce(F.col("type").isin(*BOARD_TYPES), F.lit(False)), "unknown_type")
+        .when((F.col("op") != "delete") & (blank(F.col("name")) | blank(F.col("url"))), "blank")
+        .alias("refusal"),
     )
-    wanted = changes.select(F.explode(_keys()).alias("key")).distinct()
-    keyed = boards.withColumn("__keys", _keys())
-    touched = keyed.select("id", F.explode("__keys").alias("key")).join(wanted, "key").select("id").distinct()
-    board_rows = boards.join(touched, "id", "left_semi").select(
-        F.concat(F.lit("b"), F.col("id")).alias("node"), F.lit("board").alias("kind"),
-        F.lit(None).cast("long").alias("seq"), F.lit(None).cast("string").alias("op"), "id", "name", "url", "type", "active",
-        F.col("created_at").cast("timestamp").alias("created_at"), F.lit(False).alias("blank"),
-    )
-    # A table board's updated_at rides along outside the replay.
-    parts = _dependent(change_rows.unionByName(board_rows).withColumn("keys", _keys())).drop("keys")
-    replayed = parts.groupBy("part").applyInPandas(_replayed, _REPLAYED)
-    before = boards.select("id", F.col("updated_at").alias("__updated"))
-    settled = replayed.filter("kind = 'board'").join(before, "id", "left")
-    merged = boards.join(touched, "id", "left_anti").select(*BOARD_COLUMNS).unionByName(
-        settled.select(
-            "id", "name", "url", "type", "active",
-            F.coalesce("created_at", now).alias("created_at"),
-            F.when(F.col("touched"), now).otherwise(F.col("__updated")).alias("updated_at"),
+    asked = written(asked)
+    refused = [asked.filter("refusal is not null")]
+    open_changes = asked.filter("refusal is null").select(*_CHANGE)
+    # Only boards that a change names can alter; the others are not read again.
+    wanted = written(open_changes.select(F.explode(_own_keys()).alias("key")).distinct())
+    held = boards.select("id", F.explode(F.array(_marked("i", "id"), _marked("n", "name"), _marked("u", "url"))).alias("key"))
+    touched = written(held.join(wanted, "key", "left_semi").select("id").distinct())
+    state = written(
+        boards.join(touched, "id", "left_semi").select(
+            "id", "name", "url", "type", "active", F.col("created_at").cast("timestamp").alias("created_at"),
+            F.col("updated_at").cast("timestamp").alias("updated_at"), F.lit(False).alias("touched"),
         )
     )
-    refused = replayed.filter("kind = 'refused'").select("seq", "op", "id", "name", "url", "refusal")
-    return merged, refused
+    while True:
+        judged = written(_judged(open_changes, state))
+        decided = judged.filter("verdict is not null")
+        if decided.isEmpty():
+            break
+        refused.append(decided.filter("verdict <> 'accepted'").withColumnRenamed("verdict", "refusal"))
+        state = written(_after(state, decided.filter("verdict = 'accepted'")))
+        open_changes = judged.filter("verdict is null").select(*_CHANGE)
+    settled = state.select(
+        "id", "name", "url", "type", "active",
+        F.coalesce("created_at", now).alias("created_at"), F.when(F.col("touched"), now).otherwise(F.col("updated_at")).alias("updated_at"),
+    )
+    merged = boards.join(touched, "id", "left_anti").select(*BOARD_COLUMNS).unionByName(settled)
+    columns = ("seq", "op", "id", "name", "url", "refusal")
+    return merged, functools.reduce(DataFrame.unionByName, [r.select(*columns) for r in refused])
 
 
-BOARD_COLUMNS = ("id", "name", "url", "type", "active", "created_at", "updated_at")
+def _own_keys() -> Column:
+    """What a change names: its id, and the name and address it wants."""
+    wants = F.col("op") != "delete"
+    return F.array_compact(F.array(_marked("i", "id"), F.when(wants, _marked("n", "name")), F.when(wants, _marked("u", "url"))))
+
+
+def _judged(open_changes: DataFrame, state: DataFrame) -> DataFrame:
+    """The open changes with `verdict`: accepted, why refused, or null for not yet decided."""
+    mine = state.select(
+        "id", F.col("name").alias("held_name"), F.col("url").alias("held_url"), F.col("type").alias("held_type"),
+        F.col("active").alias("held_active"), "created_at", F.lit(True).alias("held"),
+    )
+    known = open_changes.join(mine, "id", "left")
+    keys = F.array_distinct(F.concat(_own_keys(), F.array_compact(F.array(_marked("n", "held_name"), _marked("u", "held_url")))))
+    touches = known.select("seq", F.explode(keys).alias("key"))
+    firsts = written(touches.groupBy("key").agg(F.min("seq").alias("first")))
+    at = touches.join(firsts, "key").groupBy("seq").agg(
+        F.bool_and(F.col("first") == F.col("seq")).alias("free"),
+        F.bool_and(~F.col("key").startswith("i") | (F.col("first") == F.col("seq"))).alias("id_free"),
+    )
+    # Who has the name and the address, and from when on an open change may alter that board.
+    alters = firsts.filter(F.col("key").startswith("i")).select(F.expr("substring(key, 2)").alias("id"), "first")
+    holders = state.join(alters, "id", "left")
+    for key in ("name", "url"):
+        holder = holders.select(F.col(key), F.col("id").alias(f"{key}_holder"), F.col("first").alias(f"{key}_until"))
+        known = known.join(holder, key, "left")
+
+    def taken(key: str, firmly: bool) -> Column:
+        other = F.col(f"{key}_holder").isNotNull() & ~F.col(f"{key}_holder").eqNullSafe(F.col("id"))
+        return other & F.coalesce(F.col(f"{key}_until") > F.col("seq"), F.lit(True)) if firmly else other
+
+    found = known.join(at, "seq", "left")
+    # Without any key (no id, nothing wanted) a change depends on nothing.
+    free, id_free = F.coalesce("free", F.lit(True)), F.coalesce("id_free", F.lit(True))
+    missing = F.col("held").isNull()
+    in_the_way = F.when(free, taken("name", False) | taken("url", False)).otherwise(taken("name", True) | taken("url", True))
+    create, delete = F.col("op") == "create", F.col("op") == "delete"
+    verdict = (
+        F.when(create & ((id_free & ~missing) | in_the_way), "duplicate")
+        .when(~create & id_free & missing, "not_found")
+        .when(~create & ~delete & id_free & (F.col("type") != F.col("held_type")), "type_is_fixed")
+        .when(~create & ~delete & id_free & in_the_way, "duplicate")
+        .when(free, "accepted")
+    )
+    return found.select(*_CHANGE, "held_type", "held_active", "created_at", verdict.alias("verdict"))
 
 
-def _keys() -> Column:
-    """What a row depends on: its id, name and address, told apart by a mark."""
-    marked = [F.concat(F.lit(mark), F.col(column)) for mark, column in (("i", "id"), ("n", "name"), ("u", "url"))]
-    return F.array_distinct(F.array_compact(F.array(*marked)))
+def _after(state: DataFrame, accepted: DataFrame) -> DataFrame:
+    """The boards after changes of which no two touch the same one."""
+    put = accepted.filter("op <> 'delete'").select(
+        "id", "name", "url", F.coalesce("held_type", "type").alias("type"), F.coalesce("active", "held_active", F.lit(True)).alias("active"),
+        "created_at", F.lit(None).cast("timestamp").alias("updated_at"), F.lit(True).alias("touched"),
+    )
+    return state.join(accepted.select("id"), "id", "left_anti").unionByName(put)
 
 
 def detach_deleted_boards(rows: DataFrame, deleted: DataFrame, spread_by: list[str]) -> DataFrame:
