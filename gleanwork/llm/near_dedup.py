@@ -17,9 +17,10 @@ least one, and links found make components. A band whose other members are still
 different components is open. Its members meet by prefixes: with every set's shingles
 ordered by their frequency among open members, rarest first, two sets that are similar
 enough share a shingle of the first ninth of the smaller and the first fifth of the larger
-one (at a threshold of 0.8). So many documents around one passage, similar but not enough,
-make no pairs as long as a ninth of each is its own. Links inside a component cannot change
-the result.
+one (at a threshold of 0.8), and behind the first one shared, neither has too few left to
+share. Many documents around one passage, similar but not enough, so make hardly a pair: what
+each holds for itself comes first, and the passage behind it is too short. Links inside a
+component cannot change the result.
 """
 
 from __future__ import annotations
@@ -216,8 +217,9 @@ def frequencies(texts: DataFrame, width: int) -> np.ndarray:
 
 
 def prefixes(texts: DataFrame, counts: np.ndarray, width: int, percent: int) -> DataFrame:
-    """(shingle, row, size, component, short): the rarest shingles of each set, enough of them
-    to meet every smaller similar set, and of these the ones that meet every larger one."""
+    """(shingle, row, size, component, place, short): the rarest shingles of each set with
+    their place in its order, enough of them to meet every smaller similar set, and of these
+    the ones that meet every larger one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,10 +233,10 @@ def prefixes(texts: DataFrame, counts: np.ndarray, width: int, percent: int) ->
                 held = np.array([len(f) for f in firsts])
                 same = [pa.array(np.repeat(v, held)) for v in (part.column(0).to_numpy(), sizes, part.column(1).to_numpy())]
                 place = np.arange(held.sum()) - np.repeat(np.cumsum(held) - held, held)
-                columns = [pa.array(np.concatenate(firsts).view(np.int64)), *same, pa.array(place < np.repeat(shorts, held))]
-                yield pa.RecordBatch.from_arrays(columns, ["shingle", "row", "size", "component", "short"])
+                columns = [pa.array(np.concatenate(firsts).view(np.int64)), *same, pa.array(place), pa.array(place < np.repeat(shorts, held))]
+                yield pa.RecordBatch.from_arrays(columns, ["shingle", "row", "size", "component", "place", "short"])
 
-    return texts.select("row", "component", "text").mapInArrow(run, "shingle long, row long, size long, component long, short boolean")
+    return texts.select("row", "component", "text").mapInArrow(run, "shingle long, row long, size long, component long, place long, short boolean")
 
 
 def groups(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -270,10 +272,13 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "do
     open_rows = kept(placed.join(open_bands.select("band"), "band", "left_semi").select("row", "component").distinct())
     open_texts = texts.select("row", "text").join(open_rows, "row")
     reach = kept(prefixes(open_texts, frequencies(open_texts, width), width, percent))
-    smaller = reach.filter("short").select("shingle", "row", "size", "component")
-    larger = reach.select("shingle", F.col("row").alias("other"), F.col("size").alias("other_size"), F.col("component").alias("other_component"))
+    smaller = reach.filter("short").select("shingle", "row", "size", "component", "place")
+    larger = reach.select("shingle", *[F.col(c).alias(f"other_{c}") for c in ("size", "component", "place")], F.col("row").alias("other"))
     fits = (F.col("size") <= F.col("other_size")) & (100 * F.col("size") >= percent * F.col("other_size"))
-    met = smaller.join(larger, "shingle").filter((F.col("component") != F.col("other_component")) & fits)
+    # Behind the first shingle that two sets share, they share no more than either has left.
+    left = F.least(F.col("size") - F.col("place"), F.col("other_size") - F.col("other_place"))
+    enough = (100 + percent) * left >= percent * (F.col("size") + F.col("other_size"))
+    met = smaller.join(larger, "shingle").filter((F.col("component") != F.col("other_component")) & fits & enough)
     ordered = met.select(F.greatest("row", "other").alias("row"), F.least("row", "other").alias("other")).distinct()
     return _named(seen, classes, components(labels, kept(confirmed(ordered, texts, width, percent))), sets)
 

@@ -154,7 +154,7 @@ def test_a_family_around_one_passage_makes_few_pairs(spark, monkeypatch, tmp_pat
     """1,500 texts share a passage and are similar, but not enough: no all-pairs output."""
     draw = np.random.default_rng(5)
     passage = " ".join(f"p{i}" for i in range(70))
-    rows = [(i, passage + " " + " ".join(f"w{i}x{j}" for j in range(int(draw.integers(10, 22))))) for i in range(1500)]
+    rows = [(i, passage + " " + " ".join(f"w{i}x{j}" for j in range(int(draw.integers(8, 22))))) for i in range(1500)]
     # And two that are linked only with each other, neither of them the first of a band.
     rows += [(1500, rows[700][1] + " end"), (1501, rows[701][1] + " end")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
@@ -165,4 +165,4 @@ def test_a_family_around_one_passage_makes_few_pairs(spark, monkeypatch, tmp_pat
     found = near_dedup.groups(docs, width=2).collect()
     want = brute_components({i: shingles(t, 2) for i, t in rows})
     assert {r.doc_id: r.component_id for r in found} == want and want[1500] == 700
-    assert sum(pairs) < 40_000
+    assert pairs[0] < 20_000 and pairs[1] < 10
