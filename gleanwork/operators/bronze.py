@@ -37,17 +37,20 @@ def _run_names(messages: DataFrame) -> DataFrame:
 
 def run_registry(messages: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Runs named by the first message that mentions them; known runs stay as they are."""
-    first = (
-        _run_names(messages)
-        .groupBy("id")
-        .agg(F.min(F.struct("seq", "spider_name", "ts")).alias("first"))
-        .select("id", "first.spider_name", F.col("first.ts").alias("started_at"))
-    )
+    first = first_mentions(messages).select("id", "spider_name", "started_at")
     if known is None:
         return first
     return known.unionByName(first.join(known, "id", "left_anti"))
 
 
+def first_mentions(messages: DataFrame) -> DataFrame:
+    """(id, seq, spider_name, started_at) of each run's first message of a batch."""
+    first = _run_names(messages).groupBy("id").agg(
+        F.min_by(F.struct("spider_name", F.col("ts").alias("started_at")), "seq").alias("first"), F.min("seq").alias("seq")
+    )
+    return first.select("id", "seq", "first.*")
+
+
 def item_state(messages: DataFrame) -> DataFrame:
     """Items with a `reason` column: null when storable whatever Bronze holds."""
     metadata = F.col("item.metadata")
@@ -74,31 +77,59 @@ def item_state(messages: DataFrame) -> DataFrame:
     ).drop("no_item", "raw_run_id")
 
 
-def fold_items(messages: DataFrame) -> DataFrame:
-    """One row per url holding what a batch of items amounts to.
+# What items amount to for a url, as a row that merges with others of its url. `weight` picks
+# the body: the newest complete item, else the oldest storable one, which may lack a content
+# type and can then only insert. `seen` is the batch it came in.
+PART = (
+    "url string, weight bigint, seen bigint, raw_content string, content_type string, source_url string, metadata variant,"
+    " run_id string, first_seq bigint, first_board string, board_seq bigint, board string, created_at timestamp, changed_at timestamp"
+)
+_BODY = ("seen", "raw_content", "content_type", "source_url", "metadata", "run_id", "changed_at")
+# Incomplete items weigh less than nothing, the older the more.
+_INCOMPLETE = -(2**62)
 
-    `last` is the newest complete item, `first` the oldest storable one (which may lack a
-    content type and can then only insert), `attributed` the first usable board id of the
-    complete items. All are partial aggregates, so a url repeated in a third of the
-    messages reaches the shuffle once per task.
-    """
-    body = F.struct("seq", "raw_content", "content_type", "source_url", "metadata", "run_id", "start_url_id")
+
+def fold_items(messages: DataFrame, now: Column, batch: int = 0) -> DataFrame:
+    """One part row per url of a batch. Partial aggregates, so a url repeated in a third of
+    the messages reaches the shuffle once per task, with one body."""
     complete = F.col("content_type").isNotNull()
-    return (
-        item_state(messages)
-        .filter(F.col("reason").isNull())
-        .withColumn("body", body)
-        .groupBy("url")
-        .agg(
-            F.max_by("body", F.when(complete, F.col("seq"))).alias("last"),
-            F.min_by("body", "seq").alias("first"),
-            F.min_by(
-                "start_url_id",
-                F.when(complete & F.col("start_url_id").isNotNull(), F.col("seq")),
-            ).alias("attributed"),
+    storable = item_state(messages).filter(F.col("reason").isNull())
+    return merge_parts(
+        storable.select(
+            "url",
+            F.when(complete, F.col("seq")).otherwise(_INCOMPLETE - F.col("seq")).alias("weight"),
+            F.lit(batch).cast("bigint").alias("seen"),
+            "raw_content", "content_type", "source_url", "metadata", "run_id",
+            F.col("seq").alias("first_seq"), F.col("start_url_id").alias("first_board"),
+            F.when(complete & F.col("start_url_id").isNotNull(), F.col("seq")).alias("board_seq"),
+            F.col("start_url_id").alias("board"),
+            now.alias("created_at"), now.alias("changed_at"),
         )
-        .withColumn("last", F.when(F.col("last.content_type").isNotNull(), F.col("last")))
-    )
+    )
+
+
+def merge_parts(parts: DataFrame) -> DataFrame:
+    """Part rows folded to one per url: associative, and the same in any order."""
+    merged = parts.groupBy("url").agg(
+        F.max_by(F.struct(*_BODY), "weight").alias("body"), F.max("weight").alias("weight"),
+        F.min_by("first_board", "first_seq").alias("first_board"), F.min("first_seq").alias("first_seq"),
+        F.min_by("board", "board_seq").alias("board"), F.min("board_seq").alias("board_seq"), F.min("created_at").alias("created_at"),
+    )
+    return merged.select("url", "weight", *[f"body.{c}" for c in _BODY], "first_seq", "first_board", "board_seq", "board", "created_at")
+
+
+def is_complete(weight: Column) -> Column:
+    return weight > _INCOMPLETE
+
+
+def of_parts(parts: DataFrame) -> DataFrame:
+    """Folded part rows as open Bronze rows, with the batch each was last seen in."""
+    return parts.select(
+        "url", "raw_content", F.coalesce("content_type", F.lit(HTML_TYPE)).alias("content_type"), "source_url",
+        F.coalesce("metadata", F.parse_json(F.lit("{}"))).alias("metadata"), F.col("run_id").alias("last_seen_run_id"),
+        F.coalesce("first_board", "board").alias("start_url_id"), "created_at", F.col("changed_at").alias("updated_at"),
+        F.lit(None).cast("timestamp").alias("deleted_at"), "seen",
+    )
 
 
 def bronze_upsert(bronze: DataFrame, messages: DataFrame, now: Column) -> DataFrame:
@@ -108,42 +139,31 @@ def bronze_upsert(bronze: DataFrame, messages: DataFrame, now: Column) -> DataFr
     first-writer-wins; a closed row seen again is open again; rows nothing was said about
     pass through.
     """
-    return merge_folded(bronze, fold_items(messages), now)
-
-
-def merge_folded(bronze: DataFrame, folded: DataFrame, now: Column) -> DataFrame:
     known = bronze.select("url", F.struct(*[c for c in bronze.columns if c != "url"]).alias("old"))
-    joined = known.join(folded, "url", "full_outer")
+    fresh = F.struct("weight", *_BODY, "first_board", "board")
+    joined = known.join(fold_items(messages, now).select("url", fresh.alias("new")), "url", "full_outer")
     exists = F.col("old").isNotNull()
-    fresh = F.coalesce("last", F.when(~exists, F.col("first")))
-    touched = fresh.isNotNull()
+    # An incomplete item inserts a row, but changes none.
+    touched = F.col("new").isNotNull() & (~exists | is_complete(F.col("new.weight")))
     empty = F.parse_json(F.lit("{}"))
 
     def latest(name: str, default: Column | None = None) -> Column:
-        value = F.col("fresh")[name]
+        value = F.col("new")[name]
         value = value if default is None else F.coalesce(value, default)
         return F.when(F.col("touched"), value).otherwise(F.col("old")[name]).alias(name)
 
-    first_board = F.when(
-        F.col("exists"), F.coalesce(F.col("old.start_url_id"), F.col("attributed"))
-    ).otherwise(F.coalesce(F.col("first.start_url_id"), F.col("attributed")))
-    return (
-        joined.withColumns({"exists": exists, "fresh": fresh, "touched": touched})
-        .filter(F.col("exists") | F.col("touched"))
-        .select(
-            "url",
-            latest("raw_content"),
-            latest("content_type", F.lit(HTML_TYPE)),
-            latest("source_url"),
-            latest("metadata", empty),
-            F.when(F.col("touched"), F.col("fresh.run_id"))
-            .otherwise(F.col("old.last_seen_run_id"))
-            .alias("last_seen_run_id"),
-            F.when(F.col("touched"), first_board).otherwise(F.col("old.start_url_id")).alias("start_url_id"),
-            F.coalesce("old.created_at", now).alias("created_at"),
-            F.when(F.col("touched"), now).otherwise(F.col("old.updated_at")).alias("updated_at"),
-            F.when(~F.col("touched"), F.col("old.deleted_at")).alias("deleted_at"),
-        )
+    board = F.when(F.col("exists"), F.coalesce("old.start_url_id", "new.board")).otherwise(F.coalesce("new.first_board", "new.board"))
+    return joined.withColumns({"exists": exists, "touched": touched}).select(
+        "url",
+        latest("raw_content"),
+        latest("content_type", F.lit(HTML_TYPE)),
+        latest("source_url"),
+        latest("metadata", empty),
+        F.when(F.col("touched"), F.col("new.run_id")).otherwise(F.col("old.last_seen_run_id")).alias("last_seen_run_id"),
+        F.when(F.col("touched"), board).otherwise(F.col("old.start_url_id")).alias("start_url_id"),
+        F.coalesce("old.created_at", now).alias("created_at"),
+        F.when(F.col("touched"), now).otherwise(F.col("old.updated_at")).alias("updated_at"),
+        F.when(~F.col("touched"), F.col("old.deleted_at")).alias("deleted_at"),
     )
 
 
@@ -216,6 +236,22 @@ def tombstone(
     ).select(bronze.columns)
 
 
+def closings(cutoffs: DataFrame, runs: DataFrame) -> DataFrame:
+    """(run_id, closed): for each run that some cutoff made old, the (batch, at) of those
+    cutoffs in their order. cutoffs(spider_name, cutoff, batch, at), a row for each spider and
+    batch that ended one of its runs."""
+    old = runs.join(cutoffs, "spider_name").filter(F.col("started_at") < F.col("cutoff"))
+    return old.groupBy(F.col("id").alias("run_id")).agg(F.sort_array(F.collect_list(F.struct("batch", "at"))).alias("closed"))
+
+
+def closed_by(rows: DataFrame, closed: DataFrame, small_fits: bool | None = None) -> DataFrame:
+    """Bronze rows (with `seen`) as the cutoffs leave them: a row is closed by the first one
+    that made its run old in the batch it was last seen in, or later."""
+    marked = lookup_join(rows, closed.withColumnRenamed("run_id", "last_seen_run_id"), ["last_seen_run_id"], "left", ["url"], small_fits)
+    later = F.filter("closed", lambda c: c["batch"] >= F.col("seen"))
+    return marked.withColumn("deleted_at", F.coalesce("deleted_at", F.get(later, F.lit(0))["at"])).drop("closed", "seen")
+
+
 def ended_spiders(messages: DataFrame, runs: DataFrame) -> DataFrame:
     """Spiders with an end message, by the name their run is registered under."""
     ends = messages.filter(F.col("type") == END_RUN).select(uuid_or_null(F.col("run_id")).alias("id"))

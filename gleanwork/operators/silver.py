@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -20,6 +21,7 @@ from gleanwork.operators.mapping import attach_rule, map_detail
 from gleanwork.schemas import (
     INVALID_SHAPE, JSON_TYPE, NO_RULE, RULE_RAISED, STAGE_DETAIL, UNKNOWN_DOMAIN, UNPARSEABLE,
 )
+from gleanwork.session import shared_dir
 
 DETAIL_CHARS = 500
 REQUIRED = ("title", "company_name", "description")
@@ -155,22 +157,53 @@ def refusal_events(judged: DataFrame, now: Column) -> DataFrame:
     )
 
 
+ACCEPTED = "accepted"
+_JUDGED = ("url", "source_url", "start_url_id", "mapped_path", "detail")
+
+
 @dataclass(frozen=True)
 class SilverBatch:
     accepted: DataFrame  # url and the typed columns
     events: DataFrame  # refused JSON rows
     detail_requests: DataFrame  # host, url, body of JSON rows without a rule; not yet deduped
     page_requests: DataFrame  # url, html_content of HTML rows no rule could read
+    outcomes: DataFrame  # url, mapped_path (or read as a page), outcome of every row
+
+
+def judged_once(json_judged: DataFrame, page_judged: DataFrame, folder: str) -> DataFrame:
+    """All judged rows, written under `folder` by outcome and read from there.
+
+    Rows are mapped and pages read once, whatever is asked of the batch, and each output
+    reads the folders of its outcomes alone. A body is kept where a request has to show it.
+    """
+
+    def part(judged: DataFrame, mapped_path: bool, asks: Column) -> DataFrame:
+        fields = typed_row(F.col("mapped"))
+        reason = F.col("reason")
+        return judged.select(
+            F.coalesce("reason", F.lit(ACCEPTED)).alias("outcome"),
+            *[F.lit(mapped_path).alias(c) if c == "mapped_path" else F.col(c) for c in _JUDGED],
+            F.when(asks, F.col("raw_content")).alias("body"),
+            F.when(reason.isNull(), F.struct(*fields)).alias("row"),
+        )
+
+    both = part(json_judged, True, F.col("reason") == NO_RULE).unionByName(
+        part(page_judged.withColumn("detail", F.lit(None).cast("string")), False, F.col("reason").isNotNull())
+    )
+    both.write.mode("overwrite").partitionBy("outcome").parquet(folder)
+    return both.sparkSession.read.schema(both.schema).parquet(folder)
 
 
 def silver_batch(
     bronze: DataFrame, rules: list[R.Rule], winners: DataFrame, now: Column,
-    custom: dict[tuple[str, str], Custom] | None = None,
+    custom: dict[tuple[str, str], Custom] | None = None, folder: str | None = None,
 ) -> SilverBatch:
     """Turn Bronze rows into Silver rows and what they were refused for.
 
     `custom` maps (kind, domain) to user code that gets that domain's slice and returns it
-    with a `mapped` struct; every other host goes through the declarative rules.
+    with a `mapped` struct; every other host goes through the declarative rules. The rows are
+    judged in one pass, whose result is written to `folder` (a new one in the shared folder
+    if none is named); the outputs are read from there.
     """
     small = len(rules) < 10_000 and sum(len(rule.domains) for rule in rules) < 200_000
     mapped_rows = bronze.filter(is_mapped(F.col("content_type")))
@@ -182,21 +215,18 @@ def silver_batch(
             json_judged = _with_custom(json_judged, domain, rule)
         elif kind == R.EXTRACTION:
             page_judged = _with_custom(page_judged, domain, rule)
-    accepted = json_judged.filter(F.col("reason").isNull()).select(
-        "url", *typed_row(F.col("mapped"))
-    ).unionByName(
-        page_judged.filter(F.col("reason").isNull()).select("url", *typed_row(F.col("mapped")))
-    )
-    no_rule = json_judged.filter(F.col("reason") == NO_RULE)
+    folder = folder or f"{shared_dir(bronze.sparkSession)}/judged-{uuid.uuid4().hex}"
+    judged = judged_once(json_judged, page_judged, folder)
+    refused = judged.filter(F.col("outcome") != ACCEPTED)
+    no_rule = judged.filter((F.col("outcome") == NO_RULE) & F.col("mapped_path"))
     return SilverBatch(
-        accepted,
-        refusal_events(json_judged, now),
+        judged.filter(F.col("outcome") == ACCEPTED).select("url", "row.*"),
+        refusal_events(refused.filter("mapped_path").withColumnRenamed("outcome", "reason"), now),
         no_rule.select(
-            url_hostname(F.col("source_url")).alias("host"),
-            F.col("source_url").alias("url"),
-            F.col("raw_content").alias("body"),
+            url_hostname(F.col("source_url")).alias("host"), F.col("source_url").alias("url"), "body"
         ).filter(F.col("host").isNotNull()),
-        page_judged.filter(F.col("reason").isNotNull()).select("url", F.col("raw_content").alias("html_content")),
+        refused.filter(~F.col("mapped_path")).select("url", F.col("body").alias("html_content")),
+        judged.select("url", "mapped_path", "outcome"),
     )
 
 

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from gleanwork.operators import quality as Q
+from gleanwork.operators import rules as R
 from gleanwork.operators import silver as S
 from gleanwork.plans.ingest import ingest_silver
 from gleanwork.queries.mapping import FEED, all_rules, order_documents
@@ -71,15 +72,80 @@ def refusal_rollup(spark, sf):
     return Q.refusal_rollup(batch(spark, sf).events)
 
 
-@query("page_requests", "SELECT url, html AS html_content FROM pages")
-def page_requests(spark, sf):
-    """No page rule serves the given hosts, so every page asks for one."""
-    rules, winners = all_rules(spark)
+def page_batch(spark, sf, rules):
+    """The given pages as Bronze rows, each with its own url."""
     rows = table(spark, sf, "pages").select(
         "url", F.col("html").alias("raw_content"), F.lit("text/html; charset=utf-8").alias("content_type"),
         F.col("url").alias("source_url"), F.lit(None).cast("string").alias("start_url_id"),
     )
-    return ingest_silver(rows, rules, winners, F.lit(NOW)).page_requests
+    return ingest_silver(rows, *rules, F.lit(NOW))
+
+
+@query("page_requests", "SELECT url, html AS html_content FROM pages")
+def page_requests(spark, sf):
+    """No page rule serves the given hosts, so every page asks for one."""
+    return page_batch(spark, sf, all_rules(spark)).page_requests
+
+
+POSTING_RULE = {
+    "version": 1,
+    "type": "extraction",
+    "domains": ["postings.example.com"],
+    "fields": {
+        "panel": {"tag": "div", "class": "posting"},
+        "title": {"tag": "h2"},
+        "chips": {
+            "row": {"tag": "div", "class": "chips"}, "icon": {"tag": "i"}, "company": "firm", "location": "place", "level": "level",
+            "location_value": {"tag": "b"}, "level_value": {"tag": "em"},
+        },
+        "note": "following:",
+        "sections": {"heading": "h3"},
+    },
+}
+
+# A word of the page's own text stands for each field; a third of the pages lack a section's
+# heading, some have no posting, and some come from a host without a rule.
+POSTING = """
+pg AS (SELECT page_id, regexp_extract(html, 'href="/([A-Za-zÀ-ÿ]+)"', 1) AS firm, regexp_extract(html, '<h1>([A-Za-zÀ-ÿ]+)', 1) AS title,
+              'https://' || CASE WHEN page_id % 5 = 4 THEN 'nobody' ELSE 'postings' END || '.example.com/' || page_id AS url, html LIKE '%</body>%' AS whole FROM pages),
+oc AS (SELECT *, CASE WHEN page_id % 5 = 4 THEN 'no_rule' WHEN page_id % 5 = 3 OR NOT whole THEN 'empty_result'
+              WHEN page_id % 3 = 0 OR firm = '' OR title = '' THEN 'missing_required' ELSE 'accepted' END AS outcome FROM pg)"""
+
+
+def posting_pages(spark, sf):
+    """The given pages with a posting put before their end, read by a rule and judged."""
+    p = table(spark, sf, "pages", spread=True)
+    key = F.col("page_id")
+    firm, title = F.regexp_extract("html", 'href="/([A-Za-zÀ-ÿ]+)"', 1), F.regexp_extract("html", "<h1>([A-Za-zÀ-ÿ]+)", 1)
+    heading = F.when(key % 3 == 0, "<p>Duties</p>").otherwise("<h3>Duties</h3>")
+    posting = F.concat(
+        F.lit('<div class="posting"><h2> '), title, F.lit('</h2><div class="chips"><span><i>firm</i> '), firm,
+        F.lit("</span><span><i>place</i><b>Zurich</b><b>; Bern</b></span></div><div>"), heading, F.lit("<ul><li>One</li><li>Two</li></ul></div></div></body>"),
+    )
+    url = F.concat(F.lit("https://"), F.when(key % 5 == 4, "nobody").otherwise("postings"), F.lit(".example.com/"), key.cast("string"))
+    rows = p.select(
+        url.alias("url"), F.when(key % 5 == 3, F.col("html")).otherwise(F.replace(F.col("html"), F.lit("</body>"), posting)).alias("raw_content"),
+        F.lit("text/html").alias("content_type"), url.alias("source_url"), F.lit(None).cast("string").alias("start_url_id"),
+    )
+    rules = [R.parse_rule(POSTING_RULE)]
+    return ingest_silver(rows, rules, R.resolve_rules(R.rules_table(spark, rules))[0], F.lit(NOW))
+
+
+@query(
+    "page_silver",
+    f"""WITH {POSTING} SELECT url, title, firm AS company_name, 'Zurich|Bern' AS locations, '# Duties' || chr(10) || chr(10) || '- One' || chr(10) || '- Two' AS description
+    FROM oc WHERE outcome = 'accepted'""",
+)
+def page_silver(spark, sf):
+    """Detail pages into typed rows."""
+    rows = posting_pages(spark, sf).accepted
+    return rows.select("url", "title", "company_name", F.array_join("locations", "|").alias("locations"), "description")
+
+
+@query("page_refusals", f"WITH {POSTING} SELECT url, outcome FROM oc")
+def page_refusals(spark, sf):
+    """What became of each page."""
+    return posting_pages(spark, sf).outcomes.select("url", "outcome")
 
 
 def event_silver(spark, sf, kinds):
@@ -104,8 +170,8 @@ def event_silver(spark, sf, kinds):
 
 @query(
     "silver_upsert",
-    f"""WITH o AS (SELECT user_id, max(event_id) AS id FROM events WHERE event_type IN ('view', 'error') AND user_id >= 20 GROUP BY 1),
-    n AS (SELECT user_id, max(event_id) AS id FROM events WHERE event_type IN ('click', 'purchase') AND user_id < 120 GROUP BY 1)
+    f"""WITH o AS (SELECT user_id, max(event_id) AS id FROM events WHERE event_type IN ('view', 'error') GROUP BY 1),
+    n AS (SELECT user_id, max(event_id) AS id FROM events WHERE event_type IN ('signup', 'purchase') GROUP BY 1)
     SELECT 'https://jobs.example.com/u/' || coalesce(o.user_id, n.user_id) AS url,
            CASE WHEN o.user_id IS NULL THEN {as_uuid("substr(sha256('https://jobs.example.com/u/' || n.user_id), 1, 32)")} ELSE 'old-' || o.user_id END AS id,
            e.event_type AS title, e.props AS description, CASE WHEN e.value > 50 THEN round(e.value, 2) END AS pay_min,
@@ -116,11 +182,11 @@ def event_silver(spark, sf, kinds):
 def silver_upsert(spark, sf):
     then = F.lit(datetime(2023, 1, 1))
     number = F.regexp_extract("url", r"(\d+)$", 1)
-    old = event_silver(spark, sf, ("view", "error")).filter(number.cast("int") >= 20)
+    old = event_silver(spark, sf, ("view", "error"))
     stored = old.withColumns(
         {"id": F.concat(F.lit("old-"), number), "created_at": then, "updated_at": then, "deleted_at": F.lit(None).cast("timestamp")}
     )
-    new = event_silver(spark, sf, ("click", "purchase")).filter(number.cast("int") < 120)
+    new = event_silver(spark, sf, ("signup", "purchase"))
     merged = S.silver_upsert(stored, new, F.lit(NOW))
     return merged.select(
         "url", "id", "title", "description", F.col("pay_min").cast("double").alias("pay_min"),

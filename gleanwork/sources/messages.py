@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanwork.operators.joins import pinned
 from gleanwork.schemas import HTML_TYPE, ITEM, JSON_TYPE
 
 # The message tags.
@@ -17,10 +18,12 @@ _WIRE = f"type STRING, run_id STRING, spider_name STRING, timestamp DOUBLE, item
 
 def parse_messages(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split (seq, value) JSON messages into parsed ones and rejects with a reason."""
-    parsed = raw.select(
-        "seq", "value", F.from_json("value", _WIRE, {"mode": "PERMISSIVE"}).alias("m"),
-        F.try_parse_json("value").isNotNull().alias("is_json"),
-    )
+    # Parsed once: the filters and columns below all read what is pinned.
+    parsed = pinned(
+        raw.select("seq", "value"),
+        m=F.from_json("value", _WIRE, {"mode": "PERMISSIVE"}),
+        is_json=F.try_parse_json("value").isNotNull(),
+    )
     known = F.col("m.type").isin(START_RUN, ITEM_TAG, END_RUN)
     # A time no timestamp can hold makes the message malformed, not the job fail.
     micros = (F.col("m.timestamp") * 1000000).try_cast("bigint")

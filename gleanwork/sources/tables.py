@@ -1,10 +1,10 @@
-"""Reading tables, and keyed tables that are updated bucket by bucket.
+"""Reading tables, and keyed tables that grow by appended parts.
 
-Plain parquet has no MERGE. A keyed table here is hashed by its key into a fixed number of
-buckets; a batch rewrites only the buckets it touches, under a directory of its own, and is
-committed by one small manifest file naming them. Readers take every bucket's newest
-committed directory, so a batch that dies half-way is never seen, and replaying a batch
-reads the state before it and gives the same result.
+What a batch says about a key is a part row, and part rows of a key fold into one: the fold
+is associative, so a table is the fold of its parts, whoever computed them and in whatever
+groups. A batch only ever appends its own part, under a folder named by its number, which a
+replay replaces; nothing stored is read or rewritten for it. Readers fold base and parts by
+key; compaction folds the older parts into a new base now and then.
 """
 
 from __future__ import annotations
@@ -12,13 +12,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BUCKETS = 1024
-_MANIFEST = "bucket int, batch bigint, rows bigint"
-
 
 def read_table(spark: SparkSession, name: str, schema: T.StructType | None = None) -> DataFrame:
     """A catalog table by name, or parquet files by path."""
@@ -28,81 +25,57 @@ def read_table(spark: SparkSession, name: str, schema: T.StructType | None = Non
     return reader.parquet(name)
 
 
-class KeyedTable:
-    """A parquet table with a unique key, updated by copy-on-write of touched buckets."""
+class PartsTable:
+    """Part rows by key, with the fold that makes one of many and the view of a folded row."""
 
     def __init__(
-        self, spark: SparkSession, path: str, schema: T.StructType, key: str = "url", buckets: int = BUCKETS
-    ) -> None:
+        self, spark: SparkSession, path: str, schema: str,
+        fold: Callable[[DataFrame], DataFrame], view: Callable[[DataFrame], DataFrame],
+    ) -> None:
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-        self.key, self.buckets = key, buckets
+        self.fold, self.view = fold, view
 
-    def bucket(self) -> Column:
-        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+    def put(self, rows: DataFrame, batch: int) -> DataFrame:
+        """Store a batch's part rows; returns them as stored."""
+        names = T.StructType.fromDDL(self.schema).fieldNames()
+        at = f"{self.path}/parts/batch={batch}"
+        rows.select(*names).write.mode("overwrite").parquet(at)
+        return self.spark.read.schema(self.schema).parquet(at)
 
-    def _committed(self, before: int | None = None) -> dict[int, tuple[int, int]]:
-        """bucket -> (newest committed batch, its rows); at most `buckets` small rows."""
+    def _stored(self, kind: str, number: str) -> DataFrame | None:
         try:
-            manifest = self.spark.read.schema(_MANIFEST).parquet(f"{self.path}/manifest")
+            return self.spark.read.schema(f"{self.schema}, {number} bigint").parquet(f"{self.path}/{kind}")
         except AnalysisException as problem:
             if problem.getCondition() == "PATH_NOT_FOUND":
-                return {}
+                return None
             raise
-        if before is not None:
-            manifest = manifest.filter(F.col("batch") < before)
-        newest = manifest.groupBy("bucket").agg(F.max(F.struct("batch", "rows")).alias("newest"))
-        return {row["bucket"]: tuple(row["newest"]) for row in newest.collect()}
-
-    def read(self, before: int | None = None, only: list[int] | None = None) -> DataFrame:
-        """The table as of the last commit (or before a batch), optionally some buckets."""
-        committed = self._committed(before)
-        wanted = committed if only is None else {b: committed[b] for b in only if b in committed}
-        paths = [
-            f"{self.path}/data/batch={batch}/bucket={b}" for b, (batch, rows) in sorted(wanted.items()) if rows
-        ]
-        if not paths:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*paths)
-
-    def next_batch(self) -> int:
-        return max((batch for batch, _ in self._committed().values()), default=-1) + 1
-
-    def update(
-        self, changes: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], batch: int | None = None
-    ) -> None:
-        """Merge keyed changes into their buckets; `merge(current, changes)` gives the rows.
-
-        `changes` is read twice (its buckets, then its rows), so pass it checkpointed or
-        cheap to recompute.
-        """
-        batch = self.next_batch() if batch is None else batch
-        touched = sorted(
-            row["bucket"] for row in changes.select(self.bucket().alias("bucket")).distinct().collect()
-        )
-        if touched:
-            self._write(merge(self.read(before=batch, only=touched), changes), touched, batch)
-
-    def rewrite(self, change: Callable[[DataFrame], DataFrame], batch: int | None = None) -> None:
-        """Replace the whole table (a change not limited to known keys)."""
-        batch = self.next_batch() if batch is None else batch
-        self._write(change(self.read(before=batch)), list(range(self.buckets)), batch)
-
-    def _write(self, rows: DataFrame, touched: list[int], batch: int) -> None:
-        typed = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema])
-        path = f"{self.path}/data/batch={batch}"
-        # A bucket is one shuffle partition and one file; keys are unique, so none is hot.
-        (
-            typed.withColumn("bucket", self.bucket())
-            .repartition(len(touched), "bucket")
-            .write.mode("overwrite")
-            .partitionBy("bucket")
-            .parquet(path)
-        )
-        stored = self.spark.read.schema(T.StructType([*self.schema, T.StructField("bucket", T.IntegerType())])).parquet(path)
-        counts = {row["bucket"]: row["count"] for row in stored.groupBy("bucket").count().collect()}
-        entries = [(b, batch, counts.get(b, 0)) for b in touched]
-        # The commit: one file, complete or absent.
-        self.spark.createDataFrame(entries, _MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+
+    def parts(self, before: int | None = None) -> DataFrame:
+        """The part rows that make the table, or made it before a batch. Only the newest base
+        and later parts are read; both are chosen by folder."""
+        base, parts = self._stored("base", "upto"), self._stored("parts", "batch")
+        found = self.spark.createDataFrame([], self.schema)
+        upto = None
+        if base is not None:
+            bases = base.select("upto").distinct() if before is None else base.select("upto").distinct().filter(F.col("upto") < before)
+            upto = bases.agg(F.max("upto")).first()[0]
+            if upto is not None:
+                found = base.filter(F.col("upto") == upto).drop("upto")
+        if parts is not None:
+            if upto is not None:
+                parts = parts.filter(F.col("batch") > upto)
+            if before is not None:
+                parts = parts.filter(F.col("batch") < before)
+            found = found.unionByName(parts.drop("batch"))
+        return found
+
+    def read(self, before: int | None = None) -> DataFrame:
+        return self.view(self.fold(self.parts(before)))
+
+    def compact(self, upto: int) -> None:
+        """Fold all parts up to a finished batch into a base. Older files may be deleted once
+        no reader needs them."""
+        self.fold(self.parts(before=upto + 1)).write.mode("overwrite").parquet(f"{self.path}/base/upto={upto}")
 
 
 def append_events(events: DataFrame, path: str) -> None:

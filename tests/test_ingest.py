@@ -13,7 +13,7 @@ from gleanwork.operators import silver as S
 from gleanwork.plans.ingest import ingest_api
 from gleanwork.queries.mapping import SHIPPED
 from gleanwork.sources.messages import parse_messages
-from gleanwork.sources.tables import KeyedTable
+from gleanwork.streaming import ingest as I
 
 NOW = datetime(2026, 2, 1)
 RUN = "11111111-1111-1111-1111-111111111111"
@@ -316,40 +316,54 @@ def test_custom_rule_serves_its_domain(spark):
     assert batch.accepted.first()["title"] == "title" and batch.events.count() == 0
 
 
-def test_keyed_table(spark, tmp_path):
-    table = KeyedTable(spark, str(tmp_path / "t"), schemas.RUNS, "id", buckets=4)
-
-    def put(current, new):
-        return current.join(new, "id", "left_anti").unionByName(new)
-
-    def rows(*names):
-        return spark.createDataFrame([(n, "s", NOW) for n in names], schemas.RUNS)
-
-    table.update(rows("a", "b"), put, 0)
-    table.update(rows("b", "c"), put, 1)
-    table.update(rows("b", "c"), put, 1)
-    assert sorted(r["id"] for r in table.read().collect()) == ["a", "b", "c"]
-    assert sorted(r["id"] for r in table.read(before=1).collect()) == ["a", "b"]
-    table.rewrite(lambda current: current.filter("id <> 'a'"))
-    assert sorted(r["id"] for r in table.read().collect()) == ["b", "c"]
-
+def test_parts_fold_to_the_same_in_any_grouping(spark, upsert, tmp_path):
+    """Items in one batch, or a batch each, put twice and compacted half-way."""
+    sent = [
+        item(content_type="drop", raw_content="typeless"), item(start_url_id="bad"), item(raw_content="newer", start_url_id=BOARD),
+        item(content_type="drop", raw_content="too late"), item(url="https://a.io/2", content_type="drop", start_url_id=BOARD),
+        item(url="https://a.io/2", content_type="drop", raw_content="second"),
+    ]
+    columns = ["url", "raw_content", "content_type", "last_seen_run_id", "start_url_id", "deleted_at"]
+    whole, _, parsed = upsert(sent)
+    want = {tuple(r) for r in whole.select(*columns).collect()}
+    table = I.Tables.under(spark, str(tmp_path)).bronze
+    assert table.read().collect() == []
+    for batch in (0, 1, 2, 2, 3, 4, 5):
+        table.put(B.fold_items(parsed.filter(F.col("seq") == batch), F.lit(NOW), batch), batch)
+        if batch == 3:
+            table.compact(2)
+    assert {tuple(r) for r in table.read().select(*columns).collect()} == want
+    assert {r.url for r in table.read(before=4).collect()} == {"https://a.io/1"}
+
+
+def test_cutoffs_close_rows_until_they_are_seen_again(spark):
+    runs = spark.createDataFrame([(f"r{i}", "s", NOW + timedelta(days=i)) for i in range(6)], schemas.RUNS)
+    cutoffs = spark.createDataFrame(
+        [("s", NOW + timedelta(days=2), 3, NOW + timedelta(days=10)), ("s", NOW + timedelta(days=3), 5, NOW + timedelta(days=11)), ("other", NOW + timedelta(days=99), 1, NOW)],
+        "spider_name string, cutoff timestamp, batch bigint, at timestamp",
+    )
+    closed = B.closings(cutoffs, runs)
+    rows = spark.createDataFrame(
+        [("old", "r0", 0), ("late", "r1", 4), ("kept", "r3", 1), ("middle", "r2", 2), ("latest", "r0", 6), ("unknown", "x", 0)], "url string, last_seen_run_id string, seen bigint"
+    ).withColumn("deleted_at", F.lit(None).cast("timestamp"))
+    for small in (True, False, None):
+        found = {r.url: r.deleted_at and (r.deleted_at - NOW).days for r in B.closed_by(rows, closed, small).collect()}
+        assert found == {"old": 10, "late": 11, "kept": None, "middle": 11, "latest": None, "unknown": None}
 
-def test_stream_gives_what_the_batch_gives(spark):
-    """One pass of the operators over all messages, against the stream's micro-batches."""
-    from gleanwork.queries import QUERIES
-    from gleanwork.queries.bronze import messages
-    from gleanwork.queries.streams import FEED_RULE
 
-    sf = "/root/testdata/sf0.001"
-    rules = [R.parse_rule(FEED_RULE)]
+def test_a_batch_judges_once_and_reads_its_own_folders(spark):
+    """Every output is a scan of the judged folder; accepted rows read no refused ones."""
+    rules, _ = R.load_rules(spark, SHIPPED)
     winners, _ = R.resolve_rules(R.rules_table(spark, rules))
-    bronze = B.bronze_upsert(schemas.empty(spark, schemas.BRONZE), messages(spark, sf), F.lit(NOW))
-    accepted = S.silver_batch(bronze, rules, winners, F.lit(NOW)).accepted
-    batch = {tuple(r) for r in accepted.select("url", "title", "company_name", "description").collect()}
-    stream = {tuple(r) for r in QUERIES["stream_silver"](spark, sf).collect()}
-    assert batch
-    # A row accepted in an early micro-batch stays when its later content is refused.
-    assert batch <= stream and {u for u, *_ in stream} >= {u for u, *_ in batch}
+    rows = [("https://x.io/1", "{", "application/json"), ("https://x.io/2", "<p>", "text/html"), ("https://x.io/3", "{}", "application/json")]
+    bronze = spark.createDataFrame([(u, c, t, u, None) for u, c, t in rows], "url string, raw_content string, content_type string, source_url string, start_url_id string")
+    batch = S.silver_batch(bronze, rules, winners, F.lit(NOW))
+    for output in (batch.accepted, batch.events, batch.detail_requests, batch.page_requests, batch.outcomes):
+        plan = output._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Scan parquet") == 1 and "Python" not in plan
+    assert "PartitionFilters: [isnotnull(outcome" in batch.accepted._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert {tuple(r) for r in batch.outcomes.collect()} == {("https://x.io/1", True, "unparseable_content"), ("https://x.io/2", False, "no_rule"), ("https://x.io/3", True, "no_rule")}
+    assert [r.url for r in batch.page_requests.collect()] == ["https://x.io/2"] and [r.host for r in batch.detail_requests.collect()] == ["x.io"]
 
 
 def test_registered_functions(spark):
