@@ -13,6 +13,7 @@ more tasks, never within one.
 
 from __future__ import annotations
 
+import array
 import bisect
 import functools
 import os
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,15 +37,21 @@ GROUP_PIECES = 50_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+#: Bytes that stay with the word before them, and those that end a letter or digit: ASCII ones
+#: and the second byte of Latin-1 letters.
+TRAILING = np.isin(np.arange(256), [*b".,", 0x20, *range(0x09, 0x0E)])
+WORDLIKE = np.array([chr(b).isalnum() for b in range(128)] + [False] * 128)
+LATIN = np.array([0x80 <= b < 0xC0 and b not in (0x97, 0xB7) for b in range(256)])
+
+
 class Encoder:
     """Once per worker: the ids of a batch of texts.
 
-    The tokenizer drops white space and never merges across it, so a text's ids are those of
-    its words. Words are parted at ASCII blanks, those behind a word staying with it, and
-    dictionary-encoded as slices of the batch's own bytes; each different one is encoded
-    once, and the texts' ids are gathered from these. The tokenizer lower-cases and parts
-    letters from marks, so a word of Latin letters with full stops or commas behind it is
-    that word in lower case, then the marks. What is new goes through the library together.
+    The tokenizer drops white space and never merges across it, nor from a letter or digit to
+    a mark, and it lower-cases. So texts are cut in front of words, and between a word and the
+    full stops, commas and blanks behind it. The slices are dictionary-encoded where they lie in the
+    batch's bytes, lower-cased and dictionary-encoded again; each different one is encoded
+    once, and the texts' ids are gathered from these.
     """
 
     def __init__(self, path: str):
@@ -51,46 +59,49 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.encode_batch = Tokenizer.from_file(path).encode_batch_fast
-        self.pieces, self.found = Memo(None, 300_000), Memo(None, 500_000)
+        self.found = Memo(None, 600_000)
 
     @staticmethod
-    def parts(word: str) -> tuple[str, ...]:
-        letters = word.rstrip(".,")
-        low = letters.lower()
-        if low.isalpha() and letters.isalpha() and max(letters) < "\u0250":
-            return (low, word[len(letters) :]) if len(letters) < len(word) else (low,)
-        return (word,)
-
-    def coded(self, slices: list[bytes]) -> list[bytes]:
-        """The packed ids (little-endian, 32 bits) of each different word."""
-        table = self.found.take(slices)
-        cut_words = {w: self.parts(w.decode().rstrip("\t\n\v\f\r ")) for w, ids in table.items() if ids is None}
-        coded = self.pieces.take({p for ps in cut_words.values() for p in ps})
-        new = [p for p, ids in coded.items() if ids is None]
-        for piece, got in zip(new, self.encode_batch(new, add_special_tokens=False) if new else (), strict=True):
-            coded[piece] = value = np.array(got.ids, "<u4").tobytes()
-            self.pieces.keep(piece, value)
-        for word, ps in cut_words.items():
-            table[word] = value = b"".join([coded[p] for p in ps])
-            self.found.keep(word, value)
-        return [table[w] for w in slices]
+    def slices(cut_texts: TextWords) -> tuple[np.ndarray, np.ndarray]:
+        """Where each slice begins, the last one's end behind them, and each word's first slice."""
+        data, starts = cut_texts.data, cut_texts.starts
+        last = np.where(TRAILING[data], 0, np.arange(len(data)))
+        np.maximum.accumulate(last, out=last)
+        at = last[np.append(starts[1:], cut_texts.ends[-1]) - 1]
+        wordlike = WORDLIKE[data[at]] | (LATIN[data[at]] & (data[np.maximum(at - 1, 0)] == 0xC3))
+        split = (at >= starts) & wordlike
+        begins = np.sort(np.concatenate([starts, at[split] + 1]))
+        firsts = np.arange(len(starts)) + np.cumsum(split) - split
+        return np.append(begins, cut_texts.ends[-1]), firsts
+
+    def coded(self, slices: list[str]) -> list[bytes]:
+        """The packed ids (little-endian, 32 bits) of each slice."""
+        young, old = self.found.get, self.found.old.get
+        values = [young(s) or old(s) for s in slices]
+        new = [at for at, v in enumerate(values) if v is None]
+        for at, got in zip(new, self.encode_batch([slices[at] for at in new], add_special_tokens=False) if new else (), strict=True):
+            values[at] = value = array.array("I", got.ids).tobytes()
+            self.found.keep(slices[at], value)
+        return values
 
     def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids, the end id behind each, and where each text begins (and the last ends)."""
         cut_texts = TextWords(texts, seeds=())
         if not len(cut_texts.starts):
             return np.full(len(texts), end_id, "<u4"), np.arange(len(texts) + 1)
-        offsets = np.append(cut_texts.starts, cut_texts.ends[-1]).astype(np.int64)
-        buffers = [None, pa.py_buffer(offsets), pa.py_buffer(cut_texts.data)]
-        held = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, buffers).dictionary_encode()
-        values = self.coded(held.dictionary.to_pylist())
+        offsets, firsts = self.slices(cut_texts)
+        buffers = [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(cut_texts.data)]
+        held = pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, buffers).dictionary_encode()
+        # A special token's string in other case is none: such slices stay as they are.
+        low = pc.if_else(pc.match_substring(held.dictionary, "<|"), held.dictionary, pc.ascii_lower(held.dictionary)).dictionary_encode()
+        values = self.coded(low.dictionary.to_pylist())
         sizes = np.array([len(v) for v in values], np.int64) // 4
         ids, begins = np.frombuffer(b"".join(values), "<u4"), np.cumsum(sizes) - sizes
-        word = held.indices.to_numpy()
+        word = low.indices.to_numpy()[held.indices.to_numpy()]
         each = sizes[word]
         ends = np.cumsum(each)
         taken = ids[np.arange(ends[-1]) + np.repeat(begins[word] - (ends - each), each)]
-        bounds = np.append(0, ends)[cut_texts.bounds]
+        bounds = np.append(0, ends)[np.append(firsts, len(word))[cut_texts.bounds]]
         return np.insert(taken, bounds[1:], end_id).astype("<u4"), bounds + np.arange(len(bounds))
 
 
