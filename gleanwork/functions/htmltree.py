@@ -30,6 +30,9 @@ class _Reader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.nodes: list[dict] = []
         self.open: list[int] = []
+        # Per tag, where its open elements stand in `open`: an end tag finds its partner, or
+        # that it has none, without a walk over the others.
+        self.places: dict[str, list[int]] = {}
 
     def _add(self, tag: str, attrs: dict | None, text: str | None) -> int:
         parent = self.open[-1] if self.open else -1
@@ -43,6 +46,7 @@ class _Reader(HTMLParser):
     def handle_starttag(self, tag, attrs):
         pre = self._add(tag, {k: v if v is not None else "" for k, v in attrs}, None)
         if tag not in VOID:
+            self.places.setdefault(tag, []).append(len(self.open))
             self.open.append(pre)
 
     def handle_startendtag(self, tag, attrs):
@@ -50,10 +54,12 @@ class _Reader(HTMLParser):
         self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        for depth in range(len(self.open) - 1, -1, -1):
-            if self.nodes[self.open[depth]]["tag"] == tag:
-                del self.open[depth:]
-                return
+        places = self.places.get(tag)
+        if places:
+            depth = places[-1]
+            for pre in self.open[depth:]:
+                self.places[self.nodes[pre]["tag"]].pop()
+            del self.open[depth:]
 
     def handle_data(self, data):
         raw = bool(self.open) and self.nodes[self.open[-1]]["tag"] in RAW
@@ -169,18 +175,32 @@ _BLOCKS = frozenset(
 
 def _join(parts: list[str]) -> str:
     """Concatenate rendered pieces; blank lines meeting at a seam never add up past one."""
-    out = ""
+    out, tail = [], 0  # the line breaks at the end are kept apart
     for part in parts:
         if not part:
             continue
-        tail = len(out) - len(out.rstrip("\n"))
-        lead = len(part) - len(part.lstrip("\n"))
-        if tail and lead:
-            gap = min(2, max(tail, lead))
-            out = out.rstrip("\n") + "\n" * gap + part.lstrip("\n")
-        else:
-            out += part
-    return out
+        core = part.lstrip("\n")
+        lead = len(part) - len(core)
+        tail = min(2, max(tail, lead)) if tail and lead else tail + lead
+        if core:
+            body = core.rstrip("\n")
+            out += ["\n" * tail, body]
+            tail = len(core) - len(body)
+    return "".join(out) + "\n" * tail
+
+
+def _finished(task):
+    """What a task returns. A task yields the tasks it waits for, so that a page's depth
+    costs memory of this stack alone."""
+    stack, value = [task], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as done:
+            stack.pop()
+            value = done.value
+    return value
 
 
 def _wrap(text: str, mark: str) -> str:
@@ -229,7 +249,7 @@ def markdown(nodes: list[dict]) -> str:
             text = text.rstrip("\t \r\n")
         return text
 
-    def render(siblings: list[dict], verbatim: bool = False, depth: int = 0) -> str:
+    def render(siblings: list[dict], verbatim: bool = False, depth: int = 0):
         shown = [n for n in siblings if n["tag"] not in ("#comment", "#decl", "#raw")]
         parts = []
         for place, node in enumerate(shown):
@@ -238,37 +258,40 @@ def markdown(nodes: list[dict]) -> str:
                 after = shown[place + 1] if place + 1 < len(shown) else None
                 parts.append(text_of(node, before, after, verbatim))
             else:
-                parts.append(element(node, verbatim, depth))
+                parts.append((yield element(node, verbatim, depth)))
         return _join(parts)
 
-    def listed(node: dict, depth: int, verbatim: bool) -> str:
+    def listed(node: dict, depth: int, verbatim: bool):
         ordered = node["tag"] == "ol"
         start = _attrs(node).get("start", "1")
-        number = int(start) if start.isdecimal() and len(start) < 10 else 1
+        number = int(start) if start.isdecimal() and len(start) <= sys.get_int_max_str_digits() else 1
         lines = []
         for item in kids(node):
             if item["tag"] != "li":
                 if not item["tag"].startswith("#"):
-                    lines.append(element(item, verbatim, depth).strip("\n"))
+                    lines.append((yield element(item, verbatim, depth)).strip("\n"))
                 continue
             bullet = f"{number}. " if ordered else "- "
             number += 1
-            body = render(kids(item), verbatim, depth + 1).strip()
+            body = (yield render(kids(item), verbatim, depth + 1)).strip()
             lines.append(bullet + _indent(body, len(bullet)))
         return "\n".join(line for line in lines if line)
 
-    def rows(node: dict) -> list[list[str]]:
+    def rows(node: dict):
         found, waiting = [], list(reversed(kids(node)))
         while waiting:  # the rows of this table, not of those inside its cells
             below_it = waiting.pop()
             if below_it["tag"] == "tr":
-                cells = [c for c in kids(below_it) if c["tag"] in ("td", "th")]
-                found.append([" ".join(render(kids(c)).split()) for c in cells])
+                cells = []
+                for cell in kids(below_it):
+                    if cell["tag"] in ("td", "th"):
+                        cells.append(" ".join((yield render(kids(cell))).split()))
+                found.append(cells)
             elif below_it["tag"] != "table":
                 waiting.extend(reversed(kids(below_it)))
         return found
 
-    def element(node: dict, verbatim: bool, depth: int) -> str:
+    def element(node: dict, verbatim: bool, depth: int):
         tag = node["tag"]
         if tag == "img" or tag in NOISE:
             return ""
@@ -277,19 +300,20 @@ def markdown(nodes: list[dict]) -> str:
         if tag == "hr":
             return "\n\n---\n\n"
         if tag in ("ul", "ol"):
-            body = listed(node, depth, verbatim)
+            body = yield listed(node, depth, verbatim)
             return f"\n{body}" if depth else f"\n\n{body}\n\n"
         if tag == "pre":
-            return f"\n\n```\n{render(kids(node), True, depth)}\n```\n\n"
+            code = yield render(kids(node), True, depth)
+            return f"\n\n```\n{code}\n```\n\n"
         if tag == "table":
-            table = rows(node)
+            table = yield rows(node)
             if not table:
                 return ""
             head, *rest = table
             lines = ["| " + " | ".join(head) + " |", "| " + " | ".join("---" for _ in head) + " |"]
             lines += ["| " + " | ".join(row) + " |" for row in rest]
             return "\n\n" + "\n".join(lines) + "\n\n"
-        inner = render(kids(node), verbatim, depth)
+        inner = yield render(kids(node), verbatim, depth)
         if _HEADING.match(tag):
             text = " ".join(inner.split())
             level = max(1, int(tag[1]) - max(shift, 0))
@@ -320,10 +344,4 @@ def markdown(nodes: list[dict]) -> str:
             return f"\n\n{text}\n\n" if text else ""
         return inner
 
-    # Rendering calls itself for each level of a page, in Python frames alone.
-    limit = sys.getrecursionlimit()
-    sys.setrecursionlimit(max(limit, 1000 + 8 * max((n["depth"] for n in nodes), default=0)))
-    try:
-        return render(roots).strip()
-    finally:
-        sys.setrecursionlimit(limit)
+    return _finished(render(roots)).strip()

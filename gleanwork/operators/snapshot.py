@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from gleanwork.functions import documents as D
 from gleanwork.functions.digests import node_digest
 from gleanwork.functions.pay import pay_violation
+from gleanwork.operators.joins import pinned
 from gleanwork.operators.quality import metadata_violations
 
 SCALARS = ("title", "company_name", "employment_type")
@@ -98,46 +99,33 @@ def field_differences(expected: DataFrame, actual: DataFrame, key: str) -> DataF
     return both.select(key, F.explode(found).alias("f")).select(key, "f.*")
 
 
-@F.arrow_udf(T.ArrayType(T.StringType()))
-def node_digests(documents):
-    """A digest of every object and array of a document, the document itself included."""
+@F.arrow_udf(T.ArrayType(T.BooleanType()))
+def are_nodes(whole, documents):
+    """For each of a row's documents, whether it is a node of the row's whole document."""
     import json
 
     import pyarrow as pa
 
-    def digests(text):
-        found: set[str] = set()
-        node_digest(json.loads(text), found)
-        return list(found)
+    out = []
+    for text, listed in zip(whole.to_pylist(), documents.to_pylist(), strict=True):
+        held: set[str] = set()
+        if text is not None:
+            node_digest(json.loads(text), held)
+        out.append(None if listed is None else [d is not None and node_digest(json.loads(d)) in held for d in listed])
+    return pa.array(out, pa.list_(pa.bool_()))
 
-    return pa.array([None if t is None else digests(t) for t in documents.to_pylist()], pa.list_(pa.string()))
 
+def foreign_documents(responses: DataFrame) -> DataFrame:
+    """(response_id, position, url) of references whose document is not a node of their response.
 
-@F.arrow_udf(T.StringType())
-def document_digest(documents):
-    """The digest `node_digests` gives a document as a whole."""
-    import json
-
-    import pyarrow as pa
-
-    return pa.array(
-        [None if t is None else node_digest(json.loads(t)) for t in documents.to_pylist()], pa.string()
-    )
-
-
-def foreign_documents(refs: DataFrame, responses: DataFrame) -> DataFrame:
-    """References whose document is not a node of the response they claim to come from.
-
-    refs(response_id, url, document VARIANT), responses(response_id, doc VARIANT). A
-    response is turned into the digests of its nodes once and joined on (response, digest),
-    so neither the response nor its references gather in one row.
+    responses(response_id, doc VARIANT, refs): `refs` is the array of (position, url,
+    document) that mapping made of the response, so both sides of the question are one row.
+    Its nodes' digests are held for that row only and each reference is looked up among
+    them; nothing is shuffled, and only foreign references become rows. References without a
+    document have none to compare.
     """
-    nodes = responses.select(
-        "response_id", F.explode(node_digests(F.to_json("doc"))).alias("digest")
-    ).distinct()
-    return (
-        refs.filter(F.col("document").isNotNull())
-        .withColumn("digest", document_digest(F.to_json("document")))
-        .join(nodes, ["response_id", "digest"], "left_anti")
-        .select("response_id", "url")
-    )
+    texts = pinned(responses, __doc=F.to_json("doc"), __texts=F.transform("refs", lambda r: F.to_json(r["document"])))
+    judged = pinned(texts, __known=are_nodes(F.col("__doc"), F.col("__texts")))
+    known = F.arrays_zip(F.col("refs").alias("ref"), F.col("__known").alias("known"))
+    foreign = F.filter(known, lambda k: k["ref"]["document"].isNotNull() & ~k["known"])
+    return judged.select("response_id", F.explode(F.transform(foreign, lambda k: k["ref"])).alias("r")).select("response_id", "r.position", "r.url")

@@ -177,6 +177,13 @@ def references(spark, sf):
     return M.map_index(attached, rules)
 
 
+def mapped_responses(spark, sf):
+    """The responses with their references in a row, beside the whole document."""
+    rules, winners = all_rules(spark)
+    attached = M.attach_rule(responses(spark, sf), winners, R.INDEX, F.col("response_url"), ["response_id"])
+    return M.index_refs(attached.withColumn("whole", F.col("doc")), rules).withColumnRenamed("whole", "doc")
+
+
 def filtered(spark, sf):
     rules, winners = all_rules(spark)
     given = responses(spark, sf).join(board_addresses(spark, sf), "response_id")

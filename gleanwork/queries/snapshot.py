@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gleanwork.operators import snapshot as S
-from gleanwork.queries.mapping import references, responses
+from gleanwork.operators.joins import pinned
+from gleanwork.queries.mapping import mapped_responses
 from gleanwork.queries.registry import query, table
 
 
@@ -28,9 +29,9 @@ def snapshot_links(spark, sf):
 
 @query("snapshot_unpinned", "SELECT n_name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 8000)")
 def snapshot_unpinned(spark, sf):
-    pinned = table(spark, sf, "supplier").filter(F.col("s_acctbal") > 8000).select(F.col("s_nationkey").alias("n_nationkey"))
+    held = table(spark, sf, "supplier").filter(F.col("s_acctbal") > 8000).select(F.col("s_nationkey").alias("n_nationkey"))
     nations = table(spark, sf, "nation")
-    return S.unpinned_links(nations, pinned, "n_nationkey").join(nations, "n_nationkey").select("n_name")
+    return S.unpinned_links(nations, held, "n_nationkey").join(nations, "n_nationkey").select("n_name")
 
 
 def snapshots(spark, sf):
@@ -84,8 +85,7 @@ def snapshot_fields(spark, sf):
 )
 def foreign_documents(spark, sf):
     """References of which those with one flag were altered after the fact."""
-    refs = references(spark, sf)
-    text = F.to_json("document")
-    altered = refs.withColumn("document", F.try_parse_json(F.replace(text, F.lit('"flag":"R"'), F.lit('"flag":"X"'))))
-    strange = S.foreign_documents(altered, responses(spark, sf))
+    text = lambda r: F.replace(F.to_json(r["document"]), F.lit('"flag":"R"'), F.lit('"flag":"X"'))
+    altered = F.transform("refs", lambda r: F.struct(r["position"].alias("position"), r["url"].alias("url"), F.try_parse_json(text(r)).alias("document")))
+    strange = S.foreign_documents(pinned(mapped_responses(spark, sf), refs=altered))
     return strange.select("response_id", F.regexp_extract("url", r"k=(\d+)$", 1).cast("bigint").alias("part"))
