@@ -105,6 +105,27 @@ def schema_drift_report(table: str, stored: DataFrame, declared: T.StructType) -
     )
 
 
+def document_drift(rows: DataFrame, declared: dict[str, str]) -> DataFrame:
+    """(domain, column, problem, declared, stored) where stored documents left a declared shape.
+
+    rows(domain, doc VARIANT); `declared` maps a member's name to its type. Each member's type
+    is the one that all of a domain's values of it have in common (VARIANT if they have none,
+    VOID if all are null), found by a mergeable aggregate over every row. A member no document
+    holds is missing, one that is not declared unexpected.
+    """
+    members = rows.select("domain", F.explode(D.entries(F.col("doc"))).alias("column", "value"))
+    stored = members.groupBy("domain", "column").agg(F.schema_of_variant_agg("value").alias("stored"))
+    wanted = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(t).alias("declared")) for c, t in declared.items()])
+    want = rows.select("domain").distinct().select("domain", F.inline(wanted))
+    both = want.join(stored, ["domain", "column"], "full_outer")
+    problem = (
+        F.when(F.col("stored").isNull(), "missing")
+        .when(F.col("declared").isNull(), "unexpected")
+        .when(F.col("stored") != F.col("declared"), "type")
+    )
+    return both.select("domain", "column", problem.alias("problem"), "declared", "stored").filter(F.col("problem").isNotNull())
+
+
 def upgrade_bronze(old: DataFrame, payload: str = "raw_html") -> DataFrame:
     """Rows of the HTML-only layout in today's: one renamed and two filled columns."""
     return old.withColumnRenamed(payload, "raw_content").withColumns(

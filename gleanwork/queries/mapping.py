@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gleanwork.functions import documents as D
 from gleanwork.functions.urls import url_host
+from gleanwork.functions.registered import register_functions
 from gleanwork.operators import filters as P
 from gleanwork.operators import mapping as M
 from gleanwork.operators import rules as R
@@ -326,3 +327,70 @@ def route_rules(spark, sf):
     ).filter(F.endswith("domain", F.lit(".com")))
     winners, _ = R.resolve_rules(claims)
     return M.attach_rule(pages, winners, R.EXTRACTION, F.col("url"), ["page_id"]).select("page_id", "host", "rule_id")
+
+
+# What is wrong with the rule document of a part, by its size, and why it is refused.
+SPOILED = (
+    ('{"version":', "not JSON"),
+    ('["version"]', "not an object"),
+    ('{"version":1,"type":"detail","domains":["d"],"fields":{"title":"t"},"author":"me","b":1}', "keys that no rule has: ['author', 'b']"),
+    ('{"version":2,"type":"detail","domains":["d"],"fields":{"title":"t"}}', "written for another version: 2"),
+    ('{"version":true,"type":"detail","domains":["d"],"fields":{"title":"t"}}', "written for another version: true"),
+    ('{"version":1,"type":"other","domains":["d"],"fields":{"title":"t"}}', 'no such kind of rule: "other"'),
+    ('{"version":1,"type":"detail","domains":["d",3],"fields":{"title":"t"}}', "no domain is served: 'domains' lists host names"),
+    ('{"version":1,"type":"detail","domains":["d"],"fields":{}}', "nothing is read: 'fields' maps names to specifications"),
+    ('{"version":1,"type":"detail","domains":["d"],"fields":{"title":"t","salary":"s"}}', "fields that a detail rule cannot fill: ['salary']"),
+    ('{"version":1,"type":"index","domains":["d"],"fields":{"postings":"p"}}', "fields that a index rule needs: ['posting_url']"),
+    ('{"version":1,"type":"detail","domains":["d"],"fields":{"title":7}}', "not a field specification: 7"),
+)
+
+
+def rule_files(spark, sf):
+    """A rule document for each part, spoiled in eleven ways by its size."""
+    p = table(spark, sf, "part")
+    even = F.col("p_size") % 2 == 0
+    value = F.concat(
+        F.lit('{"version":1,"type":'), F.when(even, '"detail"').otherwise('"index"'), F.lit(',"domains":["F'), F.col("p_partkey").cast("string"),
+        F.lit('.example.com","shared.example.com"],"fields":'), F.when(even, '{"title":"t"}}').otherwise('{"postings":"jobs","posting_url":"url"}}'),
+    )
+    for size, (text, _) in enumerate(SPOILED, 1):
+        value = F.when(F.col("p_size") == size, F.lit(text)).otherwise(value)
+    return p.select(F.col("p_partkey").cast("string").alias("name"), value.alias("value"))
+
+
+def _quoted(text):
+    return "'" + text.replace("'", "''") + "'"
+
+
+@query(
+    "rule_refusals",
+    f"""SELECT CAST(p_partkey AS VARCHAR) AS name, reason FROM part JOIN (VALUES {", ".join(f"({n}, {_quoted(r)})" for n, (_, r) in enumerate(SPOILED, 1))}) AS t(size, reason)
+    ON p_size = size""",
+)
+def rule_refusals(spark, sf):
+    judged = R.judged_documents(rule_files(spark, sf))
+    return judged.filter(F.col("reason").isNotNull()).select("name", "reason")
+
+
+@query(
+    "rule_documents",
+    f"""SELECT CAST(p_partkey AS VARCHAR) AS name, CASE WHEN p_size % 2 = 0 THEN 'detail' ELSE 'index' END AS kind,
+    unnest(['f' || p_partkey || '.example.com', 'shared.example.com']) AS domain FROM part WHERE p_size > {len(SPOILED)}""",
+)
+def rule_documents(spark, sf):
+    """The accepted documents by the domains they serve."""
+    return R.document_rules(R.judged_documents(rule_files(spark, sf)))
+
+
+@query(
+    "registered_functions",
+    """SELECT o_orderkey, 'A & B ' || o_orderstatus AS plain, CASE WHEN o_orderstatus <> 'P' THEN o_orderkey / 100.0 END AS amount,
+    CASE o_orderstatus WHEN 'F' THEN 'year' WHEN 'O' THEN 'hour' END AS period FROM orders""",
+)
+def registered_functions(spark, sf):
+    """The mapping functions in SQL text, as a rule's expressions use them."""
+    register_functions(spark)
+    doc = F.concat(F.lit('{"cents":'), F.when(F.col("o_orderstatus") == "P", '"none"').otherwise(F.col("o_orderkey").cast("string")), F.lit("}"))
+    said = F.when(F.col("o_orderstatus") == "F", "Annual Salary").when(F.col("o_orderstatus") == "O", "per hour").otherwise("per hour or per year")
+    rows = table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("A &amp; B "), "o_orderstatus").alias("text"), F.try_parse_json(doc).alias("doc"), said.alias("said"))
+    return rows.selectExpr("o_orderkey", "unescape(text) AS plain", "hundredths(variant_get(doc, '$.cents', 'variant')) AS amount", "pay_period(said) AS period")

@@ -46,17 +46,35 @@ def upgrade_boards(spark, sf):
 
 @query(
     "schema_drift",
+    """WITH n AS (SELECT o_orderpriority AS domain, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'P') AS p,
+        count(*) FILTER (o_orderstatus = 'O') AS o, count(*) AS c FROM orders GROUP BY 1)
+    SELECT domain, 'price' AS "column", 'type' AS problem, 'STRING' AS declared, CASE WHEN f = c THEN 'BIGINT' ELSE 'VARIANT' END AS stored FROM n WHERE f > 0
+    UNION ALL SELECT domain, 'extra', 'unexpected', NULL, 'BOOLEAN' FROM n WHERE p > 0
+    UNION ALL SELECT domain, 'never', 'missing', 'ARRAY<STRING>', NULL FROM n
+    UNION ALL SELECT domain, 'note', CASE WHEN o = 0 THEN 'missing' ELSE 'type' END, 'STRING', CASE WHEN o > 0 THEN 'VOID' END FROM n""",
+)
+def schema_drift(spark, sf):
+    """Every order's document against one shape: a price that is a number for some, an extra
+    member, one that is always null and one that nobody has."""
+    is_f, is_p, is_o = (F.col("o_orderstatus") == s for s in "FPO")
+    text = F.concat(
+        F.lit('{"id":'), F.col("o_orderkey").cast("string"), F.lit(',"price":'), F.when(is_f, "7").otherwise('"7"'),
+        F.when(is_p, ',"extra":true').otherwise(""), F.when(is_o, ',"note":null').otherwise(""), F.lit("}"),
+    )
+    rows = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("domain"), F.try_parse_json(text).alias("doc"))
+    return Q.document_drift(rows, {"id": "BIGINT", "price": "STRING", "never": "ARRAY<STRING>", "note": "STRING"})
+
+
+@query(
+    "layout_drift",
     """SELECT * FROM (VALUES ('raw_job_postings', 'raw_content', 'missing', 'string', NULL), ('raw_job_postings', 'raw_html', 'unexpected', NULL, 'string'),
     ('raw_job_postings', 'c_mktsegment', 'type', 'int', 'string')) AS t("table", "column", problem, declared, stored)
     WHERE EXISTS (SELECT 1 FROM customer)""",
 )
-def schema_drift(spark, sf):
+def layout_drift(spark, sf):
+    """The columns of a stored table against its declaration."""
     declared = T.StructType(
-        [
-            T.StructField("url", T.StringType()),
-            T.StructField("raw_content", T.StringType()),
-            T.StructField("c_mktsegment", T.IntegerType()),
-        ]
+        [T.StructField("url", T.StringType()), T.StructField("raw_content", T.StringType()), T.StructField("c_mktsegment", T.IntegerType())]
     )
     return Q.schema_drift_report("raw_job_postings", old_customers(spark, sf), declared)
 

@@ -10,6 +10,7 @@ from gleanwork.functions.ids import url_key
 from gleanwork.functions.text import facet_label
 from gleanwork.operators import search as S
 from gleanwork.plans import serve
+from gleanwork.operators.steps import written
 from gleanwork.queries.registry import as_uuid, query, sql_text, table, text
 
 
@@ -113,6 +114,29 @@ def page_totals(spark, sf):
     return S.page_totals(S.matching(order_postings(spark, sf), PICK))
 
 
+@query(
+    "page_totals_approx",
+    f"""WITH {ORDERS}, c AS (
+        SELECT 1 AS n, count(*) AS total, count(DISTINCT company_name) AS exact FROM p WHERE deleted_at IS NULL AND {TYPES} AND {PLACES}
+        UNION ALL SELECT 2, count(*), count(DISTINCT company_name) FROM p WHERE deleted_at IS NULL
+        UNION ALL SELECT 3, count(*), count(DISTINCT company_name) FROM p WHERE deleted_at IS NULL AND employment_type = 'no such type')
+    SELECT n AS selection, total, greatest(1, CAST(ceil(total / 25.0) AS BIGINT)) AS last_page, exact AS companies, true AS within FROM c""",
+)
+def page_totals_approx(spark, sf):
+    """Three selections answered from the cells, and held against the exact count: within
+    five standard errors."""
+    postings = order_postings(spark, sf)
+    cells = written(S.facet_sketches(postings))
+    found = []
+    picks = (S.Selection(locations=PICK.locations, employment_types=PICK.employment_types), S.Selection(), S.Selection(employment_types=("no such type",)))
+    for n, pick in enumerate(picks, 1):
+        exact = S.page_totals(S.matching(postings, pick)).select(F.col("total"), F.col("company_count").alias("companies"))
+        both = S.page_totals_approx(cells, pick).join(exact, "total")  # one row each
+        within = F.abs(F.col("company_count") - F.col("companies")) <= 5 * 1.04 / 2**7 * F.col("companies")
+        found.append(both.select(F.lit(n).alias("selection"), "total", "last_page", "companies", within.alias("within")))
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @query(
     "page_clamped",
     f"""WITH {ORDERS}, t AS (SELECT count(*) AS total FROM p {MATCHED})

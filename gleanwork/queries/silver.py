@@ -72,6 +72,56 @@ def refusal_rollup(spark, sf):
     return Q.refusal_rollup(batch(spark, sf).events)
 
 
+RAW_RULE = {
+    "version": 1,
+    "type": "detail",
+    "domains": ["raw.example.com"],
+    "fields": {"title": "t", "company_name": "c", "description": "d", "metadata": "m", "employment_type": "e", "locations": "l"},
+}
+
+
+@query(
+    "shape_kinds",
+    """SELECT 'https://x.io/' || o_orderkey AS posting_url, CASE o_orderkey % 6 WHEN 0 THEN '''metadata'' must be an object'
+    WHEN 1 THEN '''employment_type'' must be a string' WHEN 2 THEN '''locations'' must be a list of strings' WHEN 3 THEN '''metadata'' must be an object' END AS detail
+    FROM orders WHERE o_orderkey % 6 < 4""",
+)
+def shape_kinds(spark, sf):
+    """Fields of the wrong kind, the first of them told."""
+    key = F.col("o_orderkey") % 6
+    doc = F.concat(
+        F.lit('{"t":"x","c":"y","d":"z","m":'), F.when(key == 0, "[1]").when(key == 3, '"text"').otherwise('{"a":1}'),
+        F.lit(',"e":'), F.when(key.isin(0, 1), "5").when(key == 4, "null").otherwise('"full"'), F.lit(',"l":'), F.when(key == 2, '["a",1]').otherwise('["a"]'), F.lit("}"),
+    )
+    rows = table(spark, sf, "orders").select(
+        F.concat(F.lit("https://x.io/"), F.col("o_orderkey").cast("string")).alias("url"), doc.alias("raw_content"), F.lit("application/json").alias("content_type"),
+        F.lit("https://raw.example.com/feed").alias("source_url"), F.lit(None).cast("string").alias("start_url_id"),
+    )
+    rules = [R.parse_rule(RAW_RULE)]
+    return ingest_silver(rows, rules, R.resolve_rules(R.rules_table(spark, rules))[0], F.lit(NOW)).events.select("posting_url", "detail")
+
+
+def _taken_as_is(slice_of_domain):
+    """Code for a domain: the feed's own words, whatever a rule would read."""
+    doc = F.try_parse_json("raw_content")
+    absent = F.lit(None).cast("variant")
+    said = {"title": F.upper(F.try_variant_get(doc, "$.title", "string")), "company_name": F.lit("by code"), "description": F.try_variant_get(doc, "$.content", "string")}
+    mapped = F.struct(*[(said[f].cast("variant") if f in said else absent).alias(f) for f in R.SILVER_FIELDS])
+    return slice_of_domain.withColumn("mapped", mapped)
+
+
+@query(
+    "custom_domain",
+    """SELECT 'https://jobs.example.com/p/' || o_orderkey AS url, upper(o_orderpriority) AS title, 'by code' AS company_name
+    FROM orders WHERE o_orderstatus = 'P' AND o_custkey % 5 = 3""",
+)
+def custom_domain(spark, sf):
+    """Code serves one of the hosts that no rule knows; rules serve the others as before."""
+    rules, winners = all_rules(spark)
+    served = ingest_silver(order_documents(spark, sf), rules, winners, F.lit(NOW), custom={(R.DETAIL, "nowhere3.example.com"): _taken_as_is})
+    return served.accepted.filter("company_name = 'by code'").select("url", "title", "company_name")
+
+
 def page_batch(spark, sf, rules):
     """The given pages as Bronze rows, each with its own url."""
     rows = table(spark, sf, "pages").select(
