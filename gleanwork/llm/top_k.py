@@ -9,8 +9,10 @@ significant one down, split the rows into certain, possible and excluded ones un
 left; rows equal in every slice are the boundary, resolved by their smaller ids. A negative
 component takes the complements of the slices, with the constant that they add taken off.
 
-Queries meet every block of rows in chunks; each block gives its k best, and the best of
-those are the answer.
+The slices are made once, when the index is built, and stored by block; the values are not
+kept. A row's exact score is read off the slices of the sums. Rows are dealt to blocks by
+their number, so repeated ids spread like any others. Queries meet every block in chunks,
+and each block gives its k best, of which the best are the answer.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 from gleanwork.llm.storage import kept
 
 #: Mean number of rows of a block, and of queries that visit it together.
-BLOCK_ROWS, CHUNK = 32_768, 256
-INDEX = "dim int, block int, ids binary, values binary"
+BLOCK_ROWS, CHUNK = 32_768, 1024
+INDEX = "dim int, block int, ids binary, least binary, bits binary, slices binary"
 FOUND = "query long, query_id long, vec_id long, score long"
 
 
@@ -39,16 +41,34 @@ def quantised(vector: Column, factor: int) -> Column:
 class SlicedBlock:
     """The bit slices of a block of integer vectors, ordered by their ids."""
 
-    def __init__(self, ids: np.ndarray, values: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.values = ids[order], values[order]
+    def __init__(self, ids: np.ndarray, least: np.ndarray, bits: np.ndarray, slices: np.ndarray):
+        """`slices` holds the bitmaps of all attributes, `bits` of each, a row a bitmap."""
+        self.ids, self.least, self.bits = ids, least, bits
         self.rows = len(ids)
-        self.least = self.values.min(axis=0) if self.rows else np.zeros(values.shape[1], np.int64)
-        above = (self.values - self.least).T
-        self.bits = [int(a.max()).bit_length() if self.rows else 0 for a in above]
-        self.slices = [[self.bitmap((a >> b) & 1) for b in range(n)] for a, n in zip(above, self.bits, strict=True)]
+        ends = np.cumsum(bits)
+        self.slices = [slices[e - n : e] for e, n in zip(ends.tolist(), bits.tolist(), strict=True)]
         self.all = self.bitmap(np.ones(self.rows, np.uint8))
-        self.complements = [[~s for s in slices] for slices in self.slices]
+
+    @classmethod
+    def of(cls, ids: np.ndarray, values: np.ndarray) -> SlicedBlock:
+        order = np.argsort(ids, kind="stable")
+        least = values.min(axis=0) if len(ids) else np.zeros(values.shape[1], np.int64)
+        above = (values[order] - least).T
+        bits = np.array([int(a.max()).bit_length() if len(ids) else 0 for a in above], np.int64)
+        width = len(cls.bitmap(np.ones(len(ids), np.uint8)))
+        slices = [cls.bitmap((a >> b) & 1) for a, n in zip(above, bits.tolist(), strict=True) for b in range(n)]
+        return cls(ids[order], least, bits, np.array(slices, "<u8").reshape(len(slices), width))
+
+    def stored(self) -> tuple[bytes, ...]:
+        """ids, least values, bits and slices as bytes."""
+        return tuple(np.ascontiguousarray(a).tobytes() for a in (self.ids, self.least, self.bits, np.concatenate([np.zeros((0, len(self.all)), "<u8"), *self.slices])))
+
+    @classmethod
+    def read(cls, ids: bytes, least: bytes, bits: bytes, slices: bytes) -> SlicedBlock:
+        known = np.frombuffer(ids, "<i8")
+        count = np.frombuffer(bits, "<i8")
+        width = -(-len(known) // 64)
+        return cls(known, np.frombuffer(least, "<i8"), count, np.frombuffer(slices, "<u8").reshape(int(count.sum()), width))
 
     @staticmethod
     def bitmap(bits: np.ndarray) -> np.ndarray:
@@ -61,7 +81,7 @@ class SlicedBlock:
         columns: dict[int, list[np.ndarray]] = defaultdict(list)
         for at in np.flatnonzero(query).tolist():
             component = int(query[at])
-            slices = self.slices[at] if component > 0 else self.complements[at]
+            slices = self.slices[at] if component > 0 else ~self.slices[at]
             component = abs(component)
             shift = 0
             while component:
@@ -95,7 +115,8 @@ class SlicedBlock:
             for row in range(*np.searchsorted(self.ids, [own, own + 1]).tolist()):
                 possible[row >> 6] &= ~(np.uint64(1) << np.uint64(row & 63))
         certain = np.zeros_like(possible)
-        for slice_ in reversed(self.sums(query)):
+        sums = self.sums(query)
+        for slice_ in reversed(sums):
             wide = certain | (possible & slice_)
             count = int(np.bitwise_count(wide).sum())
             if count > k:
@@ -108,7 +129,15 @@ class SlicedBlock:
         sure = np.flatnonzero(np.unpackbits(certain.view(np.uint8), bitorder="little"))
         ties = np.flatnonzero(np.unpackbits(possible.view(np.uint8), bitorder="little"))
         rows = np.concatenate([sure, ties[: max(0, k - len(sure))]])
-        return self.ids[rows], self.values[rows] @ query
+        scores = np.full(len(rows), self.constant(query), np.int64)
+        for weight, slice_ in enumerate(sums):
+            scores += ((slice_[rows >> 6] >> (rows & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64) << weight
+        return self.ids[rows], scores
+
+    def constant(self, query: np.ndarray) -> int:
+        """What the least values and the complements add to every row's score."""
+        complements = np.where(query < 0, -query * ((1 << self.bits) - 1), 0)
+        return int((query * self.least - complements).sum())
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, factor: int = 64, vec_id: str = "vec_id", vector: str = "embedding", block_rows: int = BLOCK_ROWS, chunk: int = CHUNK) -> DataFrame:
@@ -128,9 +157,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, factor: int = 64,
     def packed(frame: pd.DataFrame) -> pd.DataFrame:
         values = np.array(frame["vector"].tolist(), "<i8").reshape(len(frame), -1)
         first = frame.iloc[0]
-        return pd.DataFrame([(first["dim"], first["block"], frame["id"].to_numpy("<i8").tobytes(), values.tobytes())], columns=["dim", "block", "ids", "values"])
+        block = SlicedBlock.of(frame["id"].to_numpy("<i8"), values)
+        return pd.DataFrame([(first["dim"], first["block"], *block.stored())], columns=["dim", "block", "ids", "least", "bits", "slices"])
 
-    dealt = rows.select("dim", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "id", "vector")
+    # Which block a row is in changes no result, so its number need not be the same twice.
+    number = F.xxhash64(F.monotonically_increasing_id())
+    dealt = rows.select("dim", F.pmod(number, F.lit(blocks)).cast("int").alias("block"), "id", "vector")
     index = kept(dealt.groupBy("dim", "block").applyInPandas(packed, INDEX))
     asking = rows.filter("asks").select(F.monotonically_increasing_id().alias("query"), "dim", "id", "vector")
     asking = asking.withColumn("chunk", F.pmod(F.xxhash64("query"), F.lit(chunks)).cast("int"))
@@ -141,8 +173,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, factor: int = 64,
         out = []
         if len(host) and len(visitors):
             one = host.iloc[0]
-            ids = np.frombuffer(one["ids"], "<i8")
-            block = SlicedBlock(ids, np.frombuffer(one["values"], "<i8").reshape(len(ids), -1))
+            block = SlicedBlock.read(one["ids"], one["least"], one["bits"], one["slices"])
             for query, own, values in zip(visitors["query"], visitors["id"], visitors["vector"], strict=True):
                 found, scores = block.best(np.array(values, np.int64), int(own), k)
                 out.append(pd.DataFrame({"query": query, "query_id": own, "vec_id": found, "score": scores}))

@@ -192,6 +192,33 @@ def test_sliced_search(spark, k):
     assert top_k.search(frame.limit(0), F.col("vec_id") % 20 == 0).collect() == []
 
 
+def test_stored_slices_answer_as_the_block(spark):
+    draw = np.random.default_rng(3)
+    values = draw.integers(-40, 40, (130, 6))
+    values[:, 2] = 7
+    ids = draw.integers(0, 60, 130)
+    block = top_k.SlicedBlock.of(ids, values)
+    again = top_k.SlicedBlock.read(*block.stored())
+    for query in (values[0], -values[1], np.array([0, 0, 3, 0, -5, 1])):
+        for own in (None, int(ids[5])):
+            found, scores = again.best(query, own, 9)
+            want = sorted((-int(v @ query), int(i)) for i, v in zip(ids, values, strict=True) if i != own)[:9]
+            assert sorted(zip((-scores).tolist(), found.tolist(), strict=True)) == want
+
+
+def test_a_hot_id_spreads_over_blocks(spark):
+    frame = spark.range(600).selectExpr("if(id % 3 = 0, 20, id) as vec_id", "array(cast(id % 7 as float)) as embedding")
+    blocks = []
+    search = top_k.kept
+    top_k.kept = lambda index: blocks.append(index.select("ids").collect()) or search(index)
+    try:
+        top_k.search(frame, top_k.F.col("vec_id") == 20, 3, block_rows=100)
+    finally:
+        top_k.kept = search
+    sizes = [len(r.ids) // 8 for r in blocks[0]]
+    assert sum(sizes) == 600 and max(sizes) < 200
+
+
 def test_top_k_query(spark):
     found = QUERIES["op7_top_k"](spark, SF).toPandas()
     con = duckdb.connect()
@@ -229,7 +256,13 @@ def test_toxicity_of_odd_rows(odd, spark):
     assert toxicity.with_scores(odd.limit(0), some).collect() == []
 
 
-def test_toxicity_query(spark):
-    labels = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
-    rows = [r for r in QUERIES["op9_toxicity"](spark, "/root/testdata/sf0.01").collect() if r.doc_id in labels]
-    assert np.mean([r.predicted == labels[r.doc_id] for r in rows if r.held_out]) > 0.85
+@pytest.mark.parametrize(("size", "least_recall", "least_precision"), [("0.01", 0.3, 0.8), ("0.1", 0.75, 0.8)])
+def test_toxicity_query(spark, size, least_recall, least_precision):
+    """Held-out toxic documents are found and clean ones left alone: 37 toxic documents to
+    learn from at the smaller size, 329 at the larger. Always answering 0 or 1 fails."""
+    sf = f"/root/testdata/sf{size}"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [r for r in QUERIES["op9_toxicity"](spark, sf).collect() if r.held_out and r.doc_id in labels]
+    right = sum(r.predicted == 1 and labels[r.doc_id] == 1 for r in rows)
+    assert right >= least_recall * sum(labels[r.doc_id] for r in rows)
+    assert right >= least_precision * sum(r.predicted for r in rows) > 0
