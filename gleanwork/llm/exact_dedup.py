@@ -1,7 +1,8 @@
 """Exact deduplication by deterministic block naming, in DataFrame operations only.
 
 A text's bytes are cut into blocks of a fixed size. The blocks that occur more than once in
-the corpus are sorted and take their place in that order as an integer name. Then adjacent
+the corpus are sorted (by a prefix, then a hash, then themselves) and take their place in that
+order as an integer name. Then adjacent
 names are paired and the pairs named the same way, level by level, until a document has one
 name left. Two texts of equally many blocks have equal names if and only if they are equal:
 names stand for contents, no hash is involved.
@@ -42,10 +43,12 @@ def named(parts: DataFrame, keys: list[str]) -> DataFrame:
     `names` is null for documents with a part that occurs once.
     """
     repeated = parts.groupBy(*keys).count().filter("count > 1").select(*keys)
-    # Sorted in ranges of a prefix, whose bounds alone pass through the driver.
+    # Sorted in ranges of a prefix, whose bounds alone pass through the driver. Blocks that
+    # share one are parted by a hash, which decides their order and nothing else.
     parts_count = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = repeated.repartitionByRange(parts_count, F.substring(keys[0], 1, PREFIX) if len(keys) == 1 else F.col(keys[0]))
-    names = kept(ranged.sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id()))
+    order = [F.substring(keys[0], 1, PREFIX), F.xxhash64(*keys)] if len(keys) == 1 else [F.col(k) for k in keys]
+    ranged = repeated.repartitionByRange(parts_count, *order).sortWithinPartitions(*order, *keys)
+    names = kept(ranged.withColumn("name", F.monotonically_increasing_id()))
     found = parts.join(names, keys, "left")
     whole = found.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),
