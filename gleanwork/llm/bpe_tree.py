@@ -197,8 +197,9 @@ def round_trip(
     """The frame with the packed ids of its texts and the bytes those ids decode to.
 
     Columns of the names given for `ids` and `decoded` are replaced; all others stay. Rows
-    are handled one by one: repeated rows are repeated in the result, an empty table gives
-    an empty one.
+    are handled one by one: null and empty texts have no ids, repeated rows are repeated in
+    the result, an empty table gives an empty one. Long texts, and long pieces of them, are
+    encoded whole: a piece's halves are, and theirs, so no piece is too long.
     """
     coded = docs.withColumn(ids, encode(F.col(text), path, pattern))
     return coded.withColumn(decoded, decode(F.col(ids), path, pattern))

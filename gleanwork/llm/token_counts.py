@@ -147,7 +147,9 @@ def count_tokens(text: Column, path: str) -> Column:
 def with_counts(docs: DataFrame, path: str, limit: int, text: str = "text") -> DataFrame:
     """The frame with n_bytes (UTF-8), n_tokens and over_limit (more tokens than `limit`).
 
-    Columns of these names are replaced, all others stay; rows are handled one by one.
+    Columns of these names are replaced, all others stay, whatever their names. Rows are
+    handled one by one: null and empty texts count nothing, repeated rows are repeated, and an
+    empty table stays empty. Long texts are counted whole, piece by piece.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     counted = docs.withColumn("n_bytes", F.octet_length(whole).cast("long")).withColumn("n_tokens", count_tokens(whole, path))
