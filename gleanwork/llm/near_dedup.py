@@ -18,9 +18,9 @@ different components is open. Its members meet by prefixes: with every set's shi
 ordered by their frequency among open members, rarest first, two sets that are similar
 enough share a shingle of the first ninth of the smaller and the first fifth of the larger
 one (at a threshold of 0.8), and behind the first one shared, neither has too few left to
-share. Many documents around one passage, similar but not enough, so make hardly a pair: what
-each holds for itself comes first, and the passage behind it is too short. Links inside a
-component cannot change the result.
+share, by its place in their orders and by bitmaps of both. Many documents around one passage,
+similar but not enough, so make hardly a pair: what each holds for itself comes first, and the
+passage behind it is too short. Links inside a component cannot change the result.
 """
 
 from __future__ import annotations
@@ -44,6 +44,8 @@ MANTISSA = 10
 DEVIATIONS = 6.0
 #: Frequencies of shingles are counted in this many cells; they only order shingles.
 CELLS = 1 << 20
+#: 64-bit words of the bitmap by which two sets are held against each other.
+WORDS = 16
 
 
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
@@ -216,10 +218,19 @@ def frequencies(texts: DataFrame, width: int) -> np.ndarray:
     return counts
 
 
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """A bit for every shingle's hash: one that another set's bitmap lacks is a shingle of
+    this set alone."""
+    bits = np.zeros(64 * WORDS, np.uint8)
+    bits[(mixed(shingles) >> np.uint64(32)).astype(np.int64) % len(bits)] = 1
+    return np.packbits(bits, bitorder="little").view("<i8")
+
+
 def prefixes(texts: DataFrame, counts: np.ndarray, width: int, percent: int) -> DataFrame:
-    """(shingle, row, size, component, place, short): the rarest shingles of each set with
-    their place in its order, enough of them to meet every smaller similar set, and of these
-    the ones that meet every larger one."""
+    """(shingle, row, size, component, place, short, bits0...): the rarest shingles of each
+    set with their place in its order, enough of them to meet every smaller similar set, and
+    of these the ones that meet every larger one; with each the set's bitmap."""
+    names = ["shingle", "row", "size", "component", "place", "short", *[f"bits{i}" for i in range(WORDS)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,9 +245,10 @@ def prefixes(texts: DataFrame, counts: np.ndarray, width: int, percent: int) ->
                 same = [pa.array(np.repeat(v, held)) for v in (part.column(0).to_numpy(), sizes, part.column(1).to_numpy())]
                 place = np.arange(held.sum()) - np.repeat(np.cumsum(held) - held, held)
                 columns = [pa.array(np.concatenate(firsts).view(np.int64)), *same, pa.array(place), pa.array(place < np.repeat(shorts, held))]
-                yield pa.RecordBatch.from_arrays(columns, ["shingle", "row", "size", "component", "place", "short"])
+                bits = np.repeat(np.array([bitmap(s) for s in sets]), held, axis=0)
+                yield pa.RecordBatch.from_arrays([*columns, *[pa.array(np.ascontiguousarray(b)) for b in bits.T]], names)
 
-    return texts.select("row", "component", "text").mapInArrow(run, "shingle long, row long, size long, component long, place long, short boolean")
+    return texts.select("row", "component", "text").mapInArrow(run, "shingle long, row long, size long, component long, place long, short boolean, " + ", ".join(f"bits{i} long" for i in range(WORDS)))
 
 
 def groups(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -272,11 +284,17 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "do
     open_rows = kept(placed.join(open_bands.select("band"), "band", "left_semi").select("row", "component").distinct())
     open_texts = texts.select("row", "text").join(open_rows, "row")
     reach = kept(prefixes(open_texts, frequencies(open_texts, width), width, percent))
-    smaller = reach.filter("short").select("shingle", "row", "size", "component", "place")
-    larger = reach.select("shingle", *[F.col(c).alias(f"other_{c}") for c in ("size", "component", "place")], F.col("row").alias("other"))
+    smaller = reach.filter("short").drop("short")
+    larger = reach.select("shingle", F.col("row").alias("other"), *[F.col(c).alias(f"other_{c}") for c in reach.columns if c not in ("shingle", "row", "short")])
     fits = (F.col("size") <= F.col("other_size")) & (100 * F.col("size") >= percent * F.col("other_size"))
-    # Behind the first shingle that two sets share, they share no more than either has left.
-    left = F.least(F.col("size") - F.col("place"), F.col("other_size") - F.col("other_place"))
+    # Behind the first shingle that two sets share, they share no more than either has left,
+    # and no shingle whose bit the other's bitmap lacks.
+    alone, other_alone = F.lit(0), F.lit(0)
+    for i in range(WORDS):
+        mine, theirs = F.col(f"bits{i}"), F.col(f"other_bits{i}")
+        alone += F.bit_count(mine.bitwiseAND(F.bitwise_not(theirs)))
+        other_alone += F.bit_count(theirs.bitwiseAND(F.bitwise_not(mine)))
+    left = F.least(F.col("size") - F.greatest("place", alone), F.col("other_size") - F.greatest("other_place", other_alone))
     enough = (100 + percent) * left >= percent * (F.col("size") + F.col("other_size"))
     met = smaller.join(larger, "shingle").filter((F.col("component") != F.col("other_component")) & fits & enough)
     ordered = met.select(F.greatest("row", "other").alias("row"), F.least("row", "other").alias("other")).distinct()
