@@ -78,3 +78,21 @@ def test_changes_without_ids(spark):
     held, refused = settled(spark, [], changes)
     assert sorted(b[0] for b in held.values()) == ["a", "b"] and None not in held
     assert refused == {3: "duplicate", 4: "not_found", 5: "not_found"}
+
+
+def test_a_lookup_that_is_no_broadcast_is_replicated_for_hot_keys_alone(spark, monkeypatch):
+    """The salted lookup was copied 64 times for every key and then broadcast by its size before that."""
+    from gleanwork.operators import joins
+
+    monkeypatch.setattr(joins, "HOT_ROWS", 20)
+    keys = [1] * 50 + [None] * 50 + [2, 3, 3, 9]
+    big = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k int, i int")
+    small = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "d"), (None, "n")], "k int, v string")
+    held = {1: "a", 2: "b", 3: "c"}
+    joined = joins.lookup_join(big, small, ["k"], "left", ["i"], False)
+    assert joined.columns == ["k", "i", "v"]
+    assert sorted((r["i"], r["k"], r["v"]) for r in joined.collect()) == [(i, k, held.get(k)) for i, k in enumerate(keys)]
+    assert "SortMergeJoin [k" in joined._jdf.queryExecution().executedPlan().toString()
+    for how, kept in (("inner", [k in held for k in keys]), ("left_semi", [k in held for k in keys]), ("left_anti", [k not in held for k in keys])):
+        found = joins.lookup_join(big, small, ["k"], how, ["i"], False)
+        assert sorted(r["i"] for r in found.collect()) == [i for i, keep in enumerate(kept) if keep]
