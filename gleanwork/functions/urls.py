@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanwork.functions.binding import let
@@ -102,13 +102,26 @@ def _has_dots(own: Column) -> Column:
     return F.contains(framed, F.lit("/./")) | F.contains(framed, F.lit("/../"))
 
 
-def _merged_path(base_path: Column, own: Column) -> Column:
+def _climbed_path(base: Column, ref: Column) -> Column:
+    """Base directory plus a relative path whose only dot segments are leading `..`; null
+    where anything else is to be resolved.
+
+    The common references, by string functions alone: patterns cost many times as much.
+    """
+    own, rest = ref["path"], ref["rest"]
+    ups = ((F.length(own) - F.length(rest)) / 3).cast("int")
+    left = F.greatest(base["depth"] - ups, F.lit(1))
+    above = F.concat(F.call_function("substring_index", base["folder"], F.lit("/"), left), F.lit("/"))
+    dotted = F.startswith(rest, F.lit(".")) | F.contains(rest, F.lit("/.")) | F.contains(own, F.lit("//"))
+    return F.when(base["depth"].isNotNull() & ~dotted, F.concat(F.when(ups > 0, above).otherwise(base["folder"]), rest))
+
+
+def _merged_path(folder: Column, own: Column) -> Column:
     """Base directory plus relative path, dot segments resolved.
 
     Everything up to the base path's last slash, then the relative path; an empty inner
     segment would turn into a doubled slash, so runs of slashes are closed up.
     """
-    folder = F.regexp_extract(base_path, r"^(.*/)?", 0)
 
     def tidy(path: Column) -> Column:
         closed = F.when(
@@ -124,69 +137,96 @@ def _merged_path(base_path: Column, own: Column) -> Column:
 
 def base_parts(url: Column) -> Column:
     """What resolving against an address takes from it; compute it once per base."""
-    return F.struct(
-        url.alias("url"),
-        scheme(url).alias("scheme"),
-        authority(url).alias("site"),
-        path(url).alias("path"),
-        query_string(url).alias("query"),
-        malformed(url).alias("malformed"),
-    )
+
+    def parts(b: Column) -> Column:
+        has_site = b["site"] != ""
+        front = F.concat(
+            F.when(b["scheme"] != "", F.concat(b["scheme"], F.lit(":"))).otherwise(""),
+            F.when(has_site, F.concat(F.lit("//"), b["site"])).otherwise(""),
+        )
+        folder = F.regexp_extract(b["path"], r"^(.*/)?", 0)
+        # The slashes of a folder that has no dots and no empty segments to resolve, else null.
+        tidy = F.startswith(folder, F.lit("/")) & ~F.contains(folder, F.lit("/.")) & ~F.contains(folder, F.lit("//"))
+        depth = F.when(tidy, F.length(folder) - F.length(F.replace(folder, F.lit("/"))))
+        return F.struct(
+            b["url"].alias("url"), b["scheme"].alias("scheme"), b["path"].alias("path"), b["query"].alias("query"),
+            b["malformed"].alias("malformed"), has_site.alias("has_site"), front.alias("front"),
+            folder.alias("folder"), depth.alias("depth"),
+        )
+
+    given = F.struct(
+        url.alias("url"), scheme(url).alias("scheme"), authority(url).alias("site"), path(url).alias("path"),
+        query_string(url).alias("query"), malformed(url).alias("malformed"),
+    )
+    return let(given, parts)
 
 
 def _relative_parts(ref: Column) -> Column:
-    """Path, query and fragment of a reference without scheme and authority."""
+    """Path, the path behind its leading `../`, query and fragment of a reference without
+    scheme and authority."""
     front = F.substring_index(ref, "#", 1)
     own = F.substring_index(front, "?", 1)
     return F.struct(
         own.alias("path"),
+        F.when(F.startswith(own, F.lit("../")), F.regexp_replace(own, r"^(?:\.\./)+", "")).otherwise(own).alias("rest"),
         F.substring(front, F.length(own) + 2, F.length(front)).alias("query"),
         F.substring(ref, F.length(front) + 2, F.length(ref)).alias("fragment"),
     )
 
 
-def _joined(base: Column, ref: Column) -> Column:
-    """The resolved address from the parts of both."""
+def _joined_path(base: Column, ref: Column) -> Column:
     own = ref["path"]
-    resolved = (
+    return (
         F.when(own == "", base["path"])
         .when(
             F.startswith(own, F.lit("/")),
             F.when(_has_dots(own), _without_dots(own)).otherwise(own),
         )
-        .otherwise(_merged_path(base["path"], own))
+        .otherwise(F.coalesce(_climbed_path(base, ref), _merged_path(base["folder"], own)))
     )
-    kept_query = F.when((own == "") & (ref["query"] == ""), base["query"]).otherwise(ref["query"])
-    has_site = base["site"] != ""
-
-    def whole(resolved: Column) -> Column:
-        # Dot segments may have consumed the root.
-        slash = F.when(has_site & (resolved != "") & ~F.startswith(resolved, F.lit("/")), F.lit("/"))
-        return F.concat(
-            F.when(base["scheme"] != "", F.concat(base["scheme"], F.lit(":"))).otherwise(""),
-            F.when(has_site, F.concat(F.lit("//"), base["site"])).otherwise(""),
-            F.coalesce(slash, F.lit("")),
-            resolved,
-            let(kept_query, lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise("")),
-            F.when(ref["fragment"] != "", F.concat(F.lit("#"), ref["fragment"])).otherwise(""),
-        )
 
-    return let(resolved, whole)
 
+def _joined(base: Column, ref: Column, resolved: Column) -> Column:
+    """The resolved address from the parts of both and the path they make."""
+    kept_query = F.when((ref["path"] == "") & (ref["query"] == ""), base["query"]).otherwise(ref["query"])
+    # Dot segments may have consumed the root.
+    slash = F.when(base["has_site"] & (resolved != "") & ~F.startswith(resolved, F.lit("/")), F.lit("/"))
+    return F.concat(
+        base["front"],
+        F.coalesce(slash, F.lit("")),
+        resolved,
+        F.when(kept_query != "", F.concat(F.lit("?"), kept_query)).otherwise(""),
+        F.when(ref["fragment"] != "", F.concat(F.lit("#"), ref["fragment"])).otherwise(""),
+    )
 
-def resolve(base: Column, ref: Column) -> Column:
-    """Resolve a reference against `base_parts`; null when either cannot be parsed."""
+
+def _resolved(base: Column, ref: Column, joined: Column) -> Column:
     bracketed = F.contains(ref, F.lit("[")) | F.contains(ref, F.lit("]"))
     return (
         F.when(bracketed & malformed(ref), F.lit(None).cast("string"))
-        .when(ref.rlike(_SCHEME) | (base["url"] == ""), ref)
+        .when((F.contains(ref, F.lit(":")) & ref.rlike(_SCHEME)) | (base["url"] == ""), ref)
         .when(base["malformed"], F.lit(None).cast("string"))
         .when(ref == "", base["url"])
         .when(F.startswith(ref, F.lit("//")), F.concat(base["scheme"], F.lit(":"), ref))
-        .otherwise(let(_relative_parts(ref), lambda r: _joined(base, r)))
+        .otherwise(joined)
     )
 
 
+def resolve(base: Column, ref: Column) -> Column:
+    """Resolve a reference against `base_parts`; null when either cannot be parsed."""
+    joined = let(_relative_parts(ref), lambda r: let(_joined_path(base, r), lambda p: _joined(base, r, p)))
+    return _resolved(base, ref, joined)
+
+
+def resolve_column(df: DataFrame, base: str, ref: str, name: str) -> DataFrame:
+    """`resolve` over columns, for one reference a row: its steps are columns of their own,
+    which are compiled, whereas what is bound inside an expression is interpreted."""
+    parts = df.withColumn("__ref", _relative_parts(F.col(ref)))
+    parts = parts.withColumn("__path", _joined_path(F.col(base), F.col("__ref")))
+    joined = _joined(F.col(base), F.col("__ref"), F.col("__path"))
+    return parts.withColumn(name, _resolved(F.col(base), F.col(ref), joined)).drop("__ref", "__path")
+
+
 def url_join(base: Column, ref: Column) -> Column:
     """Resolve a reference against a base address; null when it cannot be parsed."""
     return let(base_parts(base), lambda b: resolve(b, ref))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanwork.functions import documents as D
 from gleanwork.functions.binding import let
-from gleanwork.functions.urls import base_parts, resolve, url_host
+from gleanwork.functions.urls import base_parts, resolve, resolve_column, url_host
 from gleanwork.operators import rules as R
 from gleanwork.operators.joins import fits, lookup_join, pinned
 
@@ -100,6 +100,21 @@ def map_detail(df: DataFrame, rules: list[R.Rule]) -> DataFrame:
     return pinned(df, mapped=F.struct(*values), rule_error=F.coalesce(*errors))
 
 
+def _listing(responses: DataFrame, rules: list[R.Rule]) -> tuple[DataFrame, list[str]]:
+    """The responses with their postings list and the parts of their address, and the
+    columns that go on with each posting."""
+    kept = [c for c in responses.columns if c not in ("doc", "rule_id", "host", "text", "body")]
+
+    def postings(spec, on):
+        if isinstance(spec, str):
+            return D.path_items(F.col("doc"), spec)
+        return D.elements(R.compile_field(spec, F.col("doc"), on)[0])
+
+    listed = by_rule({i: rule.spec("postings") for i, rule in of_kind(rules, R.INDEX).items()}, postings)
+    listed = F.array().cast("array<variant>") if listed is None else listed
+    return pinned(responses, __listed=listed, __base=base_parts(F.col("response_url"))), kept
+
+
 def index_refs(responses: DataFrame, rules: list[R.Rule]) -> DataFrame:
     """responses(response_url, doc, rule_id, ...) with `refs` in place of the document.
 
@@ -108,14 +123,6 @@ def index_refs(responses: DataFrame, rules: list[R.Rule]) -> DataFrame:
     unless the element is itself an object or array (it then has to be fetched). A response
     is one row before and after, so nothing is shuffled.
     """
-    kept = [c for c in responses.columns if c not in ("doc", "rule_id", "host", "text", "body")]
-
-    chosen = of_kind(rules, R.INDEX)
-
-    def postings(spec, on):
-        if isinstance(spec, str):
-            return D.path_items(F.col("doc"), spec)
-        return D.elements(R.compile_field(spec, F.col("doc"), on)[0])
 
     def addresses(spec, on):
         if isinstance(spec, dict) and set(spec) == {"sql"}:
@@ -128,30 +135,45 @@ def index_refs(responses: DataFrame, rules: list[R.Rule]) -> DataFrame:
 
         return F.transform("__listed", read)
 
-    listed = by_rule({i: rule.spec("postings") for i, rule in chosen.items()}, postings)
-    listed = F.array().cast("array<variant>") if listed is None else listed
-    named = by_rule({i: rule.spec("posting_url") for i, rule in chosen.items()}, addresses)
+    named = by_rule({i: rule.spec("posting_url") for i, rule in of_kind(rules, R.INDEX).items()}, addresses)
     named = F.array().cast("array<string>") if named is None else named
     # Lists are pinned before they are indexed, or each element would rebuild them.
-    listing = pinned(responses, __listed=listed)
-    listing = pinned(listing, __named=named, __base=base_parts(F.col("response_url")))
+    listing, kept = _listing(responses, rules)
+    listing = pinned(listing, __named=named)
 
     def ref(element: Column, i: Column) -> Column:
         def address(text: Column) -> Column:
             return F.when(text != "", resolve(F.col("__base"), text))
 
-        is_document = D.elements(element).isNotNull() | D.entries(element).isNotNull()
         return F.struct(
             i.alias("position"),
             let(F.get("__named", i), address).alias("url"),
-            F.when(is_document, element).alias("document"),
+            F.when(D.is_container(element), element).alias("document"),
         )
 
     found = F.filter(F.transform("__listed", ref), lambda r: r["url"].isNotNull())
-    return listing.select(*kept, found.alias("refs"))
+    # Pinned, or a filter on the references (exploding them adds one) would build them again.
+    return pinned(listing, refs=found).select(*kept, "refs")
 
 
 def map_index(responses: DataFrame, rules: list[R.Rule]) -> DataFrame:
-    """The references of all responses, one row each."""
-    found = index_refs(responses, rules)
-    return found.select(*[c for c in found.columns if c != "refs"], F.inline("refs"))
+    """The references of all responses, one row each.
+
+    The same as the exploded `index_refs`, with the list exploded first: each element is then
+    read by compiled columns in place of an interpreted expression over the list.
+    """
+
+    def address(spec, on):
+        if isinstance(spec, dict) and set(spec) == {"sql"}:
+            return F.expr(f"get(transform(array(__element), element -> cast(({spec['sql']}) as string)), 0)")
+        value, error = R.compile_field(spec, F.col("__element"))
+        return F.when(error.isNull(), D.as_string(value))
+
+    listing, kept = _listing(responses, rules)
+    named = by_rule({i: rule.spec("posting_url") for i, rule in of_kind(rules, R.INDEX).items()}, address)
+    each = listing.select("*", F.posexplode("__listed").alias("__position", "__element"))
+    each = each.withColumn("__named", F.lit(None).cast("string") if named is None else named)
+    each = resolve_column(each.withColumn("__text", F.nullif("__named", F.lit(""))), "__base", "__text", "__url")
+    document = F.when(D.is_container(F.col("__element")), F.col("__element"))
+    found = pinned(each, __found=F.struct(F.col("__position").alias("position"), F.col("__url").alias("url"), document.alias("document")))
+    return found.filter(F.col("__found.url").isNotNull()).select(*kept, "__found.*")

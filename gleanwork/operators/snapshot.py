@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleanwork.functions import documents as D
-from gleanwork.functions.digests import node_digest
+from gleanwork.functions.digests import held_nodes
 from gleanwork.functions.pay import pay_violation
 from gleanwork.operators.joins import pinned
 from gleanwork.operators.quality import metadata_violations
@@ -108,10 +108,15 @@ def are_nodes(whole, documents):
 
     out = []
     for text, listed in zip(whole.to_pylist(), documents.to_pylist(), strict=True):
-        held: set[str] = set()
-        if text is not None:
-            node_digest(json.loads(text), held)
-        out.append(None if listed is None else [d is not None and node_digest(json.loads(d)) in held for d in listed])
+        if text is None or listed is None:
+            out.append(None if listed is None else [False] * len(listed))
+            continue
+        given = [place for place, d in enumerate(listed) if d is not None]
+        held = held_nodes(json.loads(text), [json.loads(listed[place]) for place in given])
+        known = [False] * len(listed)
+        for place, found in zip(given, held, strict=True):
+            known[place] = found
+        out.append(known)
     return pa.array(out, pa.list_(pa.bool_()))
 
 
@@ -120,7 +125,7 @@ def foreign_documents(responses: DataFrame) -> DataFrame:
 
     responses(response_id, doc VARIANT, refs): `refs` is the array of (position, url,
     document) that mapping made of the response, so both sides of the question are one row.
-    Its nodes' digests are held for that row only and each reference is looked up among
+    Its nodes are held for that row only and each reference is looked up among
     them; nothing is shuffled, and only foreign references become rows. References without a
     document have none to compare.
     """
