@@ -53,14 +53,14 @@ def of_kind(rules: list[R.Rule], kind: str) -> dict[int, R.Rule]:
     return {i: rule for i, rule in enumerate(rules) if rule.kind == kind}
 
 
-def applied_field(specs: dict[int, dict]) -> tuple[Column, Column]:
+def applied_field(specs: dict[int, dict], value: Column) -> tuple[Column, Column]:
     """(value, error) of the rules that put a path's text through worker functions.
 
-    Each row's text is chosen first and handed to a function once per place in the chains,
-    whatever the number of rules: a worker function runs for every row of a plan.
+    `value` is the column that holds what each row's path leads to. Its text is handed to a
+    function once per place in the chains, whatever the number of rules: a worker function
+    runs for every row of a plan.
     """
-    value = by_rule({i: spec["path"] for i, spec in specs.items()}, lambda path, _: D.path_value(F.col("doc"), path))
-    text = D.as_string(value)
+    text = F.when(F.col("rule_id").isin(*specs), D.string_of(value))
     for place in range(max(len(spec["apply"]) for spec in specs.values())):
         for name in R.TEXT_FUNCTIONS:
             ids = [i for i, spec in specs.items() if spec["apply"][place : place + 1] == [name]]
@@ -68,7 +68,7 @@ def applied_field(specs: dict[int, dict]) -> tuple[Column, Column]:
                 serves = F.col("rule_id").isin(*ids)
                 text = F.when(serves, R.text_functions()[name](F.when(serves, text))).otherwise(text)
     first = by_rule({i: spec["apply"][0] for i, spec in specs.items()}, lambda name, _: F.lit(name))
-    wrong = value.isNotNull() & ~F.coalesce(D.kind(value) == "string", F.lit(False))
+    wrong = ~D.is_absent(value) & (F.schema_of_variant(value) != "STRING")
     return D.variant(text), F.when(wrong, F.concat(first, F.lit("() expects a string, found "), D.kind(value)))
 
 
@@ -77,27 +77,51 @@ def map_detail(df: DataFrame, rules: list[R.Rule]) -> DataFrame:
 
     Adds `mapped`, a struct of VARIANT fields (null when undeclared or unresolved), and
     `rule_error`, the first thing a rule could not stomach. Rows without a rule stay.
+    What the paths lead to is pinned before it is looked at, so each is walked once.
     """
     chosen = of_kind(rules, R.DETAIL)
-    values, errors = [], []
+    read, wrong, worked = {}, {}, {}
     for field in R.SILVER_FIELDS:
         specs = {i: spec for i, rule in chosen.items() if (spec := rule.spec(field)) is not None}
         applied = {i: spec for i, spec in specs.items() if R.applies(spec)}
         plain = {i: spec for i, spec in specs.items() if i not in applied}
-        value = by_rule(plain, lambda spec, on: R.compile_field(spec, F.col("doc"), on)[0])
+        # A bare path is a specification too: its value is all that is read here.
+        paths = {i: spec["path"] if i in applied else spec for i, spec in specs.items()}
+        value = by_rule(paths, lambda spec, on: _read(spec, F.col("doc"), on))
         error = by_rule(plain, lambda spec, on: R.compile_field(spec, F.col("doc"), on)[1])
+        if value is not None:
+            read[field] = value
+        if error is not None:
+            wrong[field] = error
         if applied:
-            worked, refused = applied_field(applied)
-            serves = F.col("rule_id").isin(*applied)
-            value = F.when(serves, worked) if value is None else F.when(serves, worked).otherwise(value)
-            error = F.when(serves, refused) if error is None else F.when(serves, refused).otherwise(error)
-        if value is None:
+            worked[field] = applied
+    if not read:
+        values = F.struct(*[F.lit(None).cast("variant").alias(field) for field in R.SILVER_FIELDS])
+        return pinned(df, mapped=values, rule_error=F.lit(None).cast("string"))
+    found = pinned(df, **{f"__read_{f}": v for f, v in read.items()}, **{f"__wrong_{f}": v for f, v in wrong.items()})
+    values, errors = [], []
+    for field in R.SILVER_FIELDS:
+        if field not in read:
             values.append(F.lit(None).cast("variant").alias(field))
-        else:
-            values.append(F.when(~D.is_absent(value), value).alias(field))
-            errors.append(error)
-    errors.append(F.lit(None).cast("string"))
-    return pinned(df, mapped=F.struct(*values), rule_error=F.coalesce(*errors))
+            continue
+        value = F.col(f"__read_{field}")
+        plain = F.when(~D.is_absent(value), value)
+        error = F.col(f"__wrong_{field}") if field in wrong else F.lit(None).cast("string")
+        if field in worked:
+            text, refused = applied_field(worked[field], value)
+            serves = F.col("rule_id").isin(*worked[field])
+            plain, error = F.when(serves, text).otherwise(plain), F.when(serves, refused).otherwise(error)
+        values.append(plain.alias(field))
+        errors.append(error)
+    mapped = pinned(found, mapped=F.struct(*values), rule_error=F.coalesce(*errors, F.lit(None).cast("string")))
+    return mapped.drop(*[f"__read_{f}" for f in read], *[f"__wrong_{f}" for f in wrong])
+
+
+def _read(spec: object, doc: Column, serves: Column) -> Column:
+    """A field's value, where JSON null may stand for an absent one."""
+    if isinstance(spec, str):
+        return D.path_found(doc, spec)
+    return R.compile_field(spec, doc, serves)[0]
 
 
 def _listing(responses: DataFrame, rules: list[R.Rule]) -> tuple[DataFrame, list[str]]:
