@@ -33,6 +33,14 @@ def test_a_path_is_walked_once(spark):
     assert [plan.count(f"$.{path}") for path in ("t,", "c.name,", "d,")] == [1, 1, 1]
 
 
+def test_an_object_of_paths_is_compiled(spark):
+    texts = ['{"x":null}', "{}", '{"x":[1]}', "null"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", F.try_parse_json("text").alias("doc"))
+    made = docs.select("i", F.to_json(R.compile_field({"object": {"a": "x"}}, F.col("doc"))[0]).alias("made"))
+    assert "transform(" not in plan_of(made)
+    assert [r["made"] for r in made.orderBy("i").collect()] == ['{"a":null}', '{"a":null}', '{"a":[1]}', None]
+
+
 def test_judged_rows(spark):
     rows = [(f"https://x.io/{i}", body, "https://a.io/feed") for i, body in enumerate(BODIES)]
     rows.append(("https://x.io/none", BODIES[0], "https://b.io/feed"))
